@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.operators import anchors
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -117,6 +119,25 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
             FROM {anchor_rows} WINDOW w AS (PARTITION BY rollout_id ORDER BY call_index)) x
         WHERE target_id IS NOT NULL""",
     ),
+    "anchor_places": (
+        ("anchor_rows",),
+        """SELECT rollout_id, task_id, history_id, state_id, call_index,
+        row_number() OVER (PARTITION BY rollout_id ORDER BY call_index) - 1 AS place FROM {anchor_rows}""",
+    ),
+    # Judged pairs of anchors at the same place of neighbouring trials.
+    "anchor_probes": (
+        ("anchor_places",),
+        """SELECT concat(CASE WHEN l.rollout_id % 4 = 0 THEN 'validation-' ELSE 'train-' END,
+            CAST(l.rollout_id AS STRING), '-', CAST(l.place AS STRING)) AS probe_id,
+        l.history_id AS left_id, r.history_id AS right_id, l.task_id AS left_task, r.task_id AS right_task, l.place,
+        CASE WHEN (l.rollout_id + l.place) % 7 = 3 THEN 'contradicted' WHEN (l.rollout_id + l.place) % 7 = 4 THEN 'unknown' ELSE 'supported' END AS decision_label,
+        CASE WHEN l.rollout_id % 9 = 2 THEN 'contradicted' ELSE 'supported' END AS local_label,
+        CASE WHEN l.rollout_id % 3 = 1 THEN NULL WHEN l.rollout_id % 5 = 2 THEN 'contradicted' ELSE 'supported' END AS full_label,
+        CASE WHEN l.rollout_id % 4 = 1 THEN 'execution' ELSE 'llm' END AS method, l.rollout_id % 11 <> 5 AS independent,
+        l.rollout_id % 2 = 1 AS audited,
+        CASE WHEN l.rollout_id % 2 = 0 THEN 'full_observed_segment' ELSE 'first_witnessed_execution_episode' END AS operation_scope
+        FROM {anchor_places} l JOIN {anchor_places} r ON r.rollout_id = l.rollout_id + 1 AND r.place = l.place""",
+    ),
 }
 
 
@@ -154,6 +175,8 @@ class Views:
         if name not in self._made:
             if name in TABLES:
                 made = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            elif name == "anchor_rows":
+                made = anchors.select(self["trial_calls"]).withColumnRenamed("recorded_calls", "n")
             else:
                 deps, text = VIEWS[name]
                 reads = {n: self[n] for n in (*TABLES, *deps) if "{" + n + "}" in text}

@@ -104,27 +104,20 @@ def first_reward(rewards: Column) -> Column:
 
     A map without any number has no reward. Booleans count as numbers.
     """
-    entries = F.from_json(rewards, "map<string,string>")
-    values = F.map_values(entries)
-    as_number = lambda v: (
-        F.when(F.lower(v) == "true", 1.0).when(F.lower(v) == "false", 0.0)
-        .otherwise(v.try_cast("double"))
+    entries = F.from_json(rewards, "map<string,variant>")
+    kind = lambda v: F.schema_of_variant(v)
+    as_number = lambda v: F.when(
+        kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")
+    ).otherwise(F.try_variant_get(v, "$", "double"))
+    numeric = F.filter(
+        F.map_values(entries),
+        lambda v: kind(v).rlike("^(BIGINT|DOUBLE|FLOAT|BOOLEAN|DECIMAL.*)$"),
     )
-    # A quoted number is text in the log, so the raw JSON decides.
-    keys = F.map_keys(entries)
-    raw = F.transform(keys, lambda k: F.get_json_object(rewards, F.concat(F.lit("$."), k)))
-    pattern = F.transform(
-        keys,
-        lambda k: rewards.rlike(
-            F.concat(F.lit('"\\Q'), k, F.lit('\\E"\\s*:\\s*(-?[0-9]|true|false)'))
-        ),
-    )
-    numeric = F.filter(F.arrays_zip(raw.alias("v"), pattern.alias("n")), lambda z: z["n"])
-    first = F.element_at(F.transform(numeric, lambda z: as_number(z["v"])), 1)
-    named = as_number(F.element_at(entries, "reward"))
+    first = F.try_element_at(F.transform(numeric, as_number), F.lit(1))
+    named = as_number(F.try_element_at(entries, F.lit("reward")))
     return F.when(
-        F.size(values) > 0,
-        F.when(F.size(numeric) > 0, F.when(F.map_contains_key(entries, "reward"), named).otherwise(first)),
+        F.size(numeric) > 0,
+        F.when(F.map_contains_key(entries, "reward"), named).otherwise(first),
     )
 
 
