@@ -201,6 +201,12 @@ def _with_evidence(paths: DataFrame, junction_rows: DataFrame, outcome: DataFram
     )
 
 
+def _settled(witnesses: DataFrame, junction_rows: DataFrame, outcome: DataFrame):
+    """Inputs of the choice, computed once; each is read by several branches."""
+    unique = witnesses.select(*WITNESS).distinct()
+    return cut_lineage(unique), cut_lineage(junction_rows), cut_lineage(outcome)
+
+
 def _degree(junction_rows: DataFrame) -> int:
     """Largest number of judged partners of one history (one driver row)."""
     ends = junction_rows.select(F.explode(F.array("left_history_id", "right_history_id")).alias("h"))
@@ -221,6 +227,7 @@ def cross_task(
     witnesses: DataFrame, junction_rows: DataFrame, outcome: DataFrame, limit: int = 8
 ) -> tuple[DataFrame, DataFrame]:
     """(selected paths, ledger of paths blocked by a contradicted decision)."""
+    witnesses, junction_rows, outcome = _settled(witnesses, junction_rows, outcome)
     blocked = _with_evidence(judged(witnesses, junction_rows), junction_rows, outcome).filter(
         F.col("compilation_status") == "blocked_decision_mismatch"
     )
@@ -234,6 +241,7 @@ def unjudged_shortlist(
     witnesses: DataFrame, junction_rows: DataFrame, outcome: DataFrame, size: int = 3
 ) -> DataFrame:
     """First distinct junctions of unknown status in the diverse order of paths."""
+    witnesses, junction_rows, outcome = _settled(witnesses, junction_rows, outcome)
     limit = 4 * size
     while True:
         unknown = candidates(witnesses, junction_rows, outcome, limit).filter(

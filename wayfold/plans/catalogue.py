@@ -1,6 +1,11 @@
 """All registered queries."""
 
-from wayfold.plans import core_queries, evidence_queries, path_queries  # noqa: F401
+from wayfold.plans import (  # noqa: F401
+    core_queries,
+    evidence_queries,
+    path_queries,
+    verify_queries,
+)
 from wayfold.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

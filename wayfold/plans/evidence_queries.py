@@ -264,7 +264,7 @@ def transition_integrity(v: Views):
         "source_id",
         "target_id",
         F.when(F.col("value") < 8, "").otherwise(F.col("operation")).alias("operation"),
-        F.when((F.col("operation") != "error") | (F.col("value") < 8) & (F.col("operation") != "error"), "w").alias("witness_ref"),
+        F.when((F.col("operation") != "error") | (F.col("value") < 8), "w").alias("witness_ref"),
     )
     return rules.transition_integrity(moved, histories)
 
