@@ -17,6 +17,8 @@ STOP_TERMS = (
 # Patterns.
 TOKEN_PATTERN = r"[a-z]{4,}"
 TERM_PATTERN = r"[a-zA-Z][a-zA-Z0-9]*"
+# White space as in the published normalisation: ASCII, separators and wide blanks.
+SPACE_PATTERN = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 RELATION_PATTERN = r"\b(?:from|join)\s+([a-z_][a-z0-9_]*(?:\.[a-z_][a-z0-9_]*)?)"
 
 
@@ -36,7 +38,7 @@ def fingerprint_strings(*parts: Column | str) -> Column:
 
 def squeeze(text: Column | str) -> Column:
     """Runs of whitespace become one blank; ends are trimmed."""
-    return F.trim(F.regexp_replace(_col(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(_col(text), SPACE_PATTERN, " "))
 
 
 def epoch(value: Column | str) -> Column:

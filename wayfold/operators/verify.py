@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfold.functions.cells import is_numeric, typed_columns
 from wayfold.operators.ordering import positions
+from wayfold.session import cut_lineage
 
 # Tolerance and result limits of the published protocol.
 TOLERANCE = 1e-6
@@ -120,6 +121,12 @@ def _paired(rows: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
     return positions(rows.withColumn("_first", finite), keys, "_first", names).drop("_first", "group_rows")
 
 
+def _numbered(rows: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """Places inside results that are known to be of bounded length."""
+    window = Window.partitionBy(*keys).orderBy(*(names or ["_key"]))
+    return rows.withColumn("pos", F.row_number().over(window))
+
+
 def _failing_keys(rows: DataFrame, names: list[str]) -> DataFrame:
     """Keys where the sorted numeric cells of both sides do not pair within tolerance."""
     sides = []
@@ -150,12 +157,18 @@ def tolerant(actual: DataFrame, expected: DataFrame) -> DataFrame:
         return _report(actual.sparkSession, False, "column mismatch")
     left, names = _keyed(actual)
     right, _ = _keyed(expected)
-    counted = _sided(left, right).groupBy("_key", *names).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    counted = cut_lineage(
+        _sided(left, right).groupBy("_key", *names).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    )
     residual = counted.withColumn("_d", F.col("_a") - F.col("_b")).filter("_d <> 0").withColumn(
         "_a", F.greatest("_d", F.lit(0))
     ).withColumn("_b", F.greatest(-F.col("_d"), F.lit(0)))
-    suspects = _failing_keys(residual.drop("_d"), names)
-    failing = _failing_keys(counted.join(suspects, "_key", "left_semi"), names)
+    residual = cut_lineage(residual.drop("_d"))
+    failing = residual.select("_key").limit(0)
+    if not residual.isEmpty():
+        suspects = cut_lineage(_failing_keys(residual, names))
+        if not suspects.isEmpty():
+            failing = _failing_keys(counted.join(suspects, "_key", "left_semi"), names)
     totals = counted.agg(
         F.coalesce(F.sum("_a"), F.lit(0)).alias("actual_rows"),
         F.coalesce(F.sum("_b"), F.lit(0)).alias("expected_rows"),
@@ -241,8 +254,8 @@ def grade(
     sized = stats.filter((F.col("rows") == F.col("_expected")) & (F.col("rows") <= max_rows)).select("submission_id")
     rows, names = _keyed(submissions.join(sized, "submission_id", "left_semi"), ["submission_id"])
     frozen, _ = _keyed(expected)
-    frozen = _paired(frozen, names, ["_key"]).select("_key", "pos", *[F.col(n).alias(f"e{n}") for n in names])
-    placed = _paired(rows, names, ["submission_id", "_key"])
+    frozen = _numbered(frozen, names, ["_key"]).select("_key", "pos", *[F.col(n).alias(f"e{n}") for n in names])
+    placed = _numbered(rows, names, ["submission_id", "_key"])
     near = F.lit(True)
     for name in names:
         near = near & close(F.col(name), F.col(f"e{name}"))

@@ -4,6 +4,7 @@ from wayfold.plans import (  # noqa: F401
     core_queries,
     evidence_queries,
     path_queries,
+    text_queries,
     verify_queries,
 )
 from wayfold.plans.registry import CHECKS, QUERIES
