@@ -3,6 +3,7 @@
 from wayfold.plans import (  # noqa: F401
     core_queries,
     evidence_queries,
+    governance_queries,
     path_queries,
     text_queries,
     verify_queries,
