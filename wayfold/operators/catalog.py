@@ -40,15 +40,17 @@ def unresolved(texts: DataFrame, catalog: DataFrame) -> DataFrame:
 def _mentions(texts: DataFrame) -> DataFrame:
     """(text_id, word): identifiers, and neighbours joined by a dot."""
     chains = F.regexp_extract_all(unquoted_lower("text"), F.lit(r"[a-z0-9_]+(?:\.[a-z0-9_]+)*"), F.lit(0))
-    listed = texts.select("text_id", F.explode(F.array_distinct(chains)).alias("chain")).withColumn(
-        "parts", F.split("chain", r"\.")
-    )
-    neighbours = F.transform(
-        F.sequence(F.lit(1), F.size("parts") - 1),
-        lambda i: F.concat_ws(".", F.element_at("parts", i), F.element_at("parts", i + 1)),
-    )
-    words = F.when(F.size("parts") > 1, F.concat("parts", neighbours)).otherwise(F.col("parts"))
-    return listed.select("text_id", F.explode(words).alias("word")).distinct()
+
+    def words(chain):
+        parts = F.split(chain, r"\.")
+        neighbours = F.transform(
+            F.slice(parts, F.lit(1), F.size(parts) - 1),
+            lambda part, i: F.concat_ws(".", part, F.element_at(parts, i + 2)),
+        )
+        return F.concat(parts, neighbours)
+
+    said = F.array_distinct(F.flatten(F.transform(F.array_distinct(chains), words)))
+    return texts.select("text_id", F.explode(said).alias("word"))
 
 
 def rank(texts: DataFrame, catalog: DataFrame, top: int = 24) -> DataFrame:

@@ -309,7 +309,7 @@ CLASSED = """SELECT h.history_id, h.task_id, h.has_segment, count(w.word) AS tot
     check_sql(
         """SELECT least(ca, cb) AS left_class, greatest(ca, cb) AS right_class, o AS shared_words, ta + tb - o AS union_words,
         o::DOUBLE / (ta + tb - o) AS similarity, count(*) AS pairs FROM (
-        SELECT a.history_id AS x, b.history_id AS y, sha256(a.total || ' ' || a.shared) AS ca, sha256(b.total || ' ' || b.shared) AS cb,
+        SELECT a.history_id AS x, b.history_id AS y, md5(a.total || ' ' || a.shared) AS ca, md5(b.total || ' ' || b.shared) AS cb,
         a.total AS ta, b.total AS tb, s.o FROM sharing s JOIN classed a ON a.history_id = s.x JOIN classed b ON b.history_id = s.y
         WHERE a.task_id <> b.task_id AND (a.has_segment OR b.has_segment)) z
         WHERE o::DOUBLE / (ta + tb - o) >= 0.6 GROUP BY ALL""",

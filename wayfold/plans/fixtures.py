@@ -13,12 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.operators import anchors
+from wayfold.session import spread
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# Tables with long texts, where the work per row is large.
+TEXT_TABLES = ("documents", "conversations", "pages")
+
 # A conversation is cut into episodes of this many turns, so that no nested
 # record grows with the table.
 EPISODE_TURNS = 64
@@ -175,6 +179,8 @@ class Views:
         if name not in self._made:
             if name in TABLES:
                 made = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                if name in TEXT_TABLES:
+                    made = spread(made)
             elif name == "anchor_rows":
                 made = anchors.select(self["trial_calls"]).withColumnRenamed("recorded_calls", "n")
             else:
