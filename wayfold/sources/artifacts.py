@@ -8,12 +8,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MANIFEST = "artifact string, run string, committed_at timestamp, commit string"
+
 
 def publish(df: DataFrame, root: str, name: str) -> str:
     """Writes one complete version and then commits it with a manifest row.
 
-    Every writer has its own folder, so two writers never mix; a version that was
-    not committed is invisible.
+    Every writer has its own folders for the rows and for the manifest row, so two
+    writers never mix; a version that was not committed is invisible.
     """
     spark = df.sparkSession
     run = uuid.uuid4().hex
@@ -21,12 +23,12 @@ def publish(df: DataFrame, root: str, name: str) -> str:
     commit = spark.range(1).select(
         F.lit(name).alias("artifact"), F.lit(run).alias("run"), F.current_timestamp().alias("committed_at")
     )
-    commit.write.mode("append").parquet(f"{root}/_manifest")
+    commit.coalesce(1).write.mode("errorifexists").parquet(f"{root}/manifest/commit={run}")
     return run
 
 
 def latest_run(spark: SparkSession, root: str, name: str) -> str:
-    manifest = spark.read.parquet(f"{root}/_manifest").filter(F.col("artifact") == name)
+    manifest = spark.read.schema(MANIFEST).parquet(f"{root}/manifest").filter(F.col("artifact") == name)
     row = manifest.agg(F.max(F.struct("committed_at", "run"))["run"].alias("run")).first()
     if row["run"] is None:
         raise FileNotFoundError(f"no committed version of {name}")
