@@ -136,7 +136,7 @@ def test_replay_conflict_ids(spark):
         replay_conflicts(row.withColumn("decision", F.lit("maybe"))).collect()
 
 
-def test_annotation_cache_and_errors(spark):
+def test_annotation_cache_and_errors(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id int, t string")
     cache = spark.createDataFrame([], "request_key string, response string")
     upper = lambda rows: [t.upper() for t in rows["t"]]
@@ -147,7 +147,11 @@ def test_annotation_cache_and_errors(spark):
     def broken(rows):
         raise TimeoutError("endpoint is unavailable")
 
-    again, more = annotate.batch(df, ["t"], broken, model="m", cache=fresh)
+    for _ in range(2):
+        annotate.store(fresh, str(tmp_path / "cache"))
+    saved = annotate.load(spark, str(tmp_path / "cache"))
+    assert saved.count() == 2
+    again, more = annotate.batch(df, ["t"], broken, model="m", cache=saved)
     assert more.count() == 0 and all(r["cache_hit"] for r in again.collect())
     with pytest.raises(Exception, match="endpoint is unavailable"):
         annotate.batch(df, ["t"], broken, model="other", cache=fresh)

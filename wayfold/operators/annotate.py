@@ -7,10 +7,11 @@ turned into a label.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions.text import bounded_evidence
@@ -73,6 +74,17 @@ def batch(
     return keyed.join(answers, "request_key"), fresh
 
 
+def store(fresh: DataFrame, root: str) -> None:
+    """Adds new entries to a cache folder, each batch in a folder of its own."""
+    fresh.write.mode("errorifexists").parquet(f"{root}/batch={uuid.uuid4().hex}")
+
+
+def load(spark: SparkSession, root: str) -> DataFrame:
+    """Entries of a cache folder; equal requests of two writers count once."""
+    rows = spark.read.schema("request_key string, response string, batch string").parquet(root)
+    return rows.groupBy("request_key").agg(F.min_by("response", "batch").alias("response"))
+
+
 def with_retry(
     df: DataFrame,
     row_id: str,

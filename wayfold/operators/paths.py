@@ -264,20 +264,25 @@ def unjudged_shortlist(
 def enrich(selected: DataFrame, definitions: DataFrame, prefixes: DataFrame, effects: DataFrame, limit: int) -> DataFrame:
     """State definition, both junction prefixes and segment effects of chosen paths.
 
-    At most ``limit`` paths are chosen, so they are the side that is broadcast.
+    At most ``limit`` paths are chosen, so their ids are broadcast to cut the large
+    tables down first.
     """
-    few = F.broadcast(selected.limit(limit))
+    few = selected.limit(limit)
+
+    def looked_up(table: DataFrame, keys: list[str]) -> DataFrame:
+        wanted = F.broadcast(few.select(*keys).distinct())
+        return table.join(wanted, keys, "left_semi")
+
     left = prefixes.select(F.col("history_id").alias("left_target_id"), F.col("prefix").alias("junction_prefix_a"))
     right = prefixes.select(F.col("history_id").alias("right_source_id"), F.col("prefix").alias("junction_prefix_b"))
     defs = definitions.select(F.col("state_id").alias("target_state"), "description")
-    out = defs.join(few, "target_state", "right")
-    out = left.join(F.broadcast(out), "left_target_id", "right")
-    out = right.join(F.broadcast(out), "right_source_id", "right")
+    out = few
+    for table, key in ((defs, "target_state"), (left, "left_target_id"), (right, "right_source_id")):
+        out = out.join(looked_up(table, [key]), key, "left")
     for role in ("left", "right"):
-        keys = {"source_id": f"{role}_source_id", "target_id": f"{role}_target_id", "effect": f"{role}_effect"}
-        out = effects.select(*keys).withColumnsRenamed(keys).join(
-            F.broadcast(out), [f"{role}_source_id", f"{role}_target_id"], "right"
-        )
+        names = {"source_id": f"{role}_source_id", "target_id": f"{role}_target_id", "effect": f"{role}_effect"}
+        ends = [f"{role}_source_id", f"{role}_target_id"]
+        out = out.join(looked_up(effects.select(*names).withColumnsRenamed(names), ends), ends, "left")
     return out
 
 

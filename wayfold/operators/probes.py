@@ -131,7 +131,7 @@ def leaderboard(
         )
     ).scalar()
     usable = candidates.filter("valid").select("candidate_id")
-    scored = score(bank, assignments.join(F.broadcast(usable), "candidate_id", "left_semi"), mode)
+    scored = score(bank, assignments.join(usable, "candidate_id", "left_semi"), mode)
     sums = scored.groupBy("candidate_id").agg(
         F.sum("score").alias("_sum"),
         F.sum(F.when(F.col("in_subset"), F.col("score"))).alias("_subset_sum"),

@@ -47,7 +47,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "conv_turns": (
         (),
-        """SELECT conv_id * 1000 + CAST(floor(turn / 64) AS BIGINT) AS rollout_id,
+        """SELECT conv_id * 100000000 + CAST(floor(turn / 64) AS BIGINT) AS rollout_id,
         concat('task-', CAST(conv_id % 6 AS STRING)) AS task_id, conv_id, turn, role, text
         FROM {conversations}""",
     ),

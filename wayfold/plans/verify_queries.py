@@ -271,10 +271,11 @@ def graded_submissions(v: Views):
     """One submission per part, each a variant of the revenue table; all graded at once."""
     expected = nation_revenue(v).select("n_name", F.col("cents").cast("double").alias("revenue"), "orders")
     last = expected.agg(F.max("n_name")).scalar()
+    # One row per nation: a list of fixed size that every part repeats.
+    answer = expected.agg(F.collect_list(F.struct("n_name", "revenue", "orders"))).scalar()
     kind = F.col("p_partkey") % 5
-    everyone = v["part"].select("p_partkey", F.explode(F.array(F.lit(1))).alias("k"))
-    answers = expected.withColumn("k", F.lit(1)).withColumn("last", last)
-    rows = F.broadcast(answers).join(everyone, "k").filter((kind != 3) | (F.col("n_name") != F.col("last")))
+    spread = v["part"].select("p_partkey", last.alias("last"), answer.alias("answer"))
+    rows = spread.select("p_partkey", "last", F.inline("answer")).filter((kind != 3) | (F.col("n_name") != F.col("last")))
     submissions = rows.select(
         F.col("p_partkey").alias("submission_id"),
         "n_name",
@@ -283,11 +284,10 @@ def graded_submissions(v: Views):
         .otherwise(F.col("revenue"))
         .alias("revenue"),
         "orders",
-        F.when(kind == 4, 0).otherwise(1).alias("honest"),
     )
     graded = verify.grade(
         expected,
-        submissions.drop("honest"),
+        submissions,
         {"positive orders": F.bool_and(F.col("orders") > 0), "no empty name": F.max("submission_id") % 5 != 4},
     )
     return graded
