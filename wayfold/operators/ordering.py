@@ -25,11 +25,19 @@ def positions(
 ) -> DataFrame:
     """Adds ``pos`` (0-based place in its group) and ``group_rows``.
 
-    Groups longer than ``slice_rows`` are cut into equal ranges of the numeric
-    column ``slice_on``; each range is numbered by itself and shifted by the
-    number of rows before it.
+    The group sizes are counted first. While no group is longer than
+    ``slice_rows`` a plain window numbers them. Otherwise longer groups are cut
+    into equal ranges of the numeric column ``slice_on``; each range is numbered by
+    itself and shifted by the number of rows before it.
     """
     keys = list(keys)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
+    if (sizes.first()["n"] or 0) <= slice_rows:
+        group = Window.partitionBy(*keys)
+        place = F.row_number().over(group.orderBy(slice_on, *ties)) - 1
+        return df.withColumn("pos", place.cast("long")).withColumn(
+            "group_rows", F.count(F.lit(1)).over(group)
+        )
     measures = (
         F.count(F.lit(1)).alias("group_rows"),
         F.min(slice_on).cast("double").alias("_lo"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -304,6 +306,10 @@ CLASSED = """SELECT h.history_id, h.task_id, h.has_segment, count(w.word) AS tot
  LEFT JOIN (SELECT history_id, word, count(*) OVER (PARTITION BY word) AS df FROM words) w USING (history_id) GROUP BY ALL"""
 
 
+SHARING = """SELECT a.history_id AS x, b.history_id AS y, count(*) AS o FROM words a JOIN words b
+ ON a.word = b.word AND a.history_id < b.history_id GROUP BY ALL"""
+
+
 @query(
     "similar_history_classes",
     check_sql(
@@ -316,8 +322,7 @@ CLASSED = """SELECT h.history_id, h.task_id, h.has_segment, count(w.word) AS tot
         "histories",
         words=WORDS,
         classed=CLASSED,
-        sharing="""SELECT a.history_id AS x, b.history_id AS y, count(*) AS o FROM words a JOIN words b
-        ON a.word = b.word AND a.history_id < b.history_id GROUP BY ALL""",
+        sharing=SHARING,
     ),
 )
 def similar_history_classes(v: Views):
@@ -325,9 +330,38 @@ def similar_history_classes(v: Views):
     return pairs.pair_counts(members, pairs.similar_classes(found, 0.6)).filter("pairs > 0")
 
 
-@query("selected_pairs")
+def selection_sql(count: int, seed: int, tag: str = "") -> dict[str, str]:
+    """CTEs that rank every pair and take them one by one, then add the seeded rest."""
+    wanted = -(-count * 3 // 4)
+    uses = "len(list_filter(w.used, lambda n: n = {})) < 3"
+    oriented = "CASE WHEN a.has_segment AND NOT b.has_segment THEN b.history_id ELSE a.history_id END AS left_id, CASE WHEN a.has_segment AND NOT b.has_segment THEN a.history_id ELSE b.history_id END AS right_id"
+    usable = "a.task_id <> b.task_id AND (a.has_segment OR b.has_segment)"
+    ctes = dict(
+        words=WORDS,
+        sizes="SELECT history_id, task_id, has_segment, count(word) AS total FROM histories LEFT JOIN (SELECT history_id, word FROM words) w USING (history_id) GROUP BY ALL",
+        sharing=SHARING,
+        scored=f"""SELECT {oriented}, s.o::DOUBLE / greatest(1, a.total + b.total - s.o) AS similarity FROM sharing s
+        JOIN sizes a ON a.history_id = s.x JOIN sizes b ON b.history_id = s.y WHERE {usable}""",
+        placed="SELECT *, row_number() OVER (ORDER BY similarity DESC, left_id, right_id) AS i FROM scored",
+        walk_pairs=f"""SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS ids UNION ALL
+        SELECT p.i, CASE WHEN free THEN list_concat(used, [p.left_id, p.right_id]) ELSE used END, CASE WHEN free THEN list_append(ids, p.i) ELSE ids END
+        FROM (SELECT w.*, p.*, {uses.format('p.left_id')} AND {uses.format('p.right_id')} AS free FROM walk_pairs w JOIN placed p ON p.i = w.i + 1
+              WHERE len(w.ids) < {wanted}) q(wi, used, ids, left_id, right_id, similarity, pi, free) JOIN placed p ON p.i = q.pi""",
+        taken="SELECT left_id, right_id, similarity FROM placed WHERE i IN (SELECT unnest(ids) FROM walk_pairs WHERE i = (SELECT max(i) FROM walk_pairs))",
+        pool=f"SELECT * FROM sizes ORDER BY md5('{seed}|' || history_id), history_id LIMIT 64",
+        rest=f"""SELECT * FROM (SELECT {oriented} FROM pool a JOIN pool b ON a.history_id < b.history_id AND {usable}) x
+        WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.left_id = x.left_id AND t.right_id = x.right_id)
+        ORDER BY md5('{seed}|' || left_id || '|' || right_id), left_id, right_id LIMIT {count - wanted}""",
+        selection="""SELECT left_id, right_id, similarity, 'similar' AS picked_by FROM taken UNION ALL
+        SELECT left_id, right_id, coalesce(s.similarity, 0), 'seeded' FROM rest LEFT JOIN scored s USING (left_id, right_id)""",
+    )
+    own = r"\b(walk_pairs|taken|pool|rest|selection)\b"
+    return {re.sub(own, rf"\1{tag}", name): re.sub(own, rf"\1{tag}", body) for name, body in ctes.items()}
+
+
+@query("selected_pairs", check_sql("SELECT * FROM selection", "histories", **selection_sql(32, 7)))
 def selected_pairs(v: Views):
-    """Degree-capped greedy pairs and the seeded rest (checked by brute force in the tests)."""
+    """Degree-capped greedy pairs and the seeded rest."""
     return pairs.select(v["histories"], 32, seed=7)
 
 
@@ -348,7 +382,16 @@ def seeded_fill_pairs(v: Views):
     return drawn.orderBy("_key", "left_id", "right_id").limit(40).select("left_id", "right_id")
 
 
-@query("expanded_probe_pairs")
+@query(
+    "expanded_probe_pairs",
+    check_sql(
+        """SELECT left_id, right_id FROM selection_wide w WHERE NOT EXISTS (SELECT 1 FROM selection f WHERE f.left_id = w.left_id AND f.right_id = w.right_id)
+        ORDER BY CASE WHEN picked_by = 'similar' THEN -similarity ELSE 1 END,
+        CASE WHEN picked_by = 'similar' THEN '' ELSE md5('9|' || left_id || '|' || right_id) END, left_id, right_id LIMIT 16""",
+        "histories",
+        **selection_sql(8, 7), **{k: x for k, x in selection_sql(24, 9, "_wide").items() if k.endswith("_wide")},
+    ),
+)
 def expanded_probe_pairs(v: Views):
     """Wider search after a split without a supported pair; only new pairs, capped."""
     first = pairs.select(v["histories"], 8, seed=7)

@@ -161,11 +161,15 @@ def needed(*names: str) -> list[str]:
 
 
 def check_sql(body: str, *views: str, **ctes: str) -> str:
-    """DuckDB text: the views the check reads, extra CTEs in order, then the body."""
+    """DuckDB text: the views the check reads, extra CTEs in order, then the body.
+
+    CTEs whose name starts with ``walk`` may refer to themselves.
+    """
     names = {n: n for n in (*TABLES, *VIEWS)}
     parts = [f"{name} AS ({VIEWS[name][1].format(**names)})" for name in needed(*views)]
     parts += [f"{name} AS ({text})" for name, text in ctes.items()]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+    keyword = "WITH RECURSIVE " if any(name.startswith("walk") for name in ctes) else "WITH "
+    return (keyword + ",\n".join(parts) + "\n" if parts else "") + body
 
 
 class Views:

@@ -336,6 +336,29 @@ def evidence_texts(v: Views) -> DataFrame:
     )
 
 
+@query(
+    "task_inventory",
+    check_sql(
+        """SELECT 'fix-' || source || '-' || doc_id AS task_id, 'easy' AS difficulty, 'other' AS family, 'debugging' AS bucket, 2 AS file_count,
+        octet_length(encode(text)) + 3 AS file_bytes, sha256(text) AS instruction_sha256 FROM documents""",
+    ),
+)
+def task_inventory(v: Views):
+    """Tasks whose instruction files are the documents; each also has a settings file."""
+    name = F.concat_ws("-", F.lit("fix"), "source", F.col("doc_id").cast("string"))
+    file = lambda leaf, content: F.struct(
+        F.concat(F.lit("repo/tasks/"), name, F.lit("/" + leaf)).alias("path"), content.cast("binary").alias("content")
+    )
+    found = v["documents"].select(
+        F.inline(F.array(file("instruction.md", F.col("text")), file("task.toml", F.lit("x=1"))))
+    ).withColumn("bytes", F.octet_length("content").cast("long"))
+    metadata = v["documents"].select(name.alias("task_id"), F.lit("easy").alias("difficulty"), F.lit("secret").alias("author"))
+    rows = task_files.tasks(metadata, found)
+    return rows.select(
+        "task_id", "difficulty", "family", "bucket", "file_count", "file_bytes", F.sha2("instruction", 256).alias("instruction_sha256")
+    )
+
+
 @query("file_receipts")
 def file_receipts(v: Views):
     """Receipts of the table files themselves."""

@@ -126,9 +126,55 @@ def best_path_per_state_and_task_pair(v: Views):
     )
 
 
-@query("selected_paths")
+def diverse_sql(condition: str) -> dict[str, str]:
+    """CTEs that choose from all listed paths one by one, in the five passes."""
+    order = "unsupported, -variance, -coalesce(distinct_rollouts, 0), left_source_id, left_target_id, right_source_id, right_target_id"
+    best = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY rk) AS k FROM placed WHERE {open}) x WHERE k = 1"
+    taken = "(SELECT {key} FROM {table})"
+
+    def later(number: int, key: str, before: str) -> str:
+        columns = f"({key})" if "," in key else key
+        picked = best.format(key=key, open=f"{columns} NOT IN {taken.format(key=key, table=before)}")
+        return f"SELECT * FROM {before} UNION ALL SELECT rk, {number}, state_id, task_pair FROM ({picked}) y"
+
+    return dict(
+        placed=f"SELECT *, row_number() OVER (ORDER BY {order}) AS rk FROM ranked WHERE {condition}",
+        heads=f"""SELECT rk, state_id, task_pair, row_number() OVER (ORDER BY rk) AS i
+        FROM ({best.format(key='state_id, task_pair', open='true')}) z""",
+        walk_heads="""SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS ts, CAST([] AS VARCHAR[]) AS ps, CAST([] AS BIGINT[]) AS ids
+        UNION ALL SELECT h.i, CASE WHEN free THEN list_append(ts, h.state_id) ELSE ts END, CASE WHEN free THEN list_append(ps, h.task_pair) ELSE ps END,
+        CASE WHEN free THEN list_append(ids, h.rk) ELSE ids END FROM (
+          SELECT w.*, h.i AS hi, NOT list_contains(w.ts, h.state_id) AND NOT list_contains(w.ps, h.task_pair) AS free
+          FROM walk_heads w JOIN heads h ON h.i = w.i + 1) s JOIN heads h ON h.i = s.hi""",
+        pass0="""SELECT rk, 0 AS pass, state_id, task_pair FROM heads WHERE rk IN (
+        SELECT unnest(ids) FROM walk_heads WHERE i = (SELECT max(i) FROM walk_heads))""",
+        pass1=later(1, "state_id", "pass0"),
+        pass2=later(2, "task_pair", "pass1"),
+        pass3=later(3, "state_id, task_pair", "pass2"),
+        chosen="""SELECT * FROM pass3 UNION ALL SELECT rk, 4, state_id, task_pair FROM placed WHERE rk NOT IN (SELECT rk FROM pass3)""",
+    )
+
+
+PATH_CTES = dict(judged=JUDGED, junctions=JUNCTIONS, all_paths=ALL_PATHS, pooled=POOLED, ranked=RANKED)
+PATH_VIEWS = ("anchor_probes", "transition_rows", "trial_results")
+OPEN = "compilation_status <> 'blocked_decision_mismatch'"
+PATH_ID = """'cross-task-' || substr(sha256('["' || left_source_id || '","' || left_target_id || '","' || right_source_id || '","' || right_target_id || '"]'), 1, 12)"""
+
+
+@query(
+    "selected_paths",
+    check_sql(
+        f"""SELECT pass, {PATH_ID} AS path_id, p.state_id AS target_state, p.task_pair, left_source_id, left_target_id, right_source_id, right_target_id,
+        p.junction_status, coalesce(j.tier, 'unknown_or_contradicted') AS tier,
+        CASE WHEN variance > 0 THEN 'positive pooled outcome variance' ELSE 'high-support fallback; no positive variance for this node' END AS selection_reason
+        FROM chosen c JOIN placed p USING (rk) LEFT JOIN junctions j ON j.left_history_id = left_target_id AND j.right_history_id = right_source_id
+        ORDER BY pass, rk LIMIT 12""",
+        *PATH_VIEWS,
+        **PATH_CTES, **diverse_sql(OPEN),
+    ),
+)
 def selected_paths(v: Views):
-    """Diverse choice of cross-task paths (checked by brute force in the tests)."""
+    """Diverse choice of cross-task paths."""
     chosen, _ = paths.cross_task(witnesses(v), junction_rows(v), pooled_outcomes(v), limit=12)
     return chosen.select(
         "pass", "path_id", "target_state", "task_pair", "left_source_id", "left_target_id",
@@ -136,12 +182,33 @@ def selected_paths(v: Views):
     )
 
 
-@query("unjudged_junction_shortlist")
+@query(
+    "unjudged_junction_shortlist",
+    check_sql(
+        """SELECT left_target_id, right_source_id, pass FROM (SELECT left_target_id, right_source_id, pass, rk,
+        row_number() OVER (PARTITION BY left_target_id, right_source_id ORDER BY pass, rk) AS k FROM chosen JOIN placed USING (rk)) x
+        WHERE k = 1 ORDER BY pass, rk LIMIT 3""",
+        *PATH_VIEWS,
+        **PATH_CTES, **diverse_sql(f"{OPEN} AND junction_status = 'unknown'"),
+    ),
+)
 def unjudged_junction_shortlist(v: Views):
     return paths.unjudged_shortlist(witnesses(v), junction_rows(v), pooled_outcomes(v))
 
 
-@query("selected_paths_with_context")
+@query(
+    "selected_paths_with_context",
+    check_sql(
+        f"""SELECT {PATH_ID} AS path_id, p.state_id AS target_state, 'state ' || p.state_id AS description,
+        a.operation || ' ' || a.value AS junction_prefix_a, b.operation || ' ' || b.value AS junction_prefix_b, l.operation AS left_effect, r.operation AS right_effect,
+        o.pooled_success_rate * (1 - o.pooled_success_rate) AS pooled_binary_variance, p.distinct_rollouts
+        FROM (SELECT * FROM chosen ORDER BY pass, rk LIMIT 8) c JOIN placed p USING (rk) JOIN anchor_rows a ON a.history_id = left_target_id
+        JOIN anchor_rows b ON b.history_id = right_source_id JOIN transition_rows l ON l.source_id = left_source_id
+        JOIN transition_rows r ON r.source_id = right_source_id LEFT JOIN pooled o ON o.state_id = p.state_id""",
+        "anchor_rows", *PATH_VIEWS,
+        **PATH_CTES, **diverse_sql(OPEN),
+    ),
+)
 def selected_paths_with_context(v: Views):
     moves = witnesses(v)
     chosen, _ = paths.cross_task(moves, junction_rows(v), pooled_outcomes(v), limit=8)
