@@ -1,5 +1,6 @@
 """Selections against plain sequential versions on small data."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -181,6 +182,10 @@ def test_junction_evidence_is_directional(spark):
 MOVES = "source_id string, target_id string, task_id string, operation string, source_state string, target_state string"
 
 
+def digest(move):
+    return hashlib.md5(f"{move[0]}|{move[1]}".encode()).hexdigest()
+
+
 def brute_paths(moves, status, stats, limit):
     ranked, blocked = [], set()
     for a, b in itertools.product(moves, moves):
@@ -192,10 +197,10 @@ def brute_paths(moves, status, stats, limit):
             blocked.add(ids)
             continue
         variance, rollouts = stats[a[5]]
-        key = (label != "supported", -variance, -rollouts, *ids)
+        key = (label != "supported", -variance, -rollouts, digest(a), digest(b), ids)
         ranked.append((key, a[5], "|".join(sorted((a[2], b[2])))))
     ranked.sort()
-    return [k[3:] for k in sequential_diverse(ranked, limit)], blocked
+    return [k[-1] for k in sequential_diverse(ranked, limit)], blocked
 
 
 @pytest.mark.parametrize(("seed", "limit"), [(1, 6), (2, 25)])

@@ -17,10 +17,9 @@ from wayfold.operators import matching, probes as scoring
 from wayfold.operators.ordering import first_per, first_rows, first_rows_mixed
 from wayfold.session import cut_lineage
 
-RANK = (
-    "unsupported", "neg_variance", "neg_rollouts",
-    "left_source_id", "left_target_id", "right_source_id", "right_target_id",
-)
+# Equal paths are ordered by a hash of the left transition, then of the right one.
+# Unlike a hash of the whole path, the least pair is found from both sides alone.
+RANK = ("unsupported", "neg_variance", "neg_rollouts", "left_key", "right_key")
 WITNESS = ("source_id", "target_id", "task_id", "operation", "source_state", "target_state")
 
 
@@ -121,6 +120,7 @@ def _side(witnesses: DataFrame, role: str) -> DataFrame:
         F.col("target_id").alias(f"{role}_target_id"),
         F.col("operation").alias(f"{role}_operation"),
         F.col(other).alias(f"{role}_other_state"),
+        F.md5(F.concat_ws("|", "source_id", "target_id")).alias(f"{role}_key"),
     )
 
 
@@ -152,13 +152,11 @@ def reachable(witnesses: DataFrame, needed: int, degree: int) -> DataFrame:
     depth = needed + degree
     picked = []
     for role, rows in (("left", lefts), ("right", rights)):
-        order = [F.col(f"{role}_source_id"), F.col(f"{role}_target_id")]
+        order = [F.col(f"{role}_key")]
         overall = first_rows_mixed(rows, ["state_id"], f"{role}_task", order, depth)
         per_task = first_rows(rows, ["state_id", f"{role}_task"], order, degree + 1)
         heads = first_per(
-            rows.select("state_id", f"{role}_task", f"{role}_source_id", f"{role}_target_id"),
-            ["state_id", f"{role}_task"],
-            [f"{role}_source_id", f"{role}_target_id"],
+            rows.select("state_id", f"{role}_task", f"{role}_key"), ["state_id", f"{role}_task"], [f"{role}_key"]
         )
         tasks = first_rows(heads, ["state_id"], order, depth + 2).select("state_id", f"{role}_task")
         picked.append((overall, per_task.join(tasks, ["state_id", f"{role}_task"], "left_semi")))

@@ -30,7 +30,8 @@ JUNCTIONS = """SELECT left_id AS left_history_id, right_id AS right_history_id,
        SELECT probe_id, right_id, left_id, d_proxy, d_ground, NULL, NULL, false FROM judged) u GROUP BY 1, 2) f"""
 ALL_PATHS = """SELECT a.target_state AS state_id, a.task_id AS left_task, b.task_id AS right_task,
  least(a.task_id, b.task_id) || '|' || greatest(a.task_id, b.task_id) AS task_pair,
- a.source_id AS left_source_id, a.target_id AS left_target_id, b.source_id AS right_source_id, b.target_id AS right_target_id
+ a.source_id AS left_source_id, a.target_id AS left_target_id, b.source_id AS right_source_id, b.target_id AS right_target_id,
+ md5(a.source_id || '|' || a.target_id) AS left_key, md5(b.source_id || '|' || b.target_id) AS right_key
  FROM transition_rows a JOIN transition_rows b ON a.target_state = b.source_state AND a.task_id <> b.task_id
  WHERE a.source_state IS NOT NULL AND b.target_state IS NOT NULL"""
 
@@ -111,7 +112,7 @@ def blocked_paths(v: Views):
     "best_path_per_state_and_task_pair",
     check_sql(
         """SELECT state_id AS target_state, task_pair, left_source_id, left_target_id, right_source_id, right_target_id, junction_status FROM (
-        SELECT *, row_number() OVER (PARTITION BY state_id, task_pair ORDER BY unsupported, left_source_id, left_target_id, right_source_id, right_target_id) AS k
+        SELECT *, row_number() OVER (PARTITION BY state_id, task_pair ORDER BY unsupported, left_key, right_key) AS k
         FROM ranked WHERE compilation_status <> 'blocked_decision_mismatch') x WHERE k = 1""",
         "anchor_probes", "transition_rows", "trial_results",
         judged=JUDGED, junctions=JUNCTIONS, all_paths=ALL_PATHS, pooled=POOLED, ranked=RANKED,
@@ -128,7 +129,7 @@ def best_path_per_state_and_task_pair(v: Views):
 
 def diverse_sql(condition: str) -> dict[str, str]:
     """CTEs that choose from all listed paths one by one, in the five passes."""
-    order = "unsupported, -variance, -coalesce(distinct_rollouts, 0), left_source_id, left_target_id, right_source_id, right_target_id"
+    order = "unsupported, -variance, -coalesce(distinct_rollouts, 0), left_key, right_key"
     best = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY rk) AS k FROM placed WHERE {open}) x WHERE k = 1"
     taken = "(SELECT {key} FROM {table})"
 
