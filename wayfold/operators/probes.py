@@ -130,8 +130,7 @@ def leaderboard(
             F.count(F.lit(1)).alias("bank"), F.count_if("in_subset").alias("subset")
         )
     ).scalar()
-    usable = candidates.filter("valid").select("candidate_id")
-    scored = score(bank, assignments.join(usable, "candidate_id", "left_semi"), mode)
+    scored = score(bank, assignments, mode)
     sums = scored.groupBy("candidate_id").agg(
         F.sum("score").alias("_sum"),
         F.sum(F.when(F.col("in_subset"), F.col("score"))).alias("_subset_sum"),
@@ -145,8 +144,10 @@ def leaderboard(
         "candidate_id",
         "candidate_index",
         "valid",
-        F.coalesce("scored_probes", F.lit(0)).alias("scored_probes"),
-        *[F.coalesce(f"{s}_probes", F.lit(0)).alias(f"{s}_probes") for s in STATUSES],
+        *[
+            F.when(F.col("valid"), F.coalesce(f"{s}_probes", F.lit(0))).otherwise(0).alias(f"{s}_probes")
+            for s in ("scored", *STATUSES)
+        ],
         F.col("_size.bank").alias("denominator"),
         mean.alias("mean_score"),
         subset_mean.alias("subset_score"),

@@ -216,8 +216,8 @@ def assignment_validation(v: Views):
         evidence=F.when(kind == 3, '"p"').otherwise(F.lit('["p"]')),
     )
     fenced = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
-    responses = rows.select("doc_id", F.lit("c8").alias("candidate_id"), fenced.alias("response"))
-    states = v.spark.createDataFrame([("c8", [f"S{i}" for i in range(8)])], "candidate_id string, state_ids array<string>")
+    responses = rows.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "c8").otherwise("c9").alias("candidate_id"), fenced.alias("response"))
+    states = v.spark.createDataFrame([(c, [f"S{i}" for i in range(8)]) for c in ("c8", "c9")], "candidate_id string, state_ids array<string>")
     accepted, _ = validation.assignments(responses, "doc_id", "response", states)
     return accepted.select(
         "doc_id", "state_id", F.size("role_bindings").alias("bindings"), F.array_join("evidence", ",").alias("evidence")
