@@ -111,7 +111,9 @@ class Transducer:
     def __init__(self, model: Model):
         self.model = model
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.derivations: dict[str, tuple | None] = {}
+        # Fixed rule of the library: an unknown character costs 10 more than the worst piece.
+        self.unknown_cost = max(c for _, c in model.arcs.values()) + 10.0
         # Text of each id; bytes of ASCII characters stand alone, the others need their neighbours.
         self.plain = list(model.pieces)
         for b, i in enumerate(model.bytes):
@@ -137,82 +139,134 @@ class Transducer:
             return text[1:].split(SPACE)  # keys without the space in front
         return [RAW + w for w in WORDS.findall(text)]
 
-    def merged(self, text: str) -> list[str]:
-        """Merges of neighbours, the best score first and the leftmost of equal ones, of a short text."""
-        parts, arcs = list(text), self.model.arcs
-        while True:
+    def derivation(self, piece: str):
+        """How the merges build a piece from its characters: costs in order, and the first and last part after each.
+
+        None for a piece that its own characters don't merge into.
+        """
+        known = self.derivations.get(piece, 0)
+        if known != 0:
+            return known
+        parts, arcs = list(piece), self.model.arcs
+        costs, firsts, lasts = [], [], []
+        while len(parts) > 1:
             best, at = INFINITY, -1
             for k in range(len(parts) - 1):
                 found = arcs.get(parts[k] + parts[k + 1])
                 if found and found[1] < best:
                     best, at = found[1], k
             if at < 0:
-                return parts
+                break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            costs.append(best)
+            firsts.append(parts[0])
+            lasts.append(parts[-1])
+        known = self.derivations[piece] = (costs, firsts, lasts) if len(parts) == 1 else None
+        return known
 
     def accepts(self, left: str, right: str) -> bool:
+        """Whether the merges of both pieces' characters end in this pair.
+
+        Merges inside either piece go on as they would alone until one across the boundary is
+        the best at hand; then the pair can't come out.
+        """
         pair = (left, right)
         known = self.pairs.get(pair)
         if known is None:
-            known = self.merged(left + right) == [left, right]
             if len(self.pairs) > PAIRS_KEPT:
                 self.pairs.clear()
-            self.pairs[pair] = known
+            known = self.pairs[pair] = self.apart(left, right)
         return known
 
-    def shortest(self, word: str) -> list[int]:
-        """Ids on the shortest path through the machine composed with a word.
+    def apart(self, left: str, right: str) -> bool:
+        one, two = self.derivation(left), self.derivation(right)
+        if one is None or two is None:
+            return False
+        arcs = self.model.arcs
+        costs, _, lasts = one
+        others, firsts, _ = two
+        i = j = 0
+        a, b = left[-1], right[0]
+        while True:
+            across = arcs.get(a + b)
+            x = across[1] if across else INFINITY
+            c = costs[i] if i < len(costs) else INFINITY
+            d = others[j] if j < len(others) else INFINITY
+            if x < c and x <= d:
+                return False
+            if c == INFINITY and d == INFINITY:
+                return True
+            if c <= d:
+                a, i = lasts[i], i + 1
+            else:
+                b, j = firsts[j], j + 1
 
-        ``cost[e]`` is the distance of the state after e characters and ``came[e]`` the piece of
-        its last arc. In a BPE machine a state has one finite arc at most: the last piece of
-        the merged prefix.
-        """
-        arcs, merges, longest = self.model.arcs, self.model.merges, self.model.longest
-        whole = arcs.get(word)
-        if merges and whole and len(word) < 3:
-            return [whole[0]]
-        n = len(word)
-        cost = [0.0] + [INFINITY] * n
-        came: list[str] = [""] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                if cost[start] == INFINITY:
-                    continue
-                piece = word[start:end]
-                found = arcs.get(piece)
-                if found is None:
-                    if end - start > 1:
-                        continue
-                    weight = 0.0 if merges else UNKNOWN_COST
-                else:
-                    weight = 0.0 if merges else found[1]
-                if merges:
-                    if start and not self.accepts(came[start], piece):
-                        continue
-                    if not start and end - start > 2 and not self.single(piece):
-                        continue
-                if cost[start] + weight < cost[end]:
-                    cost[end], came[end] = cost[start] + weight, piece
+    def shortest(self, word: str) -> list[int]:
+        """Ids on the shortest path through the machine composed with a word."""
+        arcs = self.model.arcs
         ids: list[int] = []
-        end = n
-        while end:
-            piece = came[end]
+        for piece in self.finite_path(word) if self.model.merges else self.least_path(word):
             found = arcs.get(piece)
             if found:
                 ids.append(found[0])
             elif self.model.bytes:
-                ids += [self.model.bytes[b] for b in reversed(piece.encode("utf-8", "replace"))]
+                ids += [self.model.bytes[b] for b in piece.encode("utf-8", "replace")]
             else:
                 ids.append(self.model.unknown)
-            end -= len(piece)
-        return ids[::-1]
+        return ids
 
-    def single(self, piece: str) -> bool:
-        """Whether the merges of a piece's characters end in the piece."""
-        known = self.whole.get(piece)
-        if known is None:
-            known = self.whole[piece] = self.merged(piece) == [piece]
-        return known
+    def finite_path(self, word: str) -> list[str]:
+        """The path of finite weight through a BPE machine, depth first with the longest piece first.
+
+        A state is a place and the last piece; one from which the end wasn't reached is not entered again.
+        """
+        arcs, pairs, longest, n = self.model.arcs, self.pairs, self.model.longest, len(word)
+        path: list[str] = []
+        dead: set[tuple[int, str]] = set()
+        at, size = 0, min(longest, n)
+        while at < n:
+            while size:
+                piece = word[at : at + size]
+                if size == 1 or piece in arcs:
+                    if path:
+                        fits = pairs.get((path[-1], piece))
+                        if fits is None:
+                            fits = self.accepts(path[-1], piece)
+                    else:
+                        fits = self.derivation(piece) is not None
+                    if fits and (not dead or (at + size, piece) not in dead):
+                        break
+                size -= 1
+            if size:
+                path.append(piece)
+                at += size
+                size = min(longest, n - at)
+            elif path:
+                last = path.pop()
+                dead.add((at, last))
+                at -= len(last)
+                size = len(last) - 1
+            else:
+                raise ValueError("no path: the model's merges are not consistent")
+        return path
+
+    def least_path(self, word: str) -> list[str]:
+        """The path of least weight through a unigram machine; of equal ones the one whose last piece is longest."""
+        arcs, longest, n = self.model.arcs, self.model.longest, len(word)
+        cost, came = [0.0] + [INFINITY] * n, [0] * (n + 1)
+        for end in range(1, n + 1):
+            for begin in range(max(0, end - longest), end):
+                found = arcs.get(word[begin:end])
+                if found is None and end - begin > 1:
+                    continue
+                total = cost[begin] + (found[1] if found else self.unknown_cost)
+                if total < cost[end]:
+                    cost[end], came[end] = total, begin
+        path = []
+        while n:
+            path.append(word[came[n] : n])
+            n = came[n]
+        return path[::-1]
 
     def encode(self, keys: list[str]) -> list[list[int]]:
         return [self.shortest(k[1:] if k[0] == RAW else SPACE + k) if k else self.shortest(SPACE) for k in keys]
@@ -240,10 +294,6 @@ class Transducer:
         return text[1:] if self.model.prefix and text[:1] == " " else text
 
 
-#: Weight of a character outside the pieces of a unigram model: worse than any piece.
-UNKNOWN_COST = 1e6
-
-
 def transducer(path: str) -> tuple[Transducer, UnitTable]:
     def make():
         machine = Transducer(compile_model(path))

@@ -13,7 +13,8 @@ segments: passages whose score neither grows nor can be split for a larger sum.
 distribution: P(S >= x) = 1 - exp(-K n exp(-lambda x)). lambda solves the equation of
 Karlin and Altschul on the token scores of non-toxic calibration texts, K is the maximum-likelihood
 value for their largest segments. Passages with a p-value under ``SIGNIFICANT`` are reported;
-a document's surprise, -log p, is mapped to a probability by a logistic curve fitted on the
+a document's passages together have
+a p-value by the statistic for sums of several maxima; its -log is mapped to a probability by a logistic curve fitted on the
 calibration texts' binned counts.
 
 Labels are learned from a bounded sample: at most ``MAX_LABELLED`` labelled rows, in the order
@@ -22,6 +23,7 @@ of a hash; a third of them calibrate and the rest gives the token counts.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -38,12 +40,14 @@ from wayfold.llm.common import by_size, partitions, texts_of, worker_state
 #: Bound of the labelled sample.
 MAX_LABELLED = 200_000
 BITS = 18
-PREFIXES = (3, 5)
+PREFIXES = (3, 4, 5, 6)
 #: Weight of a prior, in tokens.
 PRIOR = 8.0
 #: Taken from every token's score, so that unrelated text drifts downwards.
-DRIFT = 0.6
+DRIFT = 1.0
 SCORE_CAP = 8.0
+#: Evidence beyond this counts no more.
+MOST = 30.0
 SIGNIFICANT = 0.01
 BATCH_BYTES = 3_000_000
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -161,15 +165,34 @@ def token_counts(sample: DataFrame) -> np.ndarray:
 
 
 def token_scores(places: np.ndarray, counts: np.ndarray, root: float) -> np.ndarray:
-    """Log-odds of tokens over those of all tokens, less the drift, by the chain of priors."""
-    share = np.full(len(places), root)
+    """Log-odds of tokens over those of all tokens, less the drift, by the chain of priors.
+
+    A level whose tokens are all those of the level above adds nothing new and is passed over.
+    """
+    share, above = np.full(len(places), root), np.full(len(places), np.iinfo(np.int64).max)
     for level in range(LEVELS):
         clean, toxic = counts[level, 0][places[:, level]], counts[level, 1][places[:, level]]
-        share = (toxic + PRIOR * share) / (toxic + clean + PRIOR)
+        n = (clean + toxic).astype(np.int64)
+        share = np.where(n < above, (toxic + PRIOR * share) / (n + PRIOR), share)
+        above = n
     odds = np.log(share / (1 - share)) - np.log(root / (1 - root))
     return np.clip(odds, -SCORE_CAP, SCORE_CAP) - DRIFT
 
 
+def text_scores(places: np.ndarray, counts: np.ndarray, root: float) -> np.ndarray:
+    """Token scores of one text; the j-th time a token comes its positive score counts 1/j, so echoes don't add up."""
+    scores = token_scores(places, counts, root)
+    good = np.flatnonzero(scores > 0)
+    if len(good) > 1:
+        word = places[good, -1]
+        order = np.argsort(word, kind="stable")
+        new = np.ones(len(good), bool)
+        new[1:] = word[order[1:]] != word[order[:-1]]
+        begun = np.maximum.accumulate(np.where(new, np.arange(len(good)), 0))
+        scores[good[order]] /= np.arange(len(good)) - begun + 1
+    return scores
+
+
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, end, sum), left to right, in linear time.
 
@@ -197,18 +220,32 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, z, float(r - l)) for a, z, l, r in zip(firsts, ends, lefts, rights)]
 
 
-def best_segment(scores: np.ndarray) -> float:
-    """The largest sum of a segment, 0 without a positive score."""
-    if not len(scores):
+def surprise(best: float, n: int, lam: float, k: float) -> float:
+    """-log of the probability that n unrelated tokens have a segment of this sum or more."""
+    if best <= 0:
         return 0.0
-    total = np.concatenate([[0.0], np.cumsum(scores)])
-    return float(max(0.0, (total - np.minimum.accumulate(total)).max()))
+    return -math.log(max(-math.expm1(-k * max(n, 1) * math.exp(-lam * best)), 1e-300))
 
 
-def surprise(best: float | np.ndarray, n: int | np.ndarray, lam: float, k: float):
-    """-log of the probability that n unrelated tokens have a segment of this sum or more."""
-    x = k * np.maximum(n, 1) * np.exp(-lam * np.asarray(best, float))
-    return np.where(np.asarray(best) > 0, -np.log(np.maximum(-np.expm1(-x), 1e-300)), 0.0)
+def evidence(sums: list[float], n: int, lam: float, k: float) -> float:
+    """-log p of a text's passages together: the best over r of the r largest.
+
+    For r > 1 this is the extreme-value statistic of Karlin and Altschul for sums: with
+    t = sum(lambda S - log(K n)) over the r largest, p is about exp(-t) t^(r-1) / (r! (r-1)!).
+    Each r beyond the first costs log 2, for the choice.
+    """
+    if not sums:
+        return 0.0
+    ordered = sorted(sums, reverse=True)
+    best, t, base = surprise(ordered[0], n, lam, k), 0.0, math.log(k * max(n, 1))
+    for r, s in enumerate(ordered, 1):
+        gain = lam * s - base
+        if gain <= 0:
+            break
+        t += gain
+        if r > 1:
+            best = max(best, t - (r - 1) * math.log(max(t, 1e-9)) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2))
+    return best
 
 
 def solve_lambda(values: np.ndarray, weight: np.ndarray) -> float:
@@ -254,26 +291,26 @@ def calibrate(sample: DataFrame, counts: np.ndarray, root: float) -> tuple[float
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_state(("slots", BITS, PREFIXES), SlotCache)
         histogram = np.zeros(size, np.int64)
-        rows: list[tuple[bool, int, float]] = []
+        rows: list[tuple[bool, int, list[float]]] = []
         for batch in by_size(batches, "text", BATCH_BYTES):
             for text, toxic in zip(texts_of(batch, "text"), batch.column(1).to_pylist()):
                 found = tokens(text)
-                values = token_scores(cache.of(found), counts, root) if found else np.zeros(0)
+                values = text_scores(cache.of(found), counts, root)
                 if not toxic:
                     histogram += np.bincount(((values + SCORE_CAP + DRIFT) / STEP).astype(int), minlength=size)
-                rows.append((bool(toxic), len(found), best_segment(values)))
+                rows.append((bool(toxic), len(found), [x for _, _, x in segments(values)]))
         bins = np.flatnonzero(histogram)
-        names = ["kind", "toxic", "n", "best", "bin", "count"]
+        names = ["kind", "toxic", "n", "sums", "bin", "count"]
         yield pa.RecordBatch.from_arrays(
             [pa.array(["text"] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.int64()),
-             pa.array([r[2] for r in rows], pa.float64()), pa.nulls(len(rows), pa.int32()), pa.array([1] * len(rows), pa.int64())], names=names)
+             pa.array([r[2] for r in rows], pa.list_(pa.float64())), pa.nulls(len(rows), pa.int32()), pa.array([1] * len(rows), pa.int64())], names=names)
         yield pa.RecordBatch.from_arrays(
             [pa.array(["bin"] * len(bins), pa.string()), pa.nulls(len(bins), pa.bool_()), pa.nulls(len(bins), pa.int64()),
-             pa.nulls(len(bins), pa.float64()), pa.array(bins, pa.int32()), pa.array(histogram[bins], pa.int64())], names=names)
+             pa.nulls(len(bins), pa.list_(pa.float64())), pa.array(bins, pa.int32()), pa.array(histogram[bins], pa.int64())], names=names)
 
     from wayfold.llm.common import kept
 
-    schema = "kind string, toxic boolean, n long, best double, bin int, count long"
+    schema = "kind string, toxic boolean, n long, sums array<double>, bin int, count long"
     seen = kept(sample.filter("calibrate").select("text", "toxic").mapInArrow(scan, schema), sample.sparkSession)
     bins = seen.filter("kind = 'bin'").groupBy("bin").agg(F.sum("count").alias("count")).collect()
     if not bins:
@@ -281,18 +318,23 @@ def calibrate(sample: DataFrame, counts: np.ndarray, root: float) -> tuple[float
     values = np.array([r["bin"] for r in bins]) * STEP - SCORE_CAP - DRIFT
     lam = solve_lambda(values, np.array([r["count"] for r in bins], float))
     texts = seen.filter("kind = 'text'")
+    largest = F.coalesce(F.array_max("sums"), F.lit(0.0))
     size_sum, n_clean = texts.filter("NOT toxic").agg(
-        F.sum(F.greatest("n", F.lit(1)) * F.exp(-F.lit(lam) * F.col("best"))), F.count(F.lit(1))
+        F.sum(F.greatest("n", F.lit(1)) * F.exp(-F.lit(lam) * largest)), F.count(F.lit(1))
     ).first()
     k = float(n_clean / size_sum) if size_sum else 1.0
-    # Surprise in tenths up to 60: at most 600 bins a class.
-    x = F.lit(k) * F.greatest("n", F.lit(1)) * F.exp(-F.lit(lam) * F.col("best"))
-    value = F.when(F.col("best") > 0, -F.log(F.greatest(-F.expm1(-x), F.lit(1e-300)))).otherwise(0.0)
-    grid = texts.groupBy(F.floor(F.least(value, F.lit(60.0)) * 10).alias("at")).agg(
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = [evidence(s, n, lam, k) for s, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.floor(np.clip(z, 0, MOST) * 10).astype(np.int32))], names=["toxic", "at"])
+
+    # Tenths up to MOST: a few hundred bins a class.
+    grid = texts.select("toxic", "sums", "n").mapInArrow(weigh, "toxic boolean, at int").groupBy("at").agg(
         F.count_if(F.col("toxic")).alias("bad"), F.count_if(~F.col("toxic")).alias("good")
     ).collect()
     at = np.array([r["at"] / 10 + 0.05 for r in grid])
-    slope, offset = fit_logistic(np.minimum(at, 30.0), np.array([r["good"] for r in grid], float), np.array([r["bad"] for r in grid], float))
+    slope, offset = fit_logistic(at, np.array([r["good"] for r in grid], float), np.array([r["bad"] for r in grid], float))
     return lam, k, max(slope, 1e-3), offset
 
 
@@ -308,6 +350,18 @@ def fit(sample: DataFrame) -> Model:
     return Model(counts.astype(np.int32), root, lam, k, slope, offset)
 
 
+def judge(places: np.ndarray, m: Model) -> tuple[float, list[dict]]:
+    """(probability, significant passages) of a text."""
+    found = segments(text_scores(places, m.counts, m.root))
+    z = min(evidence([x for _, _, x in found], len(places), m.lam, m.k), MOST)
+    rows = []
+    for first, end, total in found:
+        p = math.exp(-surprise(total, len(places), m.lam, m.k))
+        if p <= SIGNIFICANT:
+            rows.append({"first": first, "end": end, "sum": total, "p": p})
+    return 1 / (1 + math.exp(-(m.slope * z + m.offset))), rows
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """All rows with the score of the document and its significant passages.
 
@@ -328,21 +382,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 some = tokens(text)
                 found += some
                 sizes.append(len(some))
-            values = token_scores(cache.of(found), m.counts, m.root) if found else np.zeros(0)
+            places = cache.of(found)
             scores, kept_passages, at = [], [], 0
             for n in sizes:
-                own = values[at : at + n]
+                value, rows = judge(places[at : at + n], m)
                 at += n
-                best = best_segment(own)
-                z = float(surprise(best, n, m.lam, m.k))
-                scores.append(1 / (1 + np.exp(-(m.slope * min(z, 30.0) + m.offset))))
-                least = -np.log(SIGNIFICANT)
-                rows = []
-                if z >= least:
-                    for first, end, total in segments(own):
-                        zi = float(surprise(total, n, m.lam, m.k))
-                        if zi >= least:
-                            rows.append({"first": first, "end": end, "sum": total, "p": float(np.exp(-zi))})
+                scores.append(value)
                 kept_passages.append(rows)
             out = np.array(scores)
             yield pa.RecordBatch.from_arrays(
@@ -368,10 +413,7 @@ def keep_clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         for batch in by_size(batches, text_col, BATCH_BYTES):
             stays = []
             for text in batch.column(at).to_pylist():
-                found = tokens(text or "")
-                best = best_segment(token_scores(cache.of(found), m.counts, m.root)) if found else 0.0
-                z = float(surprise(best, len(found), m.lam, m.k))
-                stays.append(1 / (1 + np.exp(-(m.slope * min(z, 30.0) + m.offset))) < threshold)
+                stays.append(judge(cache.of(tokens(text or "")), m)[0] < threshold)
             yield batch.filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
