@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import by_size, partitions, worker_state
 
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 4_000_000
+#: Buckets of anchors per task, taken one after another.
+FINE = 8
 GRAM = 6
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Words as the contract cuts them: runs without ASCII white space.
@@ -123,7 +125,8 @@ def repeated_spans(docs: DataFrame, window: int = 20, gram: int = GRAM, id_col:
     place of one doc_id start at the same place, so neither is earlier. Rows without an id and
     texts under ``window`` words take no part.
     """
-    count = partitions(docs.sparkSession)
+    tasks = partitions(docs.sparkSession)
+    count = FINE * tasks
     schema = "bucket int, docs binary, rows binary, doc_id long, text_key long, first long, last long"
     names = [c.split()[0] for c in schema.split(", ")]
     out = names[3:]
@@ -181,18 +184,26 @@ def repeated_spans(docs: DataFrame, window: int = 20, gram: int = GRAM, id_col:
             )
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, parts, seen = [], [], 0
+        tables, parts, seen, open_bucket = [], [], 0, None
         for batch in batches:
             known = batch.filter(pa.compute.is_valid(batch.column("doc_id")))
             if known.num_rows:
                 yield pa.RecordBatch.from_arrays([known.column(n) for n in out], names=out)
-            for docs, rows in zip(batch.column("docs").to_pylist(), batch.column("rows").to_pylist()):
-                if rows is not None:
-                    tables.append(np.frombuffer(docs, "<i8").reshape(-1, 2))
-                    parts.append(unpack(rows, seen))
-                    seen += len(tables[-1])
-        if not parts:
-            return
+            for k, bucket in enumerate(batch.column("bucket").to_pylist()):
+                rows = batch.column("rows")[k].as_py()
+                if rows is None:
+                    continue
+                if bucket != open_bucket and parts:
+                    yield from matched(tables, parts)
+                    tables, parts, seen = [], [], 0
+                open_bucket = bucket
+                tables.append(np.frombuffer(batch.column("docs")[k].as_py(), "<i8").reshape(-1, 2))
+                parts.append(unpack(rows, seen))
+                seen += len(tables[-1])
+        if parts:
+            yield from matched(tables, parts)
+
+    def matched(tables: list, parts: list) -> Iterator[pa.RecordBatch]:
         docs = np.concatenate(tables)
         anchor, digest, doc, start = (np.concatenate(c) for c in zip(*parts))
         parts.clear()
@@ -216,7 +227,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, gram: int = GRAM, id_col:
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key")
     ).filter("doc_id IS NOT NULL")
-    return rows.mapInArrow(seeds, schema).repartition(count, "bucket").mapInArrow(extend, out_schema)
+    return rows.mapInArrow(seeds, schema).repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(extend, out_schema)
 
 
 def repeats(rank: np.ndarray, digest: np.ndarray, anchor: np.ndarray, ids: np.ndarray, start: np.ndarray):
