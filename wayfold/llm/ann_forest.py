@@ -3,8 +3,9 @@
 Equal vectors are one *point*. The splits of the trees are fitted on a sample of at most
 ``SAMPLE`` points; then every point is routed to its leaf in every tree. A query walks all trees
 through one priority queue, always taking the branch with the largest margin next (the smallest
-distance to the split planes passed on the wrong side), until the leaves it has opened hold
-``search`` points. The candidates of these leaves are ranked by exact distance.
+distance to the split planes passed on the wrong side), until the leaves it has opened hold enough
+points. How many are enough is measured: some queries are compared with every row, and the number
+is the one with which the walk finds ``RECALL`` of their neighbours. The candidates of these leaves are ranked by exact distance.
 
 Leaves are dealt in pieces of at most ``PIECE`` points, each with the queries that opened the
 leaf, so a crowded leaf is many tasks; a piece returns the nearest ``k`` of each query only.
@@ -13,6 +14,7 @@ leaf, so a crowded leaf is many tasks; a piece returns the nearest ``k`` of each
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,8 +29,10 @@ from wayfold.llm.vectors import matrix, pack
 #: Bound of the sample that fits the splits.
 SAMPLE = 50_000
 TREES = 16
-LEAF = 64
-SEARCH = 3_000
+LEAF = 128
+#: Share of true neighbours wanted of the audit's queries, and their number at most.
+RECALL = 0.94
+AUDIT = 48
 PIECE = 4_096
 
 
@@ -118,9 +122,59 @@ def fit(points: DataFrame, sample: int = SAMPLE, trees: int = TREES, leaf: int =
     return [grow(table, leaf, np.random.default_rng(seed + k)) for k in range(trees)]
 
 
+def enough(trees: list[Tree], sizes: list[np.ndarray], queries: np.ndarray, near: list[np.ndarray], recall: float) -> int:
+    """The number of points to open for the wanted share of the true neighbours ``near`` of the queries."""
+    needed: list[int] = []
+    for query, found in zip(queries, near):
+        if not len(found):
+            continue
+        homes = [set(zip([t] * len(found), route(tree, found).tolist())) for t, tree in enumerate(trees)]
+        lists = [[(t, int(leaf)) for t, leaf in zip(range(len(trees)), where)] for where in zip(*(route(tree, found) for tree in trees))]
+        wanted, seen, held = set().union(*homes), {}, 0
+        for t, leaf in opened(trees, sizes, query, int(sum(s.sum() for s in sizes))):
+            held += int(sizes[t][leaf])
+            if (t, leaf) in wanted:
+                seen[t, leaf] = held
+                if len(seen) == len(wanted):
+                    break
+        needed += [min(seen.get(place, held) for place in places) for places in lists]
+    if not needed:
+        return 1
+    needed.sort()
+    return needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]
+
+
+def true_neighbours(points: DataFrame, queries: np.ndarray, k: int) -> list[np.ndarray]:
+    """The ``k`` nearest points of each of a few queries, equal vectors left out, by comparing with all points."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple[float, bytes]]] = [[] for _ in queries]
+        for batch in batches:
+            raw = batch.column(0).to_pylist()
+            if not raw:
+                continue
+            table = matrix(batch.column(0))
+            for i, query in enumerate(queries):
+                d = ((table - query) ** 2).sum(axis=1)
+                near = np.argpartition(d, min(k, len(d) - 1))[: k + 1]
+                best[i] = sorted(best[i] + [(float(d[j]), raw[j]) for j in near if d[j] > 0])[:k]
+        rows = [(i, d, v) for i, b in enumerate(best) for d, v in b]
+        columns = list(zip(*rows)) if rows else [[]] * 3
+        kinds = [pa.int32(), pa.float64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["i", "d", "vector"])
+
+    order = Window.partitionBy("i").orderBy("d", "vector")
+    found = points.select("vector").mapInArrow(compare, "i int, d double, vector binary")
+    rows = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).collect()  # AUDIT * k rows
+    out: list[list[bytes]] = [[] for _ in queries]
+    for r in rows:
+        out[r["i"]].append(bytes(r["vector"]))
+    return [np.frombuffer(b"".join(v), "<f8").reshape(len(v), -1) for v in out]
+
+
 def search(
     df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-    sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, candidates: int = SEARCH,
+    sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL,
 ) -> DataFrame:
     """(query_id, rank, id, score): the nearest ``k`` rows found for each query but its own id.
 
@@ -153,57 +207,63 @@ def search(
             for t, tree in enumerate(shared.value):
                 leaves = route(tree, table)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(leaves), t, np.int32)), pa.array(leaves.astype(np.int32)), *batch.columns], names=["tree", "leaf", "point", "vector", "ids"]
+                    [pa.array(np.full(len(leaves), t, np.int32)), pa.array(leaves.astype(np.int32)), *batch.columns], names=["tree", "leaf", "point", "vector"]
                 )
 
-    placed = kept(points.select("point", "vector", "ids").mapInArrow(place, "tree int, leaf int, point long, vector binary, ids array<long>"), spark)
+    placed = kept(points.select("point", "vector").mapInArrow(place, "tree int, leaf int, point long, vector binary"), spark)
     counted = placed.groupBy("tree", "leaf").count().collect()  # one row per leaf of the forest
     sizes = [np.zeros(len(t.leaf), np.int64) for t in forest]
     for r in counted:
         sizes[r["tree"]][r["leaf"]] = r["count"]
+    probe = asked.select("vector").distinct().orderBy(F.xxhash64(F.lit(5), "vector")).limit(AUDIT).collect()
+    if not probe:
+        return empty
+    probes = np.frombuffer(b"".join(bytes(r["vector"]) for r in probe), "<f8").reshape(len(probe), -1)
+    candidates = max(enough(forest, sizes, probes, true_neighbours(points, probes, k), recall), 4 * k)
     pieces = [np.maximum(-(-s // PIECE), 1) for s in sizes]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            vectors = batch.column(1).to_pylist()
+            ids, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, query in enumerate(matrix(batch.column(1))):
-                for t, leaf_no in opened(shared.value, sizes, query, candidates):
-                    out += [(t, leaf_no, p, vectors[i]) for p in range(pieces[t][leaf_no])]
-            columns = list(zip(*out)) if out else [[]] * 4
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), x) for c, x in zip(columns, kinds)], names=["tree", "leaf", "piece", "query"])
+                out = [(t, x, p) for t, x in opened(shared.value, sizes, query, candidates) for p in range(pieces[t][x])]
+                columns = [pa.array(list(c), pa.int32()) for c in zip(*out)]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array([ids[i]] * len(out), pa.int64()), pa.array([vectors[i]] * len(out), pa.binary())],
+                    names=["tree", "leaf", "piece", "q", "query"],
+                )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, leaf_no = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            n = np.array([pieces[a][b] for a, b in zip(t, leaf_no)], np.int64)
+            t, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            n = np.array([pieces[a][b] for a, b in zip(t, x)], np.int64)
             piece = (batch.column(2).to_numpy() % np.maximum(n, 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(piece)], names=[*batch.schema.names, "piece"])
 
     def rank(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query", "id", "score"]
-        kinds = [pa.binary(), pa.int64(), pa.float64()]
+        names, kinds = ["q", "point", "score"], [pa.int64(), pa.int64(), pa.float64()]
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], x) for x in kinds], names=names)
-        base = matrix(left.column("vector").combine_chunks())
-        ids = left.column("ids").to_pylist()
-        out: list[tuple] = []
-        for raw in right.column("query").to_pylist():
-            d = np.sqrt(((base - np.frombuffer(raw, "<f8")) ** 2).sum(axis=1))
-            near = np.flatnonzero(d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)])
-            own = sorted((d[i], v) for i in near for v in ids[i])[: k + 1]
-            out += [(raw, v, float(x)) for x, v in own]
-        columns = list(zip(*out)) if out else [[]] * 3
-        return pa.table([pa.array(list(c), x) for c, x in zip(columns, kinds)], names=names)
-
-    questions = asked.select(F.lit(0).cast("long").alias("zero"), "vector").distinct()
-    walked = questions.mapInArrow(walk, "tree int, leaf int, piece int, query binary")
-    spread = placed.mapInArrow(cut, "tree int, leaf int, point long, vector binary, ids array<long>, piece int")
+        base, points_of = matrix(left.column("vector").combine_chunks()), left.column("point").to_numpy()
+        asks, ids = matrix(right.column("query").combine_chunks()), right.column("q").to_numpy()
+        found: list[tuple] = []
+        most = min(k, len(base) - 1)
+        for at in range(0, len(asks), 16):
+            d = np.sqrt(((asks[at : at + 16, None, :] - base[None, :, :]) ** 2).sum(axis=2))
+            # All points up to the (k + 1)-th distance, ties included.
+            i, j = np.nonzero(d <= np.partition(d, most, axis=1)[:, most : most + 1])
+            found.append((ids[at + i], points_of[j], d[i, j]))
+        return pa.table([pa.array(np.concatenate(c), x) for c, x in zip(zip(*found), kinds)], names=names)
+
+    named = kept(asked.withColumn("q", F.min("id").over(Window.partitionBy("vector"))), spark)
+    walked = named.filter("id = q").select("q", "vector").mapInArrow(walk, "tree int, leaf int, piece int, q long, query binary")
+    spread = placed.mapInArrow(cut, "tree int, leaf int, point long, vector binary, piece int")
     keys = ["tree", "leaf", "piece"]
-    pairs = spread.groupBy(*keys).cogroup(walked.groupBy(*keys)).applyInArrow(rank, "query binary, id long, score double").distinct()
-    named = asked.select(F.col("id").alias("query_id"), F.col("vector").alias("of"))
-    found = named.join(pairs, F.col("of") == F.col("query")).filter("id <> query_id")
+    pairs = spread.groupBy(*keys).cogroup(walked.groupBy(*keys)).applyInArrow(rank, "q long, point long, score double").distinct()
+    # An id among the first k belongs to one of the first k + 1 points by (score, smallest id).
+    best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "point"))).filter(F.col("r") <= k + 1)
+    rows_of = best.join(points.select("point", "ids"), "point").select("q", F.explode("ids").alias("id"), "score")
+    found = named.select(F.col("id").alias("query_id"), "q").join(rows_of, "q").filter("id <> query_id")
     order = Window.partitionBy("query_id").orderBy("score", "id")
     ranked = found.select("query_id", "id", "score").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
