@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -17,14 +18,20 @@ STATE = "wayfold_worker_state"
 
 
 def worker_state(key: tuple, make: Callable[[], object]) -> object:
-    """One object per Python worker process and key.
+    """One object per Python worker process, that of the key last asked for.
 
     Functions travel by value, so a module global would be fresh in every task; a
-    tokenizer or a cache of words is worth keeping while the worker lives.
+    tokenizer or a cache of words is worth keeping while the worker lives. Another key
+    frees what the last operator kept.
     """
     holder = sys.modules.setdefault(STATE, types.ModuleType(STATE))
     if key not in holder.__dict__:
-        holder.__dict__[key] = make()
+        for name in [n for n in holder.__dict__ if isinstance(n, tuple)]:
+            del holder.__dict__[name]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        made = make()
+        holder.__dict__[key] = made
     return holder.__dict__[key]
 
 

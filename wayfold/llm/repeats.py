@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import by_size, partitions, worker_state
 
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 3_000_000
 #: Buckets of anchors per task, taken one after another.
 FINE = 8
 GRAM = 6
@@ -54,7 +54,7 @@ def words(text: str | None) -> list[str]:
 class WordHashes:
     """64-bit hashes of words, cached per worker."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         self.limit, self.known = limit, {}
 
     def of(self, found: list[str]) -> np.ndarray:

@@ -37,7 +37,7 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 INFINITY = float("inf")
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-PAIRS_KEPT = 2_000_000
+PAIRS_KEPT = 200_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, object]]:

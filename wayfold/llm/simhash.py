@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import by_size, kept, partitions
+from wayfold.llm.common import by_size, kept, partitions, worker_state
 from wayfold.llm.components import components
 from wayfold.llm.repeats import mix, words
 
@@ -282,6 +282,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, i
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("simhash",), dict)
         for batch in by_size(batches, "text", BATCH_BYTES):
             ids, rows = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -39,7 +39,7 @@ from wayfold.llm.common import by_size, partitions, texts_of, worker_state
 
 #: Bound of the labelled sample.
 MAX_LABELLED = 200_000
-BITS = 18
+BITS = 17
 PREFIXES = (3, 4, 5, 6)
 #: Weight of a prior, in tokens.
 PRIOR = 8.0
@@ -49,7 +49,7 @@ SCORE_CAP = 8.0
 #: Evidence beyond this counts no more.
 MOST = 30.0
 SIGNIFICANT = 0.01
-BATCH_BYTES = 3_000_000
+BATCH_BYTES = 1_500_000
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Score histogram: from -SCORE_CAP-DRIFT in steps of a tenth.
 STEP = 0.1
@@ -75,7 +75,7 @@ LEVELS = len(PREFIXES) + 1
 class SlotCache:
     """Slots of words, kept per worker."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         self.limit = limit
         self.clear()
 
@@ -343,11 +343,11 @@ def fit(sample: DataFrame) -> Model:
     from wayfold.llm.common import kept
 
     rows = kept(sample, sample.sparkSession)
-    counts = token_counts(rows)
+    counts = token_counts(rows).astype(np.int32)
     clean, toxic = counts[0, 0].sum(), counts[0, 1].sum()
     root = float((toxic + 1) / (toxic + clean + 20))
     lam, k, slope, offset = calibrate(rows, counts, root)
-    return Model(counts.astype(np.int32), root, lam, k, slope, offset)
+    return Model(counts, root, lam, k, slope, offset)
 
 
 def judge(places: np.ndarray, m: Model) -> tuple[float, list[dict]]:

@@ -34,8 +34,8 @@ LONGEST_CACHED = 200
 class UnitTable:
     """Ids of pieces, looked up by key; starts anew when it holds ``limit`` keys."""
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 300_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = 200_000, tails: str = ""):
+        self.encode, self.limit, self.tails = encode, limit, tails
         self.clear()
 
     def clear(self) -> None:
@@ -47,6 +47,11 @@ class UnitTable:
         if len(self.index) > self.limit:
             self.clear()
         fresh = list(set(keys).difference(self.index))
+        ended = []
+        if self.tails:
+            # A letter and a closing mark never share a token: such a word is its stem and the mark.
+            ended = [k for k in fresh if k[-1] in self.tails and k[-2:-1].isalpha()]
+            fresh = list({k[:-1] for k in ended}.union(self.tails, set(fresh).difference(ended)).difference(self.index))
         for at in range(0, len(fresh), 4096):
             some = fresh[at : at + 4096]
             for key, ids in zip(some, self.encode(some)):
@@ -54,10 +59,18 @@ class UnitTable:
                 self.starts.append(len(self.flat))
                 self.lengths.append(len(ids))
                 self.flat.extend(ids)
+        for key in ended:
+            self.index[key] = len(self.starts)
+            parts = (self.index[key[:-1]], self.index[key[-1]])
+            self.starts.append(len(self.flat))
+            self.lengths.append(sum(self.lengths[p] for p in parts))
+            for p in parts:
+                self.flat.extend(self.flat[self.starts[p] : self.starts[p] + self.lengths[p]])
+        fresh += ended
         out = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
         for key in fresh:
             if len(key) > LONGEST_CACHED:
-                del self.index[key]
+                self.index.pop(key, None)
         return out
 
     def counts(self, rows: np.ndarray) -> np.ndarray:
@@ -102,18 +115,14 @@ def words(text: str) -> list[str]:
 
 
 def library(path: str):
-    """A tokenizers tokenizer, one per worker, on one thread."""
+    """A tokenizers tokenizer on one thread."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-    def load():
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        found = Tokenizer.from_file(path)
-        found.no_truncation()
-        found.no_padding()
-        return found
-
-    return worker_state(("tokenizer", path), load)
+    found = Tokenizer.from_file(path)
+    found.no_truncation()
+    found.no_padding()
+    return found
 
 
 def byte_level(path: str) -> UnitTable:
@@ -131,7 +140,7 @@ def word_level(path: str) -> UnitTable:
 
     def make():
         found = library(path)
-        return UnitTable(lambda keys: [e.ids for e in found.encode_batch_fast(keys, add_special_tokens=False)])
+        return UnitTable(lambda keys: [e.ids for e in found.encode_batch_fast(keys, add_special_tokens=False)], 600_000, ".,")
 
     return worker_state(("word level", path), make)
 
