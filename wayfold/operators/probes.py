@@ -39,19 +39,25 @@ def score_of(status_col: Column) -> Column:
 def offered_pairs(probes: DataFrame, assignments: DataFrame) -> DataFrame:
     """Probes with the states of both ends, per candidate when there are several.
 
-    A missing state never equals another missing state.
+    A missing state never equals another missing state. A probe end without any assignment
+    stops the job: leaving the probe out would shrink the denominator. The candidates are the
+    few groupings under comparison; only their names are read on the driver.
     """
     by = ["candidate_id"] if "candidate_id" in assignments.columns else []
-    left = assignments.select(*by, F.col("history_id").alias("left_id"), F.col("state_id").alias("left_state"))
-    right = assignments.select(*by, F.col("history_id").alias("right_id"), F.col("state_id").alias("right_state"))
-    return (
-        probes.join(left, "left_id")
-        .join(right, [*by, "right_id"])
-        .withColumn(
-            "offered",
-            F.coalesce(F.col("left_state") == F.col("right_state"), F.lit(False)),
+    if by:
+        names = sorted(r[0] for r in assignments.select("candidate_id").distinct().collect())
+        probes = probes.withColumn("candidate_id", F.explode(F.array(*map(F.lit, names))))
+    ends = {
+        side: assignments.select(
+            *by, F.col("history_id").alias(f"{side}_id"), F.col("state_id").alias(f"{side}_state"), F.lit(True).alias(f"_{side}")
         )
-    )
+        for side in ("left", "right")
+    }
+    joined = probes.join(ends["left"], [*by, "left_id"], "left").join(ends["right"], [*by, "right_id"], "left")
+    absent = F.col("_left").isNull() | F.col("_right").isNull()
+    message = F.concat(F.lit("no assignment for an end of the probe "), F.col("left_id"), F.lit(" / "), F.col("right_id"))
+    same = F.coalesce(F.col("left_state") == F.col("right_state"), F.lit(False))
+    return joined.withColumn("offered", F.when(absent, F.raise_error(message)).otherwise(same)).drop("_left", "_right")
 
 
 def score(probes: DataFrame, assignments: DataFrame, mode: str = "proxy") -> DataFrame:

@@ -234,13 +234,14 @@ def grade(
     submissions: DataFrame,
     constraints: Mapping[str, Column] | None = None,
     *,
-    max_rows: int = MAX_RESULT_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Grades every submission in one job: (submission_id, reward, reason, rows).
 
     ``submissions`` has submission_id and the columns of ``expected``; a
     constraint is a boolean aggregate over the rows of one submission. Only
-    submissions of the right size, at most ``max_rows``, are compared row by row.
+    submissions of the right size are compared row by row; ``max_rows`` refuses
+    longer ones, by default none.
     """
     columns = expected.columns
     if columns != [c for c in submissions.columns if c != "submission_id"]:
@@ -251,7 +252,8 @@ def grade(
     stats = submissions.groupBy("submission_id").agg(
         F.count(F.lit(1)).alias("rows"), *[test.alias(n) for n, test in flags.items()]
     ).withColumn("_expected", size)
-    sized = stats.filter((F.col("rows") == F.col("_expected")) & (F.col("rows") <= max_rows)).select("submission_id")
+    long = F.lit(False) if max_rows is None else F.col("rows") > max_rows
+    sized = stats.filter((F.col("rows") == F.col("_expected")) & ~long).select("submission_id")
     rows, names = _keyed(submissions.join(sized, "submission_id", "left_semi"), ["submission_id"])
     frozen, _ = _keyed(expected)
     frozen = _numbered(frozen, names, ["_key"]).select("_key", "pos", *[F.col(n).alias(f"e{n}") for n in names])
@@ -266,7 +268,7 @@ def grade(
         .agg(F.count(F.lit(1)).alias("_hits"))
     )
     graded = stats.join(hits, "submission_id", "left")
-    reason = F.when(F.col("rows") > max_rows, "too many rows").when(
+    reason = F.when(long, "too many rows").when(
         F.col("rows") != F.col("_expected"), "row count mismatch"
     ).when(F.coalesce("_hits", F.lit(0)) < F.col("_expected"), "result differs")
     for (name, _), flag in zip(constraints.items(), flags, strict=True):

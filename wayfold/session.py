@@ -47,9 +47,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="wayfold-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="wayfold-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:

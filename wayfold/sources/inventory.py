@@ -60,8 +60,8 @@ def tasks(metadata: DataFrame, found: DataFrame) -> DataFrame:
     """One row per task: allowed metadata, labels, instruction hash, file receipts.
 
     ``metadata`` holds the task settings as a table (task_id and any fields; only
-    the public ones pass). Files are below ``tasks/<task_id>/``. A task without an
-    instruction or without any row stops the job.
+    the public ones pass). Files are below ``tasks/<task_id>/``. A task of the
+    metadata without an instruction, and so one without files, stops the job.
     """
     task = F.regexp_extract("path", r"(?:^|/)tasks/([^/]+)/", 1)
     listed = found.withColumn("task_id", task).filter("task_id <> ''")
@@ -78,7 +78,7 @@ def tasks(metadata: DataFrame, found: DataFrame) -> DataFrame:
     for name, kind in (("category", "string"), ("tags", "array<string>"), ("difficulty", "string")):
         if name not in public:
             metadata, public = metadata.withColumn(name, F.lit(None).cast(kind)), [*public, name]
-    rows = metadata.select("task_id", *public).join(packed, "task_id").join(text, "task_id", "left")
+    rows = metadata.select("task_id", *public).join(packed, "task_id", "left").join(text, "task_id", "left")
     return inventory.labelled(rows.withColumn("instruction", _required(F.col("instruction"))))
 
 
