@@ -31,7 +31,7 @@ from wayfold.llm.common import by_size, texts_of, worker_state
 from wayfold.llm.units import RAW, UnitTable, split_all, sums
 
 SPACE = "▁"
-BATCH_BYTES = 3_000_000
+BATCH_BYTES = 2_000_000
 #: Fixed values of the model file: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -335,20 +335,35 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, _ = transducer(model)
         for batch in batches:
-            texts = [None if ids is None else machine.decode(ids) for ids in batch.column(at).to_pylist()]
+            texts = [machine.decode(ids.as_py()) if ids.is_valid else None for ids in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, text_col])
 
     fields_of = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{fields_of}, `{text_col}` string")
 
 
-def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, n_tokens, decoded_equal): encoding of each whole text, decoded again.
+def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """(doc_id, ids, n_tokens, decoded_equal): encoding of each whole text, decoded again in the same task.
 
     ``decoded_equal``: the decoded text is the text, in which U+2581 counts as a space.
     """
-    rows = encode(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")), model)
-    text = F.translate("text", SPACE, " ")
-    return decode(rows, model).select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == text).alias("decoded_equal")
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, found = transducer(model)
+        for batch in by_size(batches, "text", batch_bytes):
+            texts = texts_of(batch, "text")
+            keys, sizes = split_all(texts, machine.words)
+            rows = found.rows(keys)
+            del keys
+            ends = np.concatenate([[0], np.cumsum(sums(found.counts(rows), sizes))]).astype(np.int32)
+            ids = found.ids(rows)
+            equal = [machine.decode(ids[a:z].tolist()) == t.replace(SPACE, " ") for a, z, t in zip(ends, ends[1:], texts)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32())),
+                 pa.array(np.diff(ends).astype(np.int64)), pa.array(equal, pa.bool_())],
+                names=["doc_id", "ids", "n_tokens", "decoded_equal"],
+            )
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long, decoded_equal boolean")
