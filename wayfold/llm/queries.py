@@ -53,7 +53,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_dir(spark, "warc")
     runs = warc.write(table(spark, sf_dir, "pages"), folder)
     return warc.read(warc.index(runs, folder), columns="digest").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "range_no", "range_pos"
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 
 
@@ -92,4 +92,10 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_nn_descent": op10_nn_descent,
 }
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {
+    "op5_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    f AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
+          CASE WHEN strlen(html) >= 100 THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS first FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
+}
