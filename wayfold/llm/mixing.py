@@ -17,9 +17,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates per pass over the shares: four halvings of the interval at a time.
-STEPS = 16
-PASSES = 10
+from wayfold.session import fresh_dir
+
+#: Candidates per pass over the shares: eight halvings of the interval at a time.
+STEPS = 256
+PASSES = 5
 
 
 def word_count(text: Column) -> Column:
@@ -37,8 +39,8 @@ def shares(sized: DataFrame) -> DataFrame:
     return by.filter("tokens > 0").withColumn("share", F.col("tokens") / F.lit(total))
 
 
-def _measures(by: DataFrame, exponents: list[float]) -> DataFrame:
-    """Per exponent a: the entropy (nats) of share^a, normalised, and the largest ratio of repetitions.
+def _measures(by: DataFrame, low: float, step: float) -> DataFrame:
+    """Per exponent a = low + k * step, k from 0 to STEPS: the entropy (nats) of share^a, normalised, and the largest ratio of repetitions.
 
     The ratio compares a source's copies per token with those of the least repeated source.
     With p = share^a and Z their sum, the entropy is log Z - sum(p log p) / Z.
@@ -46,7 +48,8 @@ def _measures(by: DataFrame, exponents: list[float]) -> DataFrame:
     power = F.pow("share", "a")
     rate = F.pow("share", F.col("a") - 1)
     return (
-        by.select("share", F.explode(F.array(*map(F.lit, exponents))).alias("a"))
+        by.select("share", F.explode(F.sequence(F.lit(0), F.lit(STEPS))).alias("k"))
+        .withColumn("a", F.lit(low) + F.col("k") * F.lit(step))
         .groupBy("a")
         .agg(
             F.sum(power).alias("z"),
@@ -79,8 +82,7 @@ def exponent(by: DataFrame, entropy: float | None = None, max_repeats: float | N
     low, high = 0.0, 1.0
     for _ in range(PASSES):
         step = (high - low) / STEPS
-        tried = [low + k * step for k in range(STEPS + 1)]
-        measured = _measures(by, tried).select("a", met.alias("met"))
+        measured = _measures(by, low, step).select("a", met.alias("met"))
         if entropy is not None:  # met up to some exponent
             best = measured.filter("met").agg(F.max("a")).first()[0]
             if best is None:
@@ -144,11 +146,11 @@ def schedule(sized: DataFrame, weighted: DataFrame, seed: int = 0, block_tokens:
     keep a copy each. A copy is taken if it starts inside the source's budget, so the last one
     may pass the budget by less than one document. Its place in the budget, as a fraction,
     gives its ``block``; ``slot`` numbers the copies of a block by another seeded digest.
-    Documents without tokens come in the first epoch only and cost nothing; those of a source
-    without any tokens stand in block 0.
+    Documents without tokens come once, cost nothing and are dealt over the blocks by their
+    digest; there are enough blocks that they hold ``block_tokens`` rows each, too.
     """
     amounts = weighted.agg(F.coalesce(F.sum("budget"), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(amounts / block_tokens))
+    blocks = max(1, math.ceil(max(amounts, sized.count()) / block_tokens))
     w = weighted.select("source", F.col("tokens").alias("source_tokens"), "docs", "budget")
     rows = sized.select("key", "source", "tokens")
     match = rows["source"].eqNullSafe(w["source"])
@@ -157,18 +159,25 @@ def schedule(sized: DataFrame, weighted: DataFrame, seed: int = 0, block_tokens:
     epochs = F.sequence(F.lit(0), F.greatest(F.coalesce(last, F.lit(0)), F.lit(0)).cast("int"))
     copies = placed.withColumn("epoch", F.explode(epochs))
     ranked = copies.withColumn("rank", _random(F.lit(seed), F.col("epoch"), F.coalesce("key", F.lit(-1))))
-    filled = ranked.fillna({"source_tokens": 0, "docs": 1, "budget": 0})
-    summed = _position(filled, ["source", "epoch", "source_tokens", "budget", "docs"], "tokens")
+    columns = ["key", "source", "tokens", "epoch"]
+    summed = _position(ranked.filter("tokens > 0"), ["source", "epoch", "source_tokens", "budget", "docs"], "tokens")
     at = F.col("epoch") * F.col("source_tokens") + F.col("before")
-    taken = summed.withColumn("at", at).filter((F.col("at") < F.col("budget")) | (F.col("tokens") == 0))
-    share = F.when(F.col("budget") > 0, F.least(F.col("at"), F.col("budget") - 1) / F.col("budget")).otherwise(0.0)
-    dealt = taken.withColumn("block", F.floor(share * F.lit(blocks)).cast("long"))
+    paid = summed.filter(at < F.col("budget")).select(*columns, (at / F.col("budget")).alias("share"))
+    free = ranked.filter("tokens = 0").select(*columns, (F.col("rank") / F.lit(1 << 32)).alias("share"))
+    dealt = paid.unionByName(free).withColumn("block", F.floor(F.col("share") * F.lit(blocks)).cast("long"))
     inside = Window.partitionBy("block").orderBy(
         _random(F.lit(seed), F.lit("slot"), F.col("epoch"), F.coalesce("key", F.lit(-1))), "key", "epoch", "tokens", "source"
     )
     return dealt.select("key", "source", "tokens", "epoch", "block", F.row_number().over(inside).cast("long").alias("slot"))
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder, so that texts are counted once and every pass reads the counts."""
+    path = fresh_dir(df.sparkSession, "mixing")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def mixture(
     docs: DataFrame, entropy: float | None = None, max_repeats: float | None = None, budget: int | None = None, seed: int = 0,
     block_tokens: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -177,10 +186,10 @@ def mixture(
 
     Null texts have no tokens; other columns are ignored; an empty table gives an empty mixture.
     """
-    sized = docs.select(
+    sized = _stored(docs.select(
         F.col(id_col).cast("long").alias("key"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("tokens")
-    )
-    by = shares(sized)
+    ))
+    by = _stored(shares(sized))
     weighted = weights(by, exponent(by, entropy, max_repeats), budget)
     rows = schedule(sized, weighted, seed, block_tokens)
     w = weighted.select(F.col("source").alias("of"), "weight")
