@@ -15,14 +15,26 @@ from wayfold.operators import matching, ordering, pairs, paths, probes
 def test_positions_of_a_cut_group(spark):
     rows = [("hot", i * 3) for i in range(200)] + [("cold", i) for i in (5, 1, 9)]
     df = spark.createDataFrame(rows, "k string, n long").repartition(5)
-    for size in (1_000, 16):
-        found = {(r["k"], r["n"]): (r["pos"], r["group_rows"]) for r in ordering.positions(df, ["k"], "n", slice_rows=size).collect()}
+    for slices in (1, 13):
+        found = {(r["k"], r["n"]): (r["pos"], r["group_rows"]) for r in ordering.positions(df, ["k"], "n", slices=slices).collect()}
         assert all(found["hot", i * 3] == (i, 200) for i in range(200))
         assert [found["cold", n][0] for n in (1, 5, 9)] == [0, 1, 2]
-    whole = {r["n"]: r["pos"] for r in ordering.positions(df.filter("k = 'hot'"), [], "n", slice_rows=7).collect()}
+    whole = {r["n"]: r["pos"] for r in ordering.positions(df.filter("k = 'hot'"), [], "n", slices=29).collect()}
     assert whole == {i * 3: i for i in range(200)}
 
 
+@pytest.mark.parametrize("slices", [1, 17])
+def test_positions_with_nulls_texts_and_an_outlier(spark, slices):
+    rows = [(None, f"x{i:03d}", float(i)) for i in range(60)] + [("a", None, None), ("a", "z", 1e300), ("a", "b", 1.0)]
+    df = spark.createDataFrame(rows, "k string, t string, v double").repartition(4)
+    for order in ("t", "v"):
+        found = ordering.positions(df, ["k"], order, slices=slices).collect()
+        assert len(found) == 63
+        assert {r["t"]: (r["pos"], r["group_rows"]) for r in found if r["k"] is None} == {f"x{i:03d}": (i, 60) for i in range(60)}
+        assert {r["t"]: r["pos"] for r in found if r["k"] == "a"} == {None: 0, "b": 1, "z": 2}
+    assert ordering.positions(df.limit(0), ["k"], "t", slices=slices).count() == 0
+
+
 def sequential(rows, cap, limit):
     used, out = {}, []
     for rank, a, b in sorted(rows):
@@ -229,6 +241,33 @@ def test_path_selection_equals_brute_force(spark, seed, limit):
     assert {tuple(r[c] for c in ids) for r in ledger.collect()} == blocked
 
 
+def test_best_path_of_every_task_pair(spark):
+    rng = random.Random(5)
+    moves = [(f"h{i:03d}a", f"h{i:03d}b", f"t{i % 60:02d}", "go", *rng.sample(["S0", "S1"], 2)) for i in range(240)]
+    stats = {"S0": (0.25, 3), "S1": (0.0, 9)}
+    joined = [(a[1], b[0]) for a, b in itertools.product(moves, moves) if a[5] == b[4] and a[2] != b[2]]
+    rows = [
+        (f"p{i}", x, y, "contradicted" if i % 3 else "supported", "supported", None, "full_observed_segment")
+        for i, (x, y) in enumerate(rng.sample(joined, 300))
+    ]
+    junction_rows = paths.junctions(bank(spark, *rows))
+    status = {
+        (r["left_history_id"], r["right_history_id"]): (r["junction_status"], r["compilation_status"]) for r in junction_rows.collect()
+    }
+    best = {}
+    for a, b in itertools.product(moves, moves):
+        if a[5] == b[4] and a[2] != b[2]:
+            label, compilation = status.get((a[1], b[0]), ("unknown", "unassessed"))
+            if compilation != "blocked_decision_mismatch":
+                key = (a[5], "|".join(sorted((a[2], b[2]))))
+                rank = (label != "supported", digest(a), digest(b), (a[0], b[0]))
+                best[key] = min(best.get(key, rank), rank)
+    outcome = spark.createDataFrame([(s, v, n) for s, (v, n) in stats.items()], "state_id string, pooled_binary_variance double, distinct_rollouts long")
+    found = paths.best_per_task_pair(spark.createDataFrame(moves, MOVES), junction_rows, outcome).collect()
+    assert len(best) > 1_500
+    assert {(r["target_state"], r["task_pair"]): (r["left_source_id"], r["right_source_id"]) for r in found} == {k: v[-1] for k, v in best.items()}
+
+
 def test_path_totals(spark):
     moves = [("a", "b", "t1", "x", "S", "M"), ("c", "d", "t2", "x", "M", "E"), ("e", "f", "t1", "x", "M", "E"), ("a", "b", "t1", "x", "S", "M")]
     row = paths.totals(spark.createDataFrame(moves, MOVES)).first()

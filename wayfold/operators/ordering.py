@@ -1,7 +1,7 @@
 """Positions and bounded prefixes of ordered groups.
 
 Both helpers keep one very large group off a single task: positions are numbered
-slice by slice, and ranked prefixes filter on ``row_number`` so that Spark keeps
+range by range, and ranked prefixes filter on ``row_number`` so that Spark keeps
 only the needed rows per group before the shuffle.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE_ROWS = 500_000
+from wayfold.session import cut_lineage
 
 
 def positions(
@@ -21,63 +21,40 @@ def positions(
     slice_on: str,
     ties: Sequence[str] = (),
     *,
-    slice_rows: int = SLICE_ROWS,
+    slices: int | None = None,
 ) -> DataFrame:
     """Adds ``pos`` (0-based place in its group) and ``group_rows``.
 
-    The group sizes are counted first. While no group is longer than
-    ``slice_rows`` a plain window numbers them. Otherwise longer groups are cut
-    into equal ranges of the numeric column ``slice_on``; each range is numbered by
-    itself and shifted by the number of rows before it.
+    Rows are dealt into ``slices`` ranges of (keys, slice_on, ties) whose bounds Spark
+    samples from the data, so a large group fills several ranges. Each range is
+    numbered by itself and shifted by the rows of its group in earlier ranges. Nulls
+    come first, null keys form a group, and any orderable type will do. The dealt rows
+    are checkpointed, since both branches below must see the same bounds.
     """
-    keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
-    if (sizes.first()["n"] or 0) <= slice_rows:
-        group = Window.partitionBy(*keys)
-        place = F.row_number().over(group.orderBy(slice_on, *ties)) - 1
-        return df.withColumn("pos", place.cast("long")).withColumn(
-            "group_rows", F.count(F.lit(1)).over(group)
-        )
-    measures = (
-        F.count(F.lit(1)).alias("group_rows"),
-        F.min(slice_on).cast("double").alias("_lo"),
-        F.max(slice_on).cast("double").alias("_hi"),
-    )
-    if keys:
-        joined = df.join(df.groupBy(*keys).agg(*measures), keys)
-    else:
-        whole = df.agg(F.struct(*measures)).scalar()
-        joined = df.withColumn("_whole", whole).select("*", "_whole.*").drop("_whole")
-    cuts = F.ceil(F.col("group_rows") / F.lit(slice_rows))
-    width = (F.col("_hi") - F.col("_lo")) / cuts
-    sliced = joined.withColumn(
-        "_slice",
-        F.when((cuts <= 1) | (width <= 0), F.lit(0).cast("long")).otherwise(
-            F.least(cuts - 1, F.floor((F.col(slice_on).cast("double") - F.col("_lo")) / width))
-        ),
-    )
+    keys, order = list(keys), [slice_on, *ties]
+    ranges = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(ranges, *[F.col(c) for c in (*keys, *order)])
+    rows = cut_lineage(dealt.withColumn("_slice", F.spark_partition_id()))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # At most one row per key and range, so the window over all ranges stays small.
     offsets = (
-        sliced.groupBy(*keys, "_slice")
+        rows.groupBy(*keys, "_slice")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn(
-            "_before",
-            F.coalesce(
-                F.sum("_n").over(
-                    Window.partitionBy(*keys)
-                    .orderBy("_slice")
-                    .rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
+        .select(
+            *[F.col(k).alias(f"_of_{k}") for k in keys],
+            F.col("_slice").alias("_of_slice"),
+            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+            F.sum("_n").over(group).alias("group_rows"),
         )
-        .drop("_n")
     )
-    local = Window.partitionBy(*keys, "_slice").orderBy(slice_on, *ties)
-    numbered = sliced.withColumn("_local", F.row_number().over(local))
-    return (
-        numbered.join(offsets, [*keys, "_slice"])
-        .withColumn("pos", (F.col("_before") + F.col("_local") - 1).cast("long"))
-        .drop("_lo", "_hi", "_slice", "_before", "_local")
+    local = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    numbered = rows.withColumn("_local", F.row_number().over(local))
+    match = F.col("_slice") == F.col("_of_slice")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return numbered.join(offsets, match).select(
+        *df.columns, (F.col("_before") + F.col("_local") - 1).cast("long").alias("pos"), "group_rows"
     )
 
 

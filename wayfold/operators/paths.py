@@ -221,6 +221,29 @@ def candidates(
     return _with_evidence(both, junction_rows, outcome)
 
 
+def best_per_task_pair(witnesses: DataFrame, junction_rows: DataFrame, outcome: DataFrame) -> DataFrame:
+    """The first open path of every state and task pair.
+
+    Heads of each (state, task) meet task by task, one row per history at the state.
+    A history is blocked with at most ``spare`` partners, so that many rows besides
+    the first hold an open path if there is any; supported paths come from the
+    evidence itself.
+    """
+    witnesses, junction_rows, outcome = _settled(witnesses, junction_rows, outcome)
+    blocked = F.col("compilation_status") == "blocked_decision_mismatch"
+    spare = _degree(junction_rows.filter(blocked))
+    sides = []
+    for role, end in (("left", "target"), ("right", "source")):
+        group = ["state_id", f"{role}_task"]
+        rows = first_per(_side(witnesses, role), [*group, f"{role}_{end}_id"], [f"{role}_key", f"{role}_operation"])
+        sides.append(first_rows(rows, group, [F.col(f"{role}_key")], spare + 1))
+    lefts, rights = sides
+    heads = _joined(lefts, rights)
+    both = heads.unionByName(judged(witnesses, junction_rows).select(heads.columns)).distinct()
+    open_paths = _with_evidence(both, junction_rows, outcome).filter(~blocked)
+    return first_per(open_paths, ["target_state", "task_pair"], list(RANK))
+
+
 def cross_task(
     witnesses: DataFrame, junction_rows: DataFrame, outcome: DataFrame, limit: int = 8
 ) -> tuple[DataFrame, DataFrame]:

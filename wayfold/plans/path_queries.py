@@ -119,9 +119,7 @@ def blocked_paths(v: Views):
     ),
 )
 def best_path_per_state_and_task_pair(v: Views):
-    rows = paths.candidates(witnesses(v), junction_rows(v), pooled_outcomes(v), 8)
-    open_rows = rows.filter("compilation_status <> 'blocked_decision_mismatch'")
-    picked = paths.first_per(open_rows, ["target_state", "task_pair"], list(paths.RANK))
+    picked = paths.best_per_task_pair(witnesses(v), junction_rows(v), pooled_outcomes(v))
     return picked.select(
         "target_state", "task_pair", "left_source_id", "left_target_id", "right_source_id", "right_target_id", "junction_status"
     )
