@@ -107,7 +107,7 @@ def completed_and_skipped_trials(v: Views):
     ),
 )
 def anchors_quantile(v: Views):
-    return anchors.select(v["trial_calls"]).select(
+    return v.chosen_anchors.select(
         "rollout_id", "call_index", "history_id", "pos", "recorded_calls", "state_id"
     )
 
@@ -121,12 +121,12 @@ def anchors_quantile(v: Views):
     ),
 )
 def anchors_without_repeats(v: Views):
-    chosen = anchors.select(v["trial_calls"]).withColumn("prefix_key", F.col("operation"))
+    chosen = v.chosen_anchors.withColumn("prefix_key", F.col("operation"))
     return anchors.dedupe(chosen).select("rollout_id", "prefix_key", "call_index")
 
 
 def anchor_transitions(v: Views):
-    return segments.between_anchors(anchors.select(v["trial_calls"]))
+    return segments.between_anchors(v.chosen_anchors)
 
 
 def aligned_records(v: Views):
@@ -229,7 +229,7 @@ def trial_coverage(v: Views):
 
 def witness_rows(v: Views):
     """Transitions joined to the states of both ends."""
-    chosen = anchors.select(v["trial_calls"])
+    chosen = v.chosen_anchors
     histories = chosen.select("history_id", "task_id", "rollout_id", F.col("call_index").alias("step"))
     moves = segments.between_anchors(chosen).select("source_id", "target_id", "operation")
     return graph.witnesses(moves, histories, chosen.select("history_id", "state_id"))
@@ -269,7 +269,7 @@ def graph_edges(v: Views):
     check_sql("SELECT state_id, count(*) AS histories FROM anchor_rows WHERE state_id IS NOT NULL GROUP BY 1", "anchor_rows"),
 )
 def graph_nodes(v: Views):
-    return graph.nodes(anchors.select(v["trial_calls"]))
+    return graph.nodes(v.chosen_anchors)
 
 
 @query(
@@ -292,7 +292,7 @@ POOLED = """SELECT state_id, count(*) AS distinct_rollouts, count(*) FILTER (rew
 
 
 def pooled_outcomes(v: Views):
-    return outcomes.pool(anchors.select(v["trial_calls"]), v["trial_results"])
+    return outcomes.pool(v.chosen_anchors, v["trial_results"])
 
 
 @query(
@@ -323,7 +323,7 @@ def pooled_outcomes_query(v: Views):
     ),
 )
 def state_membership(v: Views):
-    chosen = anchors.select(v["trial_calls"])
+    chosen = v.chosen_anchors
     definitions = chosen.filter("state_id IS NOT NULL").select("state_id").distinct().withColumn(
         "description", F.concat(F.lit("state "), "state_id")
     )

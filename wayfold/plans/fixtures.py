@@ -186,7 +186,7 @@ class Views:
                 if name in TEXT_TABLES:
                     made = spread(made)
             elif name == "anchor_rows":
-                made = anchors.select(self["trial_calls"]).withColumnRenamed("recorded_calls", "n")
+                made = self.chosen_anchors.withColumnRenamed("recorded_calls", "n")
             else:
                 deps, text = VIEWS[name]
                 reads = {n: self[n] for n in (*TABLES, *deps) if "{" + n + "}" in text}
@@ -194,6 +194,11 @@ class Views:
             self._made[name] = made
         return self._made[name]
 
+    @cached_property
+    def chosen_anchors(self) -> DataFrame:
+        """The anchor calls of every trial, numbered once for all branches of a query."""
+        return anchors.select(self["trial_calls"])
+
     @cached_property
     def call_records(self) -> DataFrame:
         """One row per policy call, holding the whole message list before it."""
