@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from wayfold.llm import mixing, repeats, sentencepiece_wfst, simhash, token_counts, token_files, toxicity
+from wayfold.llm import mixing, repeats, sentencepiece_wfst, simhash, token_counts, token_files, toxicity, units
 from wayfold.llm.queries import tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -47,6 +47,20 @@ def test_token_files(spark, odd, none, tmp_path):
     assert token_files.read(token_files.store_tokens(none, path, 1, folder=f"file://{tmp_path}/e")).count() == 0
 
 
+def test_word_level_units_equal_the_library():
+    """Marks after letters, added tokens in any case, characters that change when lowered, the separator itself."""
+    parts = ["a", "B", "É", "e\u0301", "İ", "Σ", "\u0958", "~", "|", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'", "1", "!", ".", ",", "=", ">"]
+    parts += ["\x1c", "\x85", " ", " ", "\n", "漢", "ǅ", "\u0338", "\u200b", "x" * 300]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(8000)]
+    found, encode = units.word_level(tokenizer("word_bpe_49k.json")), library("word_bpe_49k.json").encode
+    keys, sizes = units.split_all(texts, units.words)
+    rows = found.rows(keys)
+    ends = np.cumsum(units.sums(found.counts(rows), sizes))
+    for text, ids in zip(texts, np.split(found.ids(rows), ends[:-1])):
+        assert ids.tolist() == encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_frames_random_access_and_checksum(tmp_path):
     import pyarrow as pa
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import by_size, texts_of, worker_state
-from wayfold.llm.units import RAW, UnitTable, split_all, sums
+from wayfold.llm.units import RAW, UnitTable, laid_flat, split_all, sums
 
 SPACE = "▁"
 BATCH_BYTES = 2_000_000
@@ -297,7 +297,7 @@ class Transducer:
 def transducer(path: str) -> tuple[Transducer, UnitTable]:
     def make():
         machine = Transducer(compile_model(path))
-        return machine, UnitTable(machine.encode)
+        return machine, UnitTable(lambda keys: laid_flat(machine.encode(keys)))
 
     return worker_state(("transducer", path), make)
 

@@ -27,14 +27,26 @@ PYTHON_ONLY_SPACE = "\x1c\x1d\x1e\x1f"
 SPACE = " \n" + OTHER_SPACE
 PIECES = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 WORDS = re.compile(f"[^{SPACE}]+")
+#: Outside of these characters lower case may depend on the neighbours or on the version of Unicode.
+NO_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: A word that is one token of its own and set between words encoded as one text.
+BETWEEN = "~"
+#: ASCII marks at the end of a word. ">" isn't one of them, as it ends added tokens.
+MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c not in BETWEEN + ">")
 RAW = "\x00"
 LONGEST_CACHED = 200
 
 
 class UnitTable:
-    """Ids of pieces, looked up by key; starts anew when it holds ``limit`` keys."""
+    """Ids of pieces, looked up by key; starts anew when it holds ``limit`` keys.
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 200_000, tails: str = ""):
+    ``encode`` gives (ids, starts, lengths) of a list of keys: the ids of key k are
+    ``ids[starts[k] : starts[k] + lengths[k]]``. With ``tails``, a key that ends in these
+    characters after a Latin letter or an ASCII digit is taken as its stem and its tail, which
+    never share a token.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple], limit: int = 200_000, tails: str = ""):
         self.encode, self.limit, self.tails = encode, limit, tails
         self.clear()
 
@@ -42,33 +54,46 @@ class UnitTable:
         self.index: dict[str, int] = {}
         self.starts, self.lengths, self.flat = array("q"), array("i"), array("i")
 
+    def add(self, keys: list[str], ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        self.index.update(zip(keys, range(len(self.starts), len(self.starts) + len(keys))))
+        self.starts.frombytes((starts + len(self.flat)).astype(np.int64).tobytes())
+        self.lengths.frombytes(lengths.astype(np.int32).tobytes())
+        self.flat.frombytes(ids.astype(np.int32).tobytes())
+
+    def halves(self, key: str) -> tuple[str, str]:
+        """Stem and tail of a key; the tail is empty where nothing can be cut."""
+        stem = key.rstrip(self.tails)
+        # Other letters can end in a mark once they are normalised or lowered, which then joins the tail.
+        cut = stem and len(stem) < len(key) and not NO_LATIN.match(stem[-1]) and (stem[-1].isalpha() or stem[-1] in "0123456789")
+        return (stem, key[len(stem) :]) if cut else (key, "")
+
     def rows(self, keys: list[str]) -> np.ndarray:
         """The row of each key; new keys are encoded together."""
         if len(self.index) > self.limit:
             self.clear()
         fresh = list(set(keys).difference(self.index))
-        ended = []
+        ended: list[str] = []
+        halves: list[str] = []
         if self.tails:
-            # A letter and a closing mark never share a token: such a word is its stem and the mark.
-            ended = [k for k in fresh if k[-1] in self.tails and k[-2:-1].isalpha()]
-            fresh = list({k[:-1] for k in ended}.union(self.tails, set(fresh).difference(ended)).difference(self.index))
+            single = set()
+            for key in fresh:
+                stem, tail = self.halves(key)
+                if tail:
+                    ended.append(key)
+                    halves += (stem, tail)
+                else:
+                    single.add(key)
+            fresh = list(single.union(halves).difference(self.index))
         for at in range(0, len(fresh), 4096):
             some = fresh[at : at + 4096]
-            for key, ids in zip(some, self.encode(some)):
-                self.index[key] = len(self.starts)
-                self.starts.append(len(self.flat))
-                self.lengths.append(len(ids))
-                self.flat.extend(ids)
-        for key in ended:
-            self.index[key] = len(self.starts)
-            parts = (self.index[key[:-1]], self.index[key[-1]])
-            self.starts.append(len(self.flat))
-            self.lengths.append(sum(self.lengths[p] for p in parts))
-            for p in parts:
-                self.flat.extend(self.flat[self.starts[p] : self.starts[p] + self.lengths[p]])
-        fresh += ended
+            self.add(some, *self.encode(some))
+        if ended:
+            parts = np.fromiter(map(self.index.__getitem__, halves), np.int64, len(halves))
+            lengths = self.counts(parts)
+            ids, whole = self.ids(parts), lengths.reshape(-1, 2).sum(axis=1)
+            self.add(ended, ids, np.cumsum(whole) - whole, whole)
         out = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
-        for key in fresh:
+        for key in fresh + ended:
             if len(key) > LONGEST_CACHED:
                 self.index.pop(key, None)
         return out
@@ -108,8 +133,11 @@ def piece_of(key: str) -> str:
 
 
 def words(text: str) -> list[str]:
-    """The runs of a text without white space; ASCII texts in lower case."""
-    if text.isascii():
+    """The runs of a text without white space; Latin texts in lower case.
+
+    Added tokens are found in the text as it is written, so a text that may hold one keeps its case.
+    """
+    if "<|" not in text and not NO_LATIN.search(text):
         text = text.lower()
     return WORDS.findall(text) if any(c in text for c in PYTHON_ONLY_SPACE) else text.split()
 
@@ -125,12 +153,39 @@ def library(path: str):
     return found
 
 
+def laid_flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, starts, lengths) of lists of ids."""
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.array([i for some in lists for i in some], np.int32), np.cumsum(lengths) - lengths, lengths
+
+
+def one_by_one(found, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, starts, lengths) of the keys, each encoded as a text of its own."""
+    return laid_flat([e.ids for e in found.encode_batch_fast(keys, add_special_tokens=False)])
+
+
+def together(found, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, starts, lengths) of words without white space, encoded as few texts with BETWEEN between them.
+
+    One text for many words spares the library an object per word. Where a word holds BETWEEN
+    itself, the marks don't match and all are encoded one by one.
+    """
+    texts = [f" {BETWEEN} ".join(keys[at : at + 256]) + f" {BETWEEN}" for at in range(0, len(keys), 256)]
+    ids = np.array([i for e in found.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.int32)
+    (mark,) = found.encode(BETWEEN, add_special_tokens=False).ids
+    ends = np.flatnonzero(ids == mark)
+    if len(ends) != len(keys):
+        return one_by_one(found, keys)
+    starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
+    return ids, starts, ends - starts
+
+
 def byte_level(path: str) -> UnitTable:
     """Pieces of a byte-level tokenizer, for which white space before a word belongs to it."""
 
     def make():
         found = library(path)
-        return UnitTable(lambda keys: [e.ids for e in found.encode_batch_fast([piece_of(k) for k in keys], add_special_tokens=False)])
+        return UnitTable(lambda keys: one_by_one(found, [piece_of(k) for k in keys]))
 
     return worker_state(("byte level", path), make)
 
@@ -140,7 +195,11 @@ def word_level(path: str) -> UnitTable:
 
     def make():
         found = library(path)
-        return UnitTable(lambda keys: [e.ids for e in found.encode_batch_fast(keys, add_special_tokens=False)], 600_000, ".,")
+
+        def encode(keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return together(found, keys)
+
+        return UnitTable(encode, 600_000, MARKS)
 
     return worker_state(("word level", path), make)
 
