@@ -141,6 +141,27 @@ def test_pair_selection_equals_brute_force(spark, seed, count):
     assert len(set(listed)) == len(listed) == min(count, len(usable)) and set(listed) <= usable
 
 
+def test_draws_reach_all_pairs_alike(spark):
+    """Every number gives another usable pair; draws spread over all histories; few pairs are all returned."""
+    rows = [(r[0], None if r[0] == 7 else r[1], r[2]) for r in mixed_histories(4)]
+    members = spark.createDataFrame(rows, "history_id long, task_id string, has_segment boolean").repartition(5)
+    usable = {
+        (a[0], b[0]) if a[2] == b[2] or b[2] else (b[0], a[0])
+        for a in rows for b in rows
+        if a[0] < b[0] and a[1] and b[1] and a[1] != b[1] and (a[2] or b[2])
+    }
+    places, tasks, number = pairs.usable_pairs(members)
+    every = spark.range(number).selectExpr("id AS k", "id AS u")
+    listed = [tuple(r) for r in pairs.pairs_at(places, tasks, number, every).select("left_id", "right_id").collect()]
+    assert len(listed) == number == len(usable) and set(listed) == usable
+    none = spark.createDataFrame([], "left_id long, right_id long")
+    drawn = [tuple(r) for r in pairs.draw_pairs(members, none, 300, 1).collect()]
+    assert len(set(drawn)) == 300 and set(drawn) <= usable and len({i for p in drawn for i in p}) > 50
+    taken = spark.createDataFrame(sorted(usable)[:-4], "left_id long, right_id long")
+    assert {tuple(r) for r in pairs.draw_pairs(members, taken, 9, 1).collect()} == set(sorted(usable)[-4:])
+    assert pairs.draw_pairs(members.limit(0), none, 9, 1).count() == 0
+
+
 def test_pair_selection_goes_on_with_unlike_pairs(spark):
     rows = [(i, f"t{i % 3}", True, f"word{'abcdefgh'[i % 8] * 4}{'xyz'[i // 8]}") for i in range(9)]
     wanted, _ = brute_pairs(rows, 8)

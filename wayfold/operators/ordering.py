@@ -58,6 +58,23 @@ def positions(
     )
 
 
+def running_sum(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Adds ``name``, the sum of ``value`` over all rows before this one in ``order``, which must be unique.
+
+    As in ``positions``, rows are dealt into sampled ranges, summed range by range and shifted.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(ranges, *[F.col(c) for c in order])
+    rows = cut_lineage(dealt.withColumn("_slice", F.spark_partition_id()))
+    # One row per range, so this window stays small.
+    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_slice").agg(F.sum(value).alias("_n"))
+    offsets = sums.select("_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    local = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumn("_local", F.coalesce(F.sum(value).over(local), F.lit(0)))
+    return summed.join(offsets, "_slice").select(*df.columns, (F.col("_before") + F.col("_local")).alias(name))
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows of every group; the cut happens before the shuffle."""
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -330,6 +330,19 @@ def similar_history_classes(v: Views):
     return pairs.pair_counts(members, pairs.similar_classes(found, 0.6)).filter("pairs > 0")
 
 
+# Every usable pair with its number: x has a segment, y follows in a later task or has none.
+USABLE = """SELECT row_number() OVER (ORDER BY a.task_id, a.history_id, NOT b.has_segment, b.task_id, b.history_id) - 1 AS u,
+    CASE WHEN b.has_segment THEN least(a.history_id, b.history_id) ELSE b.history_id END AS left_id,
+    CASE WHEN b.has_segment THEN greatest(a.history_id, b.history_id) ELSE a.history_id END AS right_id
+    FROM histories a JOIN histories b ON a.has_segment AND a.task_id <> b.task_id AND (NOT b.has_segment OR b.task_id > a.task_id)"""
+
+
+def draws_sql(seed: int, count: int) -> str:
+    """More draws than are needed, each pair at its first one."""
+    return f"""SELECT min(k) AS k, u FROM (SELECT k, CAST('0x' || substr(md5('{seed}|' || k), 1, 15) AS BIGINT)
+        % (SELECT count(*) FROM usable) AS u FROM range(0, {20 * count + 1000}) r(k)) d GROUP BY u"""
+
+
 def selection_sql(count: int, seed: int, tag: str = "") -> dict[str, str]:
     """CTEs that rank every pair and take them one by one, then add the seeded rest."""
     wanted = -(-count * 3 // 4)
@@ -348,14 +361,15 @@ def selection_sql(count: int, seed: int, tag: str = "") -> dict[str, str]:
         FROM (SELECT w.*, p.*, {uses.format('p.left_id')} AND {uses.format('p.right_id')} AS free FROM walk_pairs w JOIN placed p ON p.i = w.i + 1
               WHERE len(w.ids) < {wanted}) q(wi, used, ids, left_id, right_id, similarity, pi, free) JOIN placed p ON p.i = q.pi""",
         taken="SELECT left_id, right_id, similarity FROM placed WHERE i IN (SELECT unnest(ids) FROM walk_pairs WHERE i = (SELECT max(i) FROM walk_pairs))",
-        pool=f"SELECT * FROM sizes ORDER BY md5('{seed}|' || history_id), history_id LIMIT 64",
-        rest=f"""SELECT * FROM (SELECT {oriented} FROM pool a JOIN pool b ON a.history_id < b.history_id AND {usable}) x
-        WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.left_id = x.left_id AND t.right_id = x.right_id)
-        ORDER BY md5('{seed}|' || left_id || '|' || right_id), left_id, right_id LIMIT {count - wanted}""",
+        usable=USABLE,
+        draws=draws_sql(seed, count),
+        rest=f"""SELECT left_id, right_id FROM draws JOIN usable USING (u)
+        WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.left_id = usable.left_id AND t.right_id = usable.right_id)
+        ORDER BY k LIMIT {count - wanted}""",
         selection="""SELECT left_id, right_id, similarity, 'similar' AS picked_by FROM taken UNION ALL
         SELECT left_id, right_id, coalesce(s.similarity, 0), 'seeded' FROM rest LEFT JOIN scored s USING (left_id, right_id)""",
     )
-    own = r"\b(walk_pairs|taken|pool|rest|selection)\b"
+    own = r"\b(walk_pairs|taken|draws|rest|selection)\b"
     return {re.sub(own, rf"\1{tag}", name): re.sub(own, rf"\1{tag}", body) for name, body in ctes.items()}
 
 
@@ -368,18 +382,17 @@ def selected_pairs(v: Views):
 @query(
     "seeded_fill_pairs",
     check_sql(
-        """SELECT left_id, right_id FROM (SELECT CASE WHEN swap THEN y ELSE x END AS left_id, CASE WHEN swap THEN x ELSE y END AS right_id
-        FROM (SELECT a.history_id AS x, b.history_id AS y, a.has_segment AND NOT b.has_segment AS swap FROM pool a JOIN pool b
-        ON a.history_id < b.history_id AND a.task_id <> b.task_id AND (a.has_segment OR b.has_segment)) p) q
-        ORDER BY md5('11|' || left_id || '|' || right_id), left_id, right_id LIMIT 40""",
+        "SELECT left_id, right_id FROM draws JOIN usable USING (u) ORDER BY k LIMIT 40",
         "histories",
-        pool="SELECT * FROM histories ORDER BY md5('11|' || history_id), history_id LIMIT 64",
+        usable=USABLE,
+        draws=draws_sql(11, 40),
     ),
 )
 def seeded_fill_pairs(v: Views):
+    """Pairs drawn uniformly from all usable ones."""
     members = v["histories"].select("history_id", "task_id", "has_segment")
-    drawn = pairs.pool_pairs(pairs.fill_pool(members, 64, seed=11), seed=11)
-    return drawn.orderBy("_key", "left_id", "right_id").limit(40).select("left_id", "right_id")
+    none = members.limit(0).select(F.col("history_id").alias("left_id"), F.col("history_id").alias("right_id"))
+    return pairs.draw_pairs(members, none, 40, seed=11)
 
 
 @query(
