@@ -23,9 +23,12 @@ def report(calls: DataFrame, events: DataFrame) -> DataFrame:
     otherwise it follows the last visible event, and is unknown when the
     trajectory is missing or something visible did not align.
     """
-    final = last_calls(calls).select(
-        "rollout_id", "call_index", "recorded_policy_calls", "messages", "observed_at_epoch"
-    )
+    return tails(last_calls(calls), events)
+
+
+def tails(last: DataFrame, events: DataFrame) -> DataFrame:
+    """``report`` from the last call of every trial, with its messages and ``recorded_policy_calls``."""
+    final = last.select("rollout_id", "call_index", "recorded_policy_calls", "messages", "observed_at_epoch")
     aligned = align(final, events).join(events, "rollout_id", "left")
     listed = F.coalesce(F.col("events"), F.array().cast(events.schema["events"].dataType))
     base = aligned.withColumn("_events", listed).withColumn(

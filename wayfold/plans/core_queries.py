@@ -130,16 +130,16 @@ def anchor_transitions(v: Views):
 
 
 def aligned_records(v: Views):
-    records = anchors.prefix_records(v.call_records)
+    records = anchors.prefix_records(v.anchor_records)
     return segments.align(records, logs.trajectory_events(v.trajectories))
 
 
-# Texts are unique within an episode, so each visible call can only align with
+# Texts are unique within a conversation, so each visible call can only align with
 # its own step; the check spells that out on flat rows.
 VISIBLE = """SELECT c.rollout_id, c.call_index, c.task_id, s.step_id, s.observation, s.has_commands,
  n.turn IS NOT NULL AND n.role = 'user' AND (s.observation IS NULL OR contains(
    trim(regexp_replace(n.text, '\\s+', ' ', 'g')), trim(regexp_replace(s.observation, '\\s+', ' ', 'g')))) AS matched
- FROM conv_calls c JOIN trajectory_steps s ON s.rollout_id = c.rollout_id AND s.step_id < c.call_index
+ FROM conv_anchors c JOIN trajectory_steps s ON s.rollout_id = c.rollout_id AND s.step_id < c.call_index
  LEFT JOIN conv_turns n ON n.rollout_id = c.rollout_id AND n.turn = s.step_id + 1"""
 
 
@@ -149,7 +149,7 @@ VISIBLE = """SELECT c.rollout_id, c.call_index, c.task_id, s.step_id, s.observat
         f"""SELECT CAST(rollout_id AS VARCHAR) AS rollout_id, call_index AS step, step_id AS message_step,
         CASE WHEN matched THEN {STATUS_SQL} ELSE 'unmatched_assistant_occurrence' END AS status,
         CASE WHEN matched THEN step_id END AS step_id FROM visible""",
-        "conv_calls", "trajectory_steps", "conv_turns",
+        "conv_anchors", "trajectory_steps", "conv_turns",
         visible=VISIBLE,
     ),
 )
@@ -175,10 +175,10 @@ def prefix_event_alignment(v: Views):
         count(*) FILTER (NOT matched OR {STATUS_SQL} = 'unconfirmed_no_observation') AS unresolved
         FROM steps_between a JOIN visible x ON x.rollout_id = a.rollout_id AND x.call_index = a.end_step
           AND x.step_id >= a.start_step GROUP BY ALL) y""",
-        "conv_calls", "trajectory_steps", "conv_turns",
+        "conv_anchors", "trajectory_steps", "conv_turns",
         visible=VISIBLE,
         steps_between="""SELECT * FROM (SELECT rollout_id, call_index AS start_step,
-        lead(call_index) OVER (PARTITION BY rollout_id ORDER BY call_index) AS end_step FROM conv_calls) z
+        lead(call_index) OVER (PARTITION BY rollout_id ORDER BY call_index) AS end_step FROM conv_anchors) z
         WHERE end_step IS NOT NULL""",
     ),
 )
@@ -216,15 +216,16 @@ def adjacent_segments(v: Views):
         LEFT JOIN (SELECT v.rollout_id, max(v.step_id) AS last_match FROM visible v JOIN last_call c
                    ON c.rollout_id = v.rollout_id AND c.last = v.call_index WHERE v.matched GROUP BY 1) m ON m.rollout_id = l.rollout_id
         GROUP BY l.rollout_id, l.n, l.last) y""",
-        "conv_calls", "trajectory_steps", "conv_turns", "prefix_messages",
+        "conv_anchors", "trajectory_steps", "conv_turns",
         visible=VISIBLE,
         events_flat=f"SELECT rollout_id, step_id, {STATUS_SQL} AS status FROM trajectory_steps",
         last_call="""SELECT rollout_id, max(call_index) AS last, count(DISTINCT call_index) AS n
-        FROM prefix_messages GROUP BY 1""",
+        FROM conv_calls GROUP BY 1""",
     ),
 )
 def trial_coverage(v: Views):
-    return coverage.report(v.call_records, logs.trajectory_events(v.trajectories))
+    final = coverage.last_calls(v["conv_calls"].select("rollout_id", "call_index"))
+    return coverage.tails(v.with_prefixes(final), logs.trajectory_events(v.trajectories))
 
 
 def witness_rows(v: Views):

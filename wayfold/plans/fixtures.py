@@ -23,10 +23,6 @@ TABLES = (
 # Tables with long texts, where the work per row is large.
 TEXT_TABLES = ("documents", "conversations", "pages")
 
-# A conversation is cut into episodes of this many turns, so that no nested
-# record grows with the table.
-EPISODE_TURNS = 64
-
 # name -> (views it reads, SELECT text); names in braces are tables or views.
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "trial_calls": (
@@ -47,7 +43,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "conv_turns": (
         (),
-        """SELECT conv_id * 100000000 + CAST(floor(turn / 64) AS BIGINT) AS rollout_id,
+        """SELECT conv_id AS rollout_id,
         concat('task-', CAST(conv_id % 6 AS STRING)) AS task_id, conv_id, turn, role, text
         FROM {conversations}""",
     ),
@@ -56,10 +52,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT rollout_id, task_id, conv_id, turn AS call_index, text AS response
         FROM {conv_turns} WHERE role = 'assistant'""",
     ),
-    "prefix_messages": (
-        ("conv_calls", "conv_turns"),
-        """SELECT c.rollout_id, c.task_id, c.call_index, m.turn AS message_index, m.role, m.text AS content
-        FROM {conv_calls} c JOIN {conv_turns} m ON m.rollout_id = c.rollout_id AND m.turn < c.call_index""",
+    # For the checks: the anchor calls, of which alone the prefixes are laid out.
+    "conv_anchors": (
+        ("conv_calls",),
+        """SELECT * FROM (SELECT c.*,
+            row_number() OVER (PARTITION BY rollout_id ORDER BY call_index) - 1 AS pos,
+            count(*) OVER (PARTITION BY rollout_id) AS n FROM {conv_calls} c) x
+        WHERE n <= 6 OR pos IN (0, round_even((n - 1) / 5.0, 0), round_even(2 * (n - 1) / 5.0, 0),
+            round_even(3 * (n - 1) / 5.0, 0), round_even(4 * (n - 1) / 5.0, 0), n - 1)""",
     ),
     "trajectory_steps": (
         ("conv_calls", "conv_turns"),
@@ -199,23 +199,30 @@ class Views:
         """The anchor calls of every trial, numbered once for all branches of a query."""
         return anchors.select(self["trial_calls"])
 
-    @cached_property
-    def call_records(self) -> DataFrame:
-        """One row per policy call, holding the whole message list before it."""
-        messages = self["prefix_messages"].groupBy("rollout_id", "task_id", "call_index").agg(
-            F.sort_array(F.collect_list(F.struct("message_index", "role", "content"))).alias("_m")
+    def with_prefixes(self, calls: DataFrame) -> DataFrame:
+        """Call rows with the whole message list before each; ``calls`` are few per trial."""
+        turn = F.struct(F.col("turn"), F.col("role"), F.col("text"))
+        earlier = F.col("turn") < F.col("_call")
+        lists = (
+            calls.select("rollout_id", F.col("call_index").alias("_call"))
+            .join(self["conv_turns"], "rollout_id").filter(earlier)
+            .groupBy("rollout_id", F.col("_call").alias("call_index")).agg(F.sort_array(F.collect_list(turn)).alias("_m"))
         )
-        return messages.select(
+        said = F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+        return calls.join(lists, ["rollout_id", "call_index"], "left").select(
             F.col("rollout_id").cast("string").alias("rollout_id"),
-            "task_id",
-            "call_index",
-            F.transform(
-                "_m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))
-            ).alias("messages"),
+            *[c for c in calls.columns if c != "rollout_id"],
+            F.coalesce(said, F.array().cast("array<struct<role:string,content:string>>")).alias("messages"),
             F.lit(None).cast("double").alias("observed_at_epoch"),
             F.lit(None).cast("string").alias("prefix_sha256"),
         )
 
+    @cached_property
+    def anchor_records(self) -> DataFrame:
+        """The anchor calls of every conversation with their prefixes."""
+        chosen = anchors.select(self["conv_calls"].select("rollout_id", "task_id", "call_index"))
+        return self.with_prefixes(chosen.drop("pos", "recorded_calls"))
+
     @cached_property
     def trajectories(self) -> DataFrame:
         """One row per trial with its step list."""

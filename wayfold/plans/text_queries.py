@@ -102,15 +102,15 @@ def ascii_messages(v: Views) -> DataFrame:
     """Conversation episodes as message rows, ASCII text, with markers and SQL lines."""
     plain = F.regexp_replace("text", r"[^\x00-\x7F]", "")
     content = F.when(
-        F.col("turn") % 64 == 0,
+        F.col("turn") == 0,
         F.concat(F.lit("Task Description:\nuse schema: sales_"), F.col("task_id"), F.lit(" "), plain, F.lit("\nCurrent terminal state:\nready")),
     ).otherwise(F.concat(plain, F.lit("\nselect a.key AS k"), (F.col("turn") % 3).cast("string"), F.lit(" from main.orders")))
     return v["conv_turns"].select(
-        F.col("rollout_id").alias("history_id"), (F.col("turn") % 64).alias("message_index"), "role", content.alias("content")
+        F.col("rollout_id").alias("history_id"), F.col("turn").alias("message_index"), "role", content.alias("content")
     )
 
 
-MESSAGES = """SELECT rollout_id AS history_id, turn % 64 AS message_index, role, CASE WHEN turn % 64 = 0
+MESSAGES = """SELECT rollout_id AS history_id, turn AS message_index, role, CASE WHEN turn = 0
  THEN 'Task Description:' || chr(10) || 'use schema: sales_' || task_id || ' ' || plain || chr(10) || 'Current terminal state:' || chr(10) || 'ready'
  ELSE plain || chr(10) || 'select a.key AS k' || (turn % 3) || ' from main.orders' END AS content
  FROM (SELECT *, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS plain FROM conv_turns) p"""
