@@ -98,9 +98,8 @@ def terms_and_references(v: Views):
     )
 
 
-def ascii_messages(v: Views) -> DataFrame:
-    """Conversation episodes as message rows, ASCII text, with markers and SQL lines."""
-    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "")
+def conversation_messages(v: Views, plain: Column) -> DataFrame:
+    """Conversations as message rows, texts with markers and SQL lines."""
     content = F.when(
         F.col("turn") == 0,
         F.concat(F.lit("Task Description:\nuse schema: sales_"), F.col("task_id"), F.lit(" "), plain, F.lit("\nCurrent terminal state:\nready")),
@@ -113,7 +112,9 @@ def ascii_messages(v: Views) -> DataFrame:
 MESSAGES = """SELECT rollout_id AS history_id, turn AS message_index, role, CASE WHEN turn = 0
  THEN 'Task Description:' || chr(10) || 'use schema: sales_' || task_id || ' ' || plain || chr(10) || 'Current terminal state:' || chr(10) || 'ready'
  ELSE plain || chr(10) || 'select a.key AS k' || (turn % 3) || ' from main.orders' END AS content
- FROM (SELECT *, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS plain FROM conv_turns) p"""
+ FROM (SELECT *, text AS plain FROM conv_turns) p"""
+# Word borders next to other letters differ between the two regex engines, so this check reads ASCII texts.
+ASCII_MESSAGES = MESSAGES.replace("text AS plain", r"regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS plain")
 
 
 @query(
@@ -125,7 +126,7 @@ MESSAGES = """SELECT rollout_id AS history_id, turn AS message_index, role, CASE
           SELECT *, row_number() OVER (PARTITION BY history_id, source_kind, lower(trim(regexp_replace(matched_text, '\s+', ' ', 'g')))
             ORDER BY nt, message_index DESC, place) AS seen FROM hits) a WHERE seen = 1) b WHERE line <= 10""",
         "conv_turns",
-        messages=MESSAGES,
+        messages=ASCII_MESSAGES,
         hits=r"""SELECT history_id, message_index, role NOT IN ('user', 'tool') AS nt,
         CASE WHEN message_index = 0 THEN 'task_requirement' WHEN role IN ('user', 'tool') THEN 'terminal_transcript' ELSE 'learner_command_or_assertion' END AS source_kind,
         CASE WHEN place <= size_a THEN 'explicit_sql_alias' ELSE 'schema_or_qualified_name' END AS pattern, place, found[place] AS matched_text
@@ -135,7 +136,7 @@ MESSAGES = """SELECT rollout_id AS history_id, turn AS message_index, role, CASE
     ),
 )
 def explicit_mapping_lines(v: Views):
-    return ledger.mapping_lines(ascii_messages(v)).select(
+    return ledger.mapping_lines(conversation_messages(v, F.regexp_replace("text", r"[^\x00-\x7F]", ""))).select(
         "history_id", "line", "message_index", "source_kind", "pattern", "matched_text"
     )
 
@@ -152,7 +153,7 @@ def explicit_mapping_lines(v: Views):
     ),
 )
 def task_requirements_and_observations(v: Views):
-    rows = ascii_messages(v)
+    rows = conversation_messages(v, F.col("text"))
     both = ledger.requirement(rows).unionByName(ledger.recent_observations(rows))
     return both.select("history_id", "source_kind", "message_index", F.md5("text").alias("text"), "clipped")
 
@@ -160,7 +161,7 @@ def task_requirements_and_observations(v: Views):
 @query("literal_evidence_ledger")
 def literal_evidence_ledger(v: Views):
     """Whole ledger within its size budget (checked on a fixture in the tests)."""
-    return ledger.ledger(ascii_messages(v), budget=1500)
+    return ledger.ledger(conversation_messages(v, F.col("text")), budget=1500)
 
 
 def _json_object(**fields: Column | str) -> Column:
