@@ -220,14 +220,14 @@ def _word(text: str) -> str:
     check_sql(
         f"""SELECT probes, sha256(probes || '|' || a || '|' || b) AS bank_sha256 FROM (
         SELECT count(*) AS probes, sum({_word("'a' || t")}) AS a, sum({_word("'b' || t")}) AS b FROM (
-        SELECT concat_ws(chr(31), probe_id, CAST(audited AS VARCHAR), decision_label, CAST(left_id AS VARCHAR), CAST(right_id AS VARCHAR)) AS t
+        SELECT concat_ws(chr(31), probe_id, CAST(audited AS VARCHAR), decision_label, full_label, CAST(independent AS VARCHAR),
+          CAST(left_id AS VARCHAR), left_task, method, CAST(right_id AS VARCHAR), right_task, splice_label) AS t
         FROM probes_cross) x) y""",
         "probes_cross",
     ),
 )
 def bank_fingerprint(v: Views):
-    rows = v["probes_cross"].select("probe_id", "left_id", "right_id", "decision_label", "audited")
-    return probes.bank_fingerprint(rows)
+    return probes.bank_fingerprint(v["probes_cross"])
 
 
 @query(
