@@ -187,6 +187,34 @@ def test_representatives(spark):
     assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "4", "5", "6", "None"]
 
 
+def test_near_copies_against_plain_jaccard(spark, monkeypatch):
+    """Pairs of similarity 0.6 to 0.95, families on templates below the threshold and short texts: only exact links join."""
+    monkeypatch.setattr(simhash, "SET_BYTES", 60_000)
+    rng = random.Random(12)
+    rows, word = [], lambda: f"w{rng.randint(0, 9999)}"
+    for k in range(72):
+        base = [word() for _ in range(300)]
+        rows.append((len(rows), " ".join(base)))
+        for at in range(10, 10 + 5 * (k % 18 + 1), 5):
+            base[at] = word()
+        rows.append((len(rows), " ".join(base)))
+    template = [word() for _ in range(250)]
+    rows += [(len(rows) + k, " ".join(template + [word() for _ in range(48)])) for k in range(80)]
+    for k in range(60):
+        base = [word() for _ in range(8 + k % 5)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base + [word()]))]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    first = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                low, high = sorted((first[a], first[b]))
+                first = [low if x == high else x for x in first]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == list(enumerate(first))
+    assert 80 < len(set(first)) < len(rows) - 40
+
+
 def test_segments_against_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(200):

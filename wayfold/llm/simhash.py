@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import by_size, kept, partitions, worker_state
+from wayfold.llm.common import by_size, gather, kept, partitions, worker_state
 from wayfold.llm.components import components
 from wayfold.llm.repeats import mix, words
 
@@ -219,27 +219,39 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3, blocks: i
 
 #: Fixed width of the fingerprints for whole similarities, in 64-bit words.
 WIDE = 4
+#: Bytes of the shingle sets that are compared at once; larger groups meet in pairs of pieces.
+SET_BYTES = 8_000_000
 
 
-def wide_fingerprint(found: list[str], size: int) -> np.ndarray:
-    n = max(1, len(found) - size + 1)
-    votes = np.zeros((WIDE, 64), np.int64)
-    for hashes in shingle_hashes(found, size):
-        for k in range(WIDE):
-            votes[k] += bit_votes(mix(hashes ^ np.uint64(0x632BE59BD9B4E019 * (k + 1) & MASK64)))
-    return np.packbits(votes * 2 > n, axis=1, bitorder="little").view("<u8").reshape(-1)
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct XXH64 of the word shingles; no words: empty."""
+    if not text:
+        return np.zeros(0, np.uint64)
+    found = words(text.lower() if text.isascii() else text.translate(LOWER))
+    return np.unique(np.concatenate(list(shingle_hashes(found, size)))) if found else np.zeros(0, np.uint64)
 
 
-def most_bits(similarity: float, slack: float = 0.6) -> int:
-    """Bits that may differ at a Jaccard similarity: the expected number and ``slack`` standard deviations.
+def set_digest(hashes: np.ndarray) -> int:
+    """64-bit digest of a set of hashes, as a signed number."""
+    return int(mix(hashes).sum(dtype=np.uint64).view(np.int64))
 
-    Sets of similarity J have the cosine 2J/(1+J), and a bit differs with probability acos(cosine)/pi.
-    """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(64 * WIDE * p + slack * math.sqrt(64 * WIDE * p * (1 - p)))
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """One bit of each of 256 min-hashes: two sets of Jaccard similarity J differ in a bit with probability (1-J)/2, of any size."""
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, 64 * WIDE, np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(64 * WIDE, MASK64, np.uint64)
+    for at in range(0, len(hashes), 512):
+        np.minimum(least, (factors[:, None] * hashes[None, at : at + 512]).min(axis=1), out=least)
+    return np.packbits((mix(least) >> np.uint64(40) & np.uint64(1)).astype(bool), bitorder="little").view("<u8")
+
+
+def most_bits(similarity: float, slack: float = 4.0) -> int:
+    """Bits that may differ at a Jaccard similarity: the expected number and ``slack`` standard deviations."""
+    p = (1 - similarity) / 2
+    return math.ceil(64 * WIDE * p + slack * math.sqrt(64 * WIDE * p * (1 - p)))
 
 
-def block_bits(rows: int, similarity: float, recall: float = 0.95) -> list[np.ndarray]:
+def block_bits(rows: int, similarity: float, recall: float = 0.999) -> list[np.ndarray]:
     """Bits of each block. A block has about log2(rows) bits, so a random bucket has about one row.
 
     The bits are permuted and cut into blocks, again and again, until a pair at the given
@@ -247,8 +259,7 @@ def block_bits(rows: int, similarity: float, recall: float = 0.95) -> list[np.nd
     permutation has blocks share one for certain.
     """
     width = max(8, math.ceil(math.log2(max(rows, 2))))
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    wanted = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** width))
+    wanted = math.ceil(math.log(1 - recall) / math.log(1 - ((1 + similarity) / 2) ** width))
     rng, out = np.random.default_rng(SEED), []
     while len(out) < wanted:
         order = rng.permutation(64 * WIDE)
@@ -270,32 +281,96 @@ def wide_forest(rows: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return found
 
 
+def exact_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Positions linked by a spanning forest of the sets whose Jaccard similarity is ``similarity`` or more."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.cumsum(sizes) - sizes
+    marks = np.zeros(int(codes.max()) + 1, bool)
+    found, left, flat = [], np.arange(len(sets)), codes
+    while len(left) > 1:
+        queue = [left[0]]
+        flat, left = flat[sizes[left[0]] :], left[1:]
+        while queue and len(left):
+            centre = queue.pop()
+            own = codes[starts[centre] : starts[centre] + sizes[centre]]
+            marks[own] = True
+            shared = np.add.reduceat(marks[flat], np.cumsum(sizes[left]) - sizes[left], dtype=np.int64)
+            marks[own] = False
+            near = shared / (sizes[left] + sizes[centre] - shared) >= similarity
+            if near.any():
+                found += [(centre, k) for k in left[near]]
+                queue += list(left[near])
+                left = left[~near]
+                flat = gather(codes, starts[left], sizes[left])
+    return found
+
+
+def exact_links(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links inside the ``groups`` (node, component) between ``sets`` (node, shingles) of the wanted similarity.
+
+    They give the same components as all such links inside the groups. The sets of a group are dealt into
+    pieces by a hash, every two pieces meet in a task, which gives one link per set at most.
+    """
+    spark = sets.sparkSession
+    rows = kept(sets.join(groups, "node"), spark)
+    sizes = rows.groupBy("component").agg(F.ceil(F.sum(F.length("shingles")) / SET_BYTES).cast("int").alias("n"))
+    placed = rows.join(sizes, "component").withColumn("p", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    # A group of one piece meets itself; of more, each piece meets every other and so itself too.
+    others = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda q: (q != F.col("p")) | (F.col("n") == 1))
+    met = placed.withColumn("q", F.explode(others)).select(
+        "component", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "node", "shingles"
+    )
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(some: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if len(some) > 1 and (pairs := exact_forest([np.frombuffer(r[4], "<u8") for r in some], similarity)):
+                both = np.array([r[3] for r in some], np.int64)[np.array(pairs)]
+                yield pa.RecordBatch.from_arrays([pa.array(both.min(axis=1)), pa.array(both.max(axis=1))], names=["u", "v"])
+
+        some, last = [], None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != last:
+                    yield from close(some)
+                    some, last = [], row[:3]
+                some.append(row)
+        yield from close(some)
+
+    keys = ["component", "a", "b"]
+    ordered = met.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "node")
+    return ordered.mapInArrow(verify, "u long, v long").distinct()
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of documents whose word shingles are similar, by fingerprints of 256 bits.
+    """(doc_id, component_id) of documents whose sets of word shingles have the wanted Jaccard similarity.
 
-    Texts of one similarity J differ in a number of bits around the one that ``most_bits``
-    expects, so pairs near the threshold may fall on either side of it. Texts without words and
-    rows without an id have no row here.
+    Fingerprints of 256 bits only choose candidates: a pair at the threshold shares a block with
+    probability 0.999 and is within four standard deviations of the expected distance. All sets
+    of a group of candidates are compared exactly. Equal sets are one class. Texts without words
+    and rows without an id have no row here.
     """
     spark = docs.sparkSession
     names = [f"f{k}" for k in range(WIDE)]
-    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names)
+    schema = "doc_id long, node long, " + ", ".join(f"{n} long" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(("simhash",), dict)
         for batch in by_size(batches, "text", BATCH_BYTES):
-            ids, rows = [], []
+            ids, nodes, rows = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if found := words(text.lower() if text.isascii() else text.translate(LOWER)):
+                if len(found := shingle_set(text, size)):
                     ids.append(doc_id)
-                    rows.append(wide_fingerprint(found, size))
+                    nodes.append(set_digest(found))
+                    rows.append(wide_fingerprint(found))
             if ids:
                 table = np.array(rows, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c) for c in table.T.copy())], names=["doc_id", *names])
+                columns = [pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), *(pa.array(c) for c in table.T.copy())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", *names])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     found = kept(texts.mapInArrow(run, schema), spark)
-    classes = kept(found.groupBy(*names).agg(F.min("doc_id").alias("node")), spark)
+    classes = kept(found.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(n).alias(n) for n in names)), spark)
     choices = block_bits(classes.count(), similarity)
     distance = most_bits(similarity)
 
@@ -310,21 +385,34 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, i
                     names=["choice", "key", "node", *names],
                 )
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, *columns in buckets(batches):
             rank = np.argsort(node, kind="stable")
             if pairs := wide_forest(np.stack(columns, axis=1).view(np.uint64)[rank], distance):
                 both = node[rank][np.array(pairs)]
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
 
-    dealt = classes.mapInArrow(deal, "choice short, key long, node long, " + ", ".join(f"{n} long" for n in names))
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_size(batches, "text", BATCH_BYTES):
+            sets = [shingle_set(t, size) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([set_digest(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "shingles"]
+            )
+
+    dealt = classes.select("node", *names).mapInArrow(deal, "choice short, key long, node long, " + ", ".join(f"{n} long" for n in names))
     ordered = dealt.repartition(partitions(spark), "choice", "key").sortWithinPartitions("choice", "key")
-    groups = components(ordered.mapInArrow(verify, "u long, v long").distinct())
-    named = classes.join(groups, classes["node"] == groups["node"], "left").select(
-        *(F.col(n).alias(f"_{n}") for n in names), F.coalesce("component", classes["node"]).alias("component_id")
+    groups = kept(components(ordered.mapInArrow(close, "u long, v long").distinct()), spark)
+    # One text of each class that has candidates; an id may come with several texts.
+    wanted = classes.join(groups, "node").select(F.col("least").alias("doc_id")).distinct()
+    sets = texts.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(shingles, "node long, shingles binary")
+    linked = components(exact_links(groups, sets.dropDuplicates(["node"]), similarity))
+    joined = linked.join(classes.select("node", "least"), "node")
+    least = joined.groupBy("component").agg(F.min("least").alias("first"))
+    named = joined.join(least, "component").select(F.col("node").alias("_node"), "first")
+    by_class = classes.select("node", "least").join(named, F.col("node") == F.col("_node"), "left").select(
+        F.col("node").alias("_of"), F.coalesce("first", "least").alias("component_id")
     )
-    match = [found[n] == named[f"_{n}"] for n in names]
-    return found.join(named, match).select("doc_id", "component_id")
+    return found.join(by_class, F.col("node") == F.col("_of")).select("doc_id", "component_id")
 
 
 def representatives(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
