@@ -59,6 +59,25 @@ def test_pieces_of_a_component_lose_no_link(spark, monkeypatch):
     assert all(r.n_links == 89 for r in nn_descent.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect())
 
 
+def test_tables_follow_width_and_threshold():
+    same = 1 - np.arccos(0.93) / np.pi
+    for rows in (10, 3_000, 100_000, 10**6, 10**8):
+        width, tables = nn_descent.shape(rows, 0.93)
+        assert 1 - (1 - same**width) ** tables >= 0.999
+
+
+def test_lone_pairs_meet_in_narrow_buckets(spark, monkeypatch):
+    """Pairs at the threshold without any other neighbour, with buckets as narrow as those of a large label."""
+    monkeypatch.setattr(nn_descent, "PER_BUCKET", 0.25)
+    monkeypatch.setattr(nn_descent, "REPAIRS", 1)
+    rng, rows = np.random.default_rng(6), []
+    for k in range(400):
+        a, b = np.linalg.qr(rng.standard_normal((48, 2)))[0].T
+        rows += [(2 * k, a.tolist(), k % 2), (2 * k + 1, (0.932 * a + np.sqrt(1 - 0.932**2) * b).tolist(), k % 2)]
+    got = nn_descent.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()
+    assert sum(r.n_links == 1 for r in got) >= 796
+
+
 def test_search(spark):
     rows = odd_vectors(np.random.default_rng(4))
     df = spark.createDataFrame(rows, VECTORS)

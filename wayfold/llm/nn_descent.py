@@ -5,9 +5,10 @@ from buckets of random hyperplanes; in a round all nodes that share a neighbour
 compared (neighbours of neighbours), and each node keeps the best of old and new. Where lists are
 *saturated*, that is full of links, all lists are enlarged and refined again.
 
-Two nodes that are both linked to a third have a cosine of 2t^2 - 1 or more (t: the threshold), so
-neighbours below that can't stand between links by links and aren't kept; for most nodes the lists
-are then empty and the rounds cost little.
+The number of hyperplanes of a bucket follows from the rows of its label, the number of tables
+from that width and the threshold, so that a pair at the threshold shares a bucket with probability
+``RECALL``. Lists hold neighbours from a cosine of ``FLOOR`` on, far below the threshold, so rounds
+can find links that the buckets missed; the threshold decides on the final links only.
 
 Links of the lists give the components. A node's links all lie inside its component, whose nodes
 are compared exactly in pieces of bounded size to count them, so crowded clusters lose no link to
@@ -33,7 +34,9 @@ START = 12
 LONGEST = 48
 ROUNDS = 6
 TABLES = 8
-PER_BUCKET = 128
+PER_BUCKET = 512
+RECALL = 0.999
+FLOOR = 0.5
 PIECE = 1_024
 OVERLAP = 64
 AUDIT = 400
@@ -84,21 +87,33 @@ def pair_batch(u, v, sim) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sim, pa.float64())], names=["u", "v", "sim"])
 
 
-def start(nodes: DataFrame, n: int, dim: int, k: int, floor: float, tables: range, seed: int) -> DataFrame:
-    """Neighbours found in buckets of random hyperplanes; each bucket's first node is tried with all of its piece."""
-    width = min(40, max(1, math.ceil(math.log2(max(2.0, n / PER_BUCKET)))))
+def shape(rows: int, threshold: float, least: int = TABLES) -> tuple[int, int]:
+    """(hyperplanes of a bucket, tables) for a label of so many rows: a pair at the threshold is missed by all tables with 1 - ``RECALL``."""
+    width = min(40, max(1, math.ceil(math.log2(max(2.0, rows / PER_BUCKET)))))
+    same = min(1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi, 1 - 1e-9) ** width
+    return width, max(least, math.ceil(math.log(1 - RECALL) / math.log1p(-same)))
+
+
+def start(nodes: DataFrame, dim: int, k: int, floor: float, threshold: float, tables: int, attempt: int, seed: int) -> DataFrame:
+    """Neighbours found in buckets of random hyperplanes; each bucket's first node is tried with all of its piece.
+
+    ``nodes`` has the rows of each node's label as ``size``. Another attempt has other hyperplanes.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = unit(matrix(batch.column(2)))
-            for t in tables:
-                rng = np.random.default_rng((seed, t))
-                planes, line = rng.standard_normal((dim, width)), rng.standard_normal(dim)
-                key = (vectors @ planes > 0).astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(key), t, np.int32)), batch.column(1), pa.array(key), pa.array(vectors @ line), batch.column(0), batch.column(2)],
-                    names=["t", "label", "key", "place", "node", "vector"],
-                )
+            shapes = np.array([shape(x, threshold, tables) for x in batch.column(3).to_pylist()]).reshape(-1, 2)
+            for width, count in np.unique(shapes, axis=0).tolist():
+                some = batch.filter(pa.array(shapes[:, 0] == width))
+                vectors = unit(matrix(some.column(2)))
+                for t in range(attempt * count, (attempt + 1) * count):
+                    rng = np.random.default_rng((seed, t))
+                    planes, line = rng.standard_normal((dim, width)), rng.standard_normal(dim)
+                    key = (vectors @ planes > 0).astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(key), t, np.int32)), some.column(1), pa.array(key), pa.array(vectors @ line), some.column(0), some.column(2)],
+                        names=["t", "label", "key", "place", "node", "vector"],
+                    )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in pieces(batches, 3, OVERLAP):
@@ -113,7 +128,7 @@ def start(nodes: DataFrame, n: int, dim: int, k: int, floor: float, tables: rang
                 )
 
     kind = dict(nodes.dtypes)["label"]
-    dealt = nodes.select("node", "label", "vector").mapInArrow(deal, f"t int, label {kind}, key long, place double, node long, vector binary")
+    dealt = nodes.select("node", "label", "vector", "size").mapInArrow(deal, f"t int, label {kind}, key long, place double, node long, vector binary")
     ordered = dealt.repartition(partitions(nodes.sparkSession), "t", "label", "key").sortWithinPartitions("t", "label", "key", "place")
     return ordered.mapInArrow(compare, PAIRS)
 
@@ -258,12 +273,12 @@ def near_duplicates(
     odd = packed.filter(F.length("vector") != length).select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     nodes = packed.filter(F.length("vector") == length).groupBy("label", "vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("mult"))
     nodes = kept(nodes.select("node", "label", "vector", "mult"), spark)
-    n, floor = nodes.count(), min(threshold, max(2 * threshold**2 - 1, 0.0))
+    sizes = nodes.groupBy(F.col("label").alias("_of")).agg(F.count(F.lit(1)).alias("size"))
+    sized, floor = kept(nodes.join(sizes, F.col("label") == F.col("_of")).drop("_of", "mult"), spark), min(threshold, FLOOR)
 
-    lists, k, tried = None, START, 0
-    for _ in range(REPAIRS):
-        found = start(nodes, n, length // 8, k, floor, range(tried, tried + tables), seed)
-        tried += tables
+    lists, k = None, START
+    for attempt in range(REPAIRS):
+        found = start(sized, length // 8, k, floor, threshold, tables, attempt, seed)
         found = kept(found if lists is None else found.union(lists), spark)
         lists, k = descend(nodes, found, k, floor, threshold)
         # What the buckets linked counts too, also where a list had no room for it.
