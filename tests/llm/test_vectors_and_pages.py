@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from wayfold.llm import ann_forest, components, nn_descent, warc
 
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -78,6 +80,24 @@ def test_lone_pairs_meet_in_narrow_buckets(spark, monkeypatch):
     assert sum(r.n_links == 1 for r in got) >= 796
 
 
+def test_audit_sees_lone_pairs_beside_a_crowd(spark, monkeypatch):
+    """One-link nodes that no bucket joined count as much as a crowded component; a failed audit stops the job."""
+    rng, base = np.random.default_rng(7), np.eye(1, 16)[0]
+    crowd = [(k, (base + 0.01 * rng.standard_normal(16)).tolist(), 1) for k in range(300)]
+    lone = []
+    for k in range(300, 360, 2):
+        v = rng.standard_normal(16)
+        lone += [(k, v.tolist(), 1), (k + 1, (v + 0.001 * rng.standard_normal(16)).tolist(), 1)]
+    nodes = nn_descent.pack(spark.createDataFrame(crowd + lone, VECTORS), "vec_id", "embedding", "label")
+    nodes = nodes.select(F.col("id").alias("node"), "label", "vector", F.lit(1).cast("long").alias("mult"))
+    counted = spark.createDataFrame([(k, 299) for k in range(300)], "node long, others long")
+    shares = nn_descent.audit(nodes, counted, 0.93)
+    assert shares == [(300, 300), (300, 360)]
+    monkeypatch.setattr(nn_descent, "audit", lambda *_: [(0, 0), (300, 360)])
+    with pytest.raises(RuntimeError, match="300, 360"):
+        nn_descent.near_duplicates(spark.createDataFrame(lone, VECTORS)).collect()
+
+
 def test_search(spark):
     rows = odd_vectors(np.random.default_rng(4))
     df = spark.createDataFrame(rows, VECTORS)

@@ -13,7 +13,8 @@ can find links that the buckets missed; the threshold decides on the final links
 Links of the lists give the components. A node's links all lie inside its component, whose nodes
 are compared exactly in pieces of bounded size to count them, so crowded clusters lose no link to
 the length of a list and their pairs are never listed. An audit compares a sample of nodes with
-all others; while it finds less than ``WANTED`` of the true links, more hyperplanes are added.
+all others; while less than ``WANTED`` of the sampled nodes that have links have all of them, more
+tables are added, and after ``REPAIRS`` attempts the job stops with an error.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ RECALL = 0.999
 FLOOR = 0.5
 PIECE = 1_024
 OVERLAP = 64
-AUDIT = 400
+AUDIT = 2_000
 WANTED = 0.98
 REPAIRS = 3
 PAIRS = "u long, v long, sim double"
@@ -220,32 +221,43 @@ def count_links(grouped: DataFrame, threshold: float) -> DataFrame:
     return ordered.mapInArrow(count, "node long, others long").groupBy("node").agg(F.sum("others").alias("others"))
 
 
-def audit(nodes: DataFrame, counted: DataFrame, threshold: float, size: int = AUDIT, seed: int = 3) -> tuple[int, int]:
-    """(links found, true links) of a sample: half from nodes with links, half from all, compared with every node."""
-    half = size // 2
+def audit(nodes: DataFrame, counted: DataFrame, threshold: float, size: int = AUDIT, seed: int = 3) -> list[tuple[int, int]]:
+    """(nodes with all their links found, nodes with links) of two samples, each node compared with every other.
+
+    One sample is drawn from all nodes, so also from those whose only link is missed; the other
+    from nodes with found links. A node counts once, however many links or copies it has.
+    """
+    spark = nodes.sparkSession
     order = F.xxhash64(F.lit(seed), "node")
-    sure = nodes.join(counted.filter("others > 0").select("node"), "node").orderBy(order, "node").limit(half)
-    sample = sure.union(nodes.orderBy(order, "node").limit(half)).select("node", "label", "vector").distinct().collect()
+    linked = nodes.join(counted.filter("others > 0").select("node"), "node").orderBy(order, "node").limit(size // 4)
+    drawn = nodes.orderBy(order, "node").limit(size - size // 4)
+    both = linked.withColumn("drawn", F.lit(0)).unionByName(drawn.withColumn("drawn", F.lit(1)))
+    sample = both.select("node", "label", "vector", "drawn").collect()
     if not sample:
-        return 0, 0
-    ids = np.array([r["node"] for r in sample], np.int64)
-    groups = np.array([r["label"] for r in sample])
-    table = unit(np.frombuffer(b"".join(bytes(r["vector"]) for r in sample), "<f8").reshape(len(sample), -1))
+        return [(0, 0), (0, 0)]
+    unique = list({r["node"]: r for r in sample}.values())
+    ids = np.array([r["node"] for r in unique], np.int64)
+    groups = np.array([r["label"] for r in unique])
+    table = unit(np.frombuffer(b"".join(bytes(r["vector"]) for r in unique), "<f8").reshape(len(unique), -1))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = unit(matrix(batch.column(2)))
-            if not len(rows):
-                continue
-            same = groups[:, None] == np.array(batch.column(1).to_pylist())[None, :]
-            linked = (table @ rows.T >= threshold) & same & (ids[:, None] != batch.column(0).to_numpy()[None, :])
-            total = linked.astype(np.int64) @ batch.column(3).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["node", "others"])
+        total = np.zeros(len(ids), np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, PIECE):
+                batch = whole.slice(at, PIECE)
+                same = groups[:, None] == np.array(batch.column(1).to_pylist())[None, :]
+                found = (table @ unit(matrix(batch.column(2))).T >= threshold) & same & (ids[:, None] != batch.column(0).to_numpy()[None, :])
+                total += found.astype(np.int64) @ batch.column(3).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["node", "others"])
 
     true = nodes.select("node", "label", "vector", "mult").mapInArrow(compare, "node long, others long")
-    true = true.groupBy("node").agg(F.sum("others").alias("true_others"))
-    both = true.join(counted, "node", "left").agg(F.sum(F.coalesce("others", F.lit(0))), F.sum("true_others")).first()
-    return int(both[0] or 0), int(both[1] or 0)
+    true = true.groupBy("node").agg(F.sum("others").alias("true_others")).filter("true_others > 0")
+    marks = spark.createDataFrame([(r["node"], r["drawn"]) for r in sample], "node long, drawn int")
+    got = true.join(marks, "node").join(counted, "node", "left").groupBy("drawn").agg(
+        F.sum((F.coalesce("others", F.lit(0)) == F.col("true_others")).cast("int")), F.count(F.lit(1))
+    ).collect()
+    by_sample = {r[0]: (int(r[1]), int(r[2])) for r in got}
+    return [by_sample.get(d, (0, 0)) for d in (0, 1)]
 
 
 def near_duplicates(
@@ -276,8 +288,8 @@ def near_duplicates(
     sizes = nodes.groupBy(F.col("label").alias("_of")).agg(F.count(F.lit(1)).alias("size"))
     sized, floor = kept(nodes.join(sizes, F.col("label") == F.col("_of")).drop("_of", "mult"), spark), min(threshold, FLOOR)
 
-    lists, k = None, START
-    for attempt in range(REPAIRS):
+    lists, k, attempt = None, START, 0
+    while True:
         found = start(sized, length // 8, k, floor, threshold, tables, attempt, seed)
         found = kept(found if lists is None else found.union(lists), spark)
         lists, k = descend(nodes, found, k, floor, threshold)
@@ -286,9 +298,12 @@ def near_duplicates(
         groups = kept(components(edges), spark)
         grouped = groups.join(nodes, "node").select("component", "node", "mult", "vector")
         counted = kept(count_links(grouped, threshold), spark)
-        hits, true = audit(nodes, counted, threshold)
-        if hits >= WANTED * true:
+        shares = audit(nodes, counted, threshold)
+        if all(whole >= WANTED * linked for whole, linked in shares):
             break
+        attempt += 1
+        if attempt == REPAIRS:
+            raise RuntimeError(f"links are missing after {attempt} attempts: (whole, linked) sampled nodes are {shares}")
         lists = found
     # Every node's smallest id is its own number; a component of nodes is named by the smallest.
     named = nodes.join(groups, "node", "left").join(counted, "node", "left").select(
