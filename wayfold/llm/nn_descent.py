@@ -3,14 +3,17 @@
 Equal vectors of a label are one node. Each node keeps a list of its nearest nodes. Lists start
 from buckets of random hyperplanes; in a round all nodes that share a neighbour meet at it and are
 compared (neighbours of neighbours), and each node keeps the best of old and new. Where lists are
-*saturated*, that is full of links, all lists are enlarged and refined again.
+*saturated*, that is full of links, all lists are enlarged and refined again, up to ``LONGEST``.
 
 The number of hyperplanes of a bucket follows from the rows of its label, the number of tables
 from that width and the threshold, so that a pair at the threshold shares a bucket with probability
 ``RECALL``. Lists hold neighbours from a cosine of ``FLOOR`` on, far below the threshold, so rounds
 can find links that the buckets missed; the threshold decides on the final links only.
 
-Links of the lists give the components. A node's links all lie inside its component, whose nodes
+A bucket also gives a spanning forest of its links at the threshold, whatever the lists have room
+for, so crowded groups that are nearer to themselves than to each other stay tied. A bucket of more
+than ``WHOLE`` rows is dealt into pieces, every two of which meet in a task. The links of lists
+and forests give the components. A node's links all lie inside its component, whose nodes
 are compared exactly in pieces of bounded size to count them, so crowded clusters lose no link to
 the length of a list and their pairs are never listed. An audit compares a sample of nodes with
 all others; while less than ``WANTED`` of the sampled nodes that have links have all of them, more
@@ -39,6 +42,7 @@ PER_BUCKET = 512
 RECALL = 0.999
 FLOOR = 0.5
 PIECE = 1_024
+WHOLE = 2_048
 OVERLAP = 64
 AUDIT = 2_000
 WANTED = 0.98
@@ -54,7 +58,7 @@ def unit(table: np.ndarray) -> np.ndarray:
     return table / np.linalg.norm(table, axis=1, keepdims=True)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], keys: int, overlap: int = 0, limit: int = PIECE) -> Iterator[list]:
+def pieces(batches: Iterator[pa.RecordBatch], keys: int, overlap: int = 0, limit: float = PIECE) -> Iterator[list]:
     """Rows of one key in pieces of at most ``limit``; a next piece begins with the last ``overlap`` rows."""
     rows: list[tuple] = []
     last, fresh = None, 0
@@ -84,6 +88,25 @@ def nearest(ids: np.ndarray, table: np.ndarray, k: int, floor: float) -> tuple[n
     return ids[i], ids[best[i, j]], value[i, j]
 
 
+def forest(sim: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) linked by a spanning forest of the pairs at the threshold or more."""
+    linked = sim >= threshold
+    np.fill_diagonal(linked, False)
+    left, found = np.flatnonzero(linked.any(axis=1)), []
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            centre = queue.pop()
+            near = linked[centre, left]
+            if near.any():
+                found.append((np.full(int(near.sum()), centre), left[near]))
+                queue += list(left[near])
+                left = left[~near]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
 def pair_batch(u, v, sim) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sim, pa.float64())], names=["u", "v", "sim"])
 
@@ -96,41 +119,47 @@ def shape(rows: int, threshold: float, least: int = TABLES) -> tuple[int, int]:
 
 
 def start(nodes: DataFrame, dim: int, k: int, floor: float, threshold: float, tables: int, attempt: int, seed: int) -> DataFrame:
-    """Neighbours found in buckets of random hyperplanes; each bucket's first node is tried with all of its piece.
+    """Neighbours found in buckets of random hyperplanes, and a spanning forest of each bucket's links.
 
     ``nodes`` has the rows of each node's label as ``size``. Another attempt has other hyperplanes.
     """
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shapes = np.array([shape(x, threshold, tables) for x in batch.column(3).to_pylist()]).reshape(-1, 2)
             for width, count in np.unique(shapes, axis=0).tolist():
                 some = batch.filter(pa.array(shapes[:, 0] == width))
                 vectors = unit(matrix(some.column(2)))
                 for t in range(attempt * count, (attempt + 1) * count):
-                    rng = np.random.default_rng((seed, t))
-                    planes, line = rng.standard_normal((dim, width)), rng.standard_normal(dim)
+                    planes = np.random.default_rng((seed, t)).standard_normal((dim, width))
                     key = (vectors @ planes > 0).astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(key), t, np.int32)), some.column(1), pa.array(key), pa.array(vectors @ line), some.column(0), some.column(2)],
-                        names=["t", "label", "key", "place", "node", "vector"],
-                    )
+                    columns = {"t": pa.array(np.full(len(key), t, np.int32)), "label": some.column(1), "key": pa.array(key)}
+                    if whole:
+                        columns |= {"node": some.column(0), "vector": some.column(2)}
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in pieces(batches, 3, OVERLAP):
-            ids = np.array([r[4] for r in rows], np.int64)
-            table = unit(np.frombuffer(b"".join(r[5] for r in rows), "<f8").reshape(len(rows), -1))
+        for rows in pieces(batches, 5, limit=math.inf):
+            ids = np.array([r[5] for r in rows], np.int64)
+            table = unit(np.frombuffer(b"".join(r[6] for r in rows), "<f8").reshape(len(rows), -1))
             u, v, sim = nearest(ids, table, k, floor)
-            first = table @ table[0]
-            star = np.flatnonzero(first[1:] >= floor) + 1
-            if len(u) or len(star):
-                yield pair_batch(
-                    np.concatenate([u, ids[star]]), np.concatenate([v, np.full(len(star), ids[0])]), np.concatenate([sim, first[star]])
-                )
-
-    kind = dict(nodes.dtypes)["label"]
-    dealt = nodes.select("node", "label", "vector", "size").mapInArrow(deal, f"t int, label {kind}, key long, place double, node long, vector binary")
-    ordered = dealt.repartition(partitions(nodes.sparkSession), "t", "label", "key").sortWithinPartitions("t", "label", "key", "place")
+            if len(u):
+                # Without lists there are no links, as the floor isn't above the threshold.
+                whole = table @ table.T
+                i, j = forest(whole, threshold)
+                yield pair_batch(np.concatenate([u, ids[i]]), np.concatenate([v, ids[j]]), np.concatenate([sim, whole[i, j]]))
+
+    kind, keys = dict(nodes.dtypes)["label"], ["t", "label", "key"]
+    rows = nodes.select("node", "label", "vector", "size")
+    counts = rows.mapInArrow(lambda b: deal(b, False), f"t int, label {kind}, key long").groupBy(*keys).count()
+    crowded = kept(counts.filter(F.col("count") > WHOLE).withColumn("n", F.ceil(F.col("count") / PIECE).cast("int")).drop("count"), nodes.sparkSession)
+    dealt = rows.mapInArrow(lambda b: deal(b, True), f"t int, label {kind}, key long, node long, vector binary")
+    # A bucket of one piece meets itself; of more, each piece meets every other and so itself too.
+    placed = dealt.join(crowded, keys, "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("p", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda q: (q != F.col("p")) | (F.col("n") == 1))
+    met = placed.withColumn("q", F.explode(others)).select(*keys, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "node", "vector")
+    keys = [*keys, "a", "b"]
+    ordered = met.repartition(partitions(nodes.sparkSession), *keys).sortWithinPartitions(*keys, "node")
     return ordered.mapInArrow(compare, PAIRS)
 
 
