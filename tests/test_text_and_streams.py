@@ -276,3 +276,26 @@ def test_monitor_updates_open_windows(spark, tmp_path):
     newest = calls.newest(spark, f"{base}/out", ["rollout_id", "window_start"])
     rows = {r["rollout_id"]: (r["calls"], r["active"]) for r in calls.with_status(newest, results).collect()}
     assert rows == {"a": (1, False), "b": (2, True)}
+
+
+def test_salvaged_json_reads_the_whole_text(spark):
+    """JSON that stands in a document is met, against a scan of the whole response by the json module."""
+    import json
+
+    from wayfold.plans.text_queries import salvaged_json
+
+    texts = {3: "plain", 4: 'see {"n": 7} there', 5: "a list [1, 2] here", 7: "open { and [ only", 8: "nothing {", 10: "plain", 11: "plain"}
+    docs = spark.createDataFrame([(k, t, len(t)) for k, t in texts.items()], "doc_id long, text string, n_chars long")
+    want = {}
+    for k, t in texts.items():
+        body = json.dumps({"n": len(t)})
+        response = [body, f"{t} [oops {{{t}{body} done", f"{t} {{never closed"][k % 3]
+        for at in [i for i, c in enumerate(response) if c in "[{"]:
+            try:
+                value = json.JSONDecoder().raw_decode(response[at:])[0]
+            except ValueError:
+                continue
+            want[k] = ("whole" if k % 3 == 0 else "embedded", str(value["n"]) if isinstance(value, dict) else None)
+            break
+    assert {r.doc_id: (r.found, r.n) for r in salvaged_json({"documents": docs}).collect()} == want
+    assert want[4] == ("embedded", "7") and 5 in want

@@ -335,7 +335,7 @@ def rejection_counts(v: Views):
 )
 def salvaged_json(v: Views):
     doc, body = F.col("doc_id"), _json_object(n=F.col("n_chars").cast("string"))
-    prose = F.regexp_replace("text", r"[\[\]{}]", " ")
+    prose = F.col("text")
     response = (
         F.when(doc % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
         .when(doc % 3 == 1, F.concat(prose, F.lit(" [oops {"), prose, body, F.lit(" done")))
