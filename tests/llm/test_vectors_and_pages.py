@@ -98,15 +98,16 @@ def test_audit_sees_lone_pairs_beside_a_crowd(spark, monkeypatch):
         nn_descent.near_duplicates(spark.createDataFrame(lone, VECTORS)).collect()
 
 
-def test_crowded_groups_keep_their_cross_links(spark, monkeypatch):
+@pytest.mark.parametrize("piece", [1_024, 60])
+def test_crowded_groups_keep_their_cross_links(spark, monkeypatch, piece):
     """Two tight groups with cross cosine 0.94 fill every list with own members; also with buckets in several pieces."""
-    monkeypatch.setattr(nn_descent, "WHOLE", 100, raising=False)
-    monkeypatch.setattr(nn_descent, "PIECE", 60)
+    monkeypatch.setattr(nn_descent, "WHOLE", 2 * piece, raising=False)
+    monkeypatch.setattr(nn_descent, "PIECE", piece)
     rng = np.random.default_rng(8)
     a, b = np.eye(2, 24)
     b = 0.94 * a + np.sqrt(1 - 0.94**2) * b
     groups = [c + 0.0005 * rng.standard_normal((110, 24)) for c in (a, b)]
-    outsider = [(k, rng.standard_normal(24).tolist(), 1) for k in range(40)]
+    outsider = [(k, rng.standard_normal(24).tolist(), 1) for k in range(400)]
     rows = outsider + [(1000 * (g + 1) + k, v.tolist(), 1) for g in (0, 1) for k, v in enumerate(groups[g])]
     got = [r for r in nn_descent.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect() if r.vec_id >= 1000]
     assert {(r.n_links, r.component_id, r.kept) for r in got} == {(219, 1000, False), (219, 1000, True)}
