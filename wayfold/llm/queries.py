@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import (
-    ann_forest, mixing, nn_descent, repeats, sentencepiece_wfst, simhash, token_counts, token_files, toxicity, warc,
+    alignment, ann_forest, merkle, mixing, nn_descent, repeats, sentencepiece_wfst, simhash, token_counts, token_files, toxicity, warc,
 )
 from wayfold.llm.common import table
 from wayfold.session import fresh_dir
@@ -80,6 +80,14 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_files": op2_token_files,
@@ -91,6 +99,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_simhash": op9_simhash,
     "op10_nn_descent": op10_nn_descent,
+    "op11_alignment": op11_alignment,
+    "op13_merkle": op13_merkle,
 }
 CHECKS: dict[str, str] = {
     "op5_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
