@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import (
-    alignment, ann_forest, merkle, mixing, nn_descent, repeats, sentencepiece_wfst, simhash, token_counts, token_files, toxicity, warc,
+    alignment, ann_forest, merkle, mixing, nn_descent, quality, repeats, sentencepiece_wfst, simhash, token_counts, token_files,
+    toxicity, warc,
 )
 from wayfold.llm.common import table
 from wayfold.session import fresh_dir
@@ -84,6 +85,12 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = quality.score(docs, quality.fit(quality.labelled_sample(docs, table(spark, sf_dir, "labels"))))
+    return rows.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -100,6 +107,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_nn_descent": op10_nn_descent,
     "op11_alignment": op11_alignment,
+    "op12_quality": op12_quality,
     "op13_merkle": op13_merkle,
 }
 CHECKS: dict[str, str] = {
