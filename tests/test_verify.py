@@ -2,12 +2,14 @@
 
 import datetime as dt
 import decimal
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from wayfold.functions import cells
-from wayfold.operators import verify
+from wayfold.operators import pairing, verify
 from wayfold.plans import published
 
 
@@ -176,3 +178,139 @@ def test_cohort_corner_cases(spark):
     assert (first["day_0_customers"], first["day_7_customers"], first["day_30_customers"]) == (1, 1, 0)
     assert (first["revenue"], first["margin_rate"], first["day_7_retention"]) == (d("150.00"), d("0.100000"), d("1.000000"))
     assert rows["zz"]["channel_code"] == "UNKNOWN" and rows["zz"]["margin_rate"] is None and rows["zz"]["revenue"] == d("0.00")
+
+
+def plain_close(x, y):
+    if x is None or y is None:
+        return x is y
+    if not (math.isfinite(x) and math.isfinite(y)):
+        return x == y or (math.isnan(x) and math.isnan(y))
+    return x == y or abs(x - y) <= max(1e-6, 1e-6 * max(abs(x), abs(y)))
+
+
+def plain_pairing(left, right):
+    """Rows a largest one-to-one pairing covers, by single augmenting steps."""
+    fits = [[j for j, r in enumerate(right) if l[0] == r[0] and all(map(plain_close, l[1:], r[1:]))] for l in left]
+    owner = {}
+
+    def place(i, seen):
+        for j in fits[i]:
+            if j not in seen:
+                seen.add(j)
+                if j not in owner or place(owner[j], seen):
+                    owner[j] = i
+                    return True
+        return False
+
+    return sum(place(i, set()) for i in range(len(left)))
+
+
+def near_rows(rng, n):
+    """Rows whose values crowd within a few tolerances of one another, also across 1 and with values that are no numbers."""
+    base = [0.0, 1.0, -1.0, 123.456, 1e9, None, float("nan"), float("inf")]
+    value = lambda: (lambda b: b if b is None or not math.isfinite(b) else b + rng.choice([0, 0.7, 1.4, -0.9]) * 1e-6 * max(1, abs(b)))(rng.choice(base))
+    return [(rng.choice("ab"), value(), rng.choice([5.0, 3.0, 3.0000007, None])) for _ in range(n)]
+
+
+def test_tolerant_compare_equals_a_plain_matching_on_random_rows(spark):
+    rng, shape, seen = random.Random(8), "k string, v double, w double", set()
+    groups = []
+    for case in range(60):
+        left = near_rows(rng, rng.randint(1, 9))
+        right = [(k, v if v is None or rng.random() < 0.4 else v * (1 + 4e-7), w) for k, v, w in left]
+        if case % 4 == 3:
+            right[0] = near_rows(rng, 1)[0]
+        rng.shuffle(right)
+        groups.append((left, right, plain_pairing(left, right) == len(left)))
+    for left, right, same in groups[:12]:
+        report = verify.tolerant(spark.createDataFrame(left, shape), spark.createDataFrame(right, shape)).first()
+        assert report["matches"] == same, (left, right)
+    # The same rule for many submissions at once: one expected table for all of equal size.
+    for expected in (groups[0][1], groups[3][1]):
+        rows = [(i, *r) for i, (left, right, _) in enumerate(groups) for r in (left if i % 2 else expected)]
+        graded = verify.grade(spark.createDataFrame(expected, shape), spark.createDataFrame(rows, "submission_id int, " + shape))
+        for r in graded.collect():
+            mine = [x[1:] for x in rows if x[0] == r["submission_id"]]
+            want = len(mine) == len(expected) and plain_pairing(mine, expected) == len(mine)
+            seen.add(want)
+            assert r["reward"] == int(want), (mine, expected)
+    assert seen == {True, False}
+
+
+def test_largest_pairing_with_counts_equals_single_rows():
+    rng = random.Random(3)
+    for _ in range(400):
+        ln = {f"l{i}": rng.randint(1, 3) for i in range(rng.randint(1, 5))}
+        rn = {f"r{i}": rng.randint(1, 3) for i in range(rng.randint(1, 5))}
+        edges = [(a, b) for a in ln for b in rn if rng.random() < 0.5]
+        left, right = [a for a in ln for _ in range(ln[a])], [b for b in rn for _ in range(rn[b])]
+        owner = {}
+
+        def place(i, seen):
+            for j, b in enumerate(right):
+                if (left[i], b) in edges and j not in seen:
+                    seen.add(j)
+                    if j not in owner or place(owner[j], seen):
+                        owner[j] = i
+                        return True
+            return False
+
+        want = sum(place(i, set()) for i in range(len(left)))
+        used = {b for _, b in edges}
+        assert pairing.largest_pairing(edges, {a: n for a, n in ln.items()}, {b: n for b, n in rn.items() if b in used}) == want
+
+
+def test_tolerant_compare_pairs_rows_against_their_sorted_order(spark):
+    shape = "v double, w double"
+    a = spark.createDataFrame([(1.0000000001, 5.0), (1.0, 3.0)], shape)
+    b = spark.createDataFrame([(1.0, 5.0), (1.0000000001, 3.0)], shape)
+    assert matches(verify.tolerant(a, b)) and matches(verify.tolerant(a.unionByName(b), b.unionByName(a)))
+    assert not matches(verify.tolerant(a, spark.createDataFrame([(1.0, 5.0), (None, 3.0)], shape)))
+    odd = spark.createDataFrame([(float("inf"), 1.0), (float("nan"), None)], shape)
+    assert matches(verify.tolerant(odd, odd)) and not matches(verify.tolerant(odd, odd.withColumn("v", F.lit(7.0))))
+
+
+def test_tolerant_compare_of_crowded_values(spark):
+    """Thousands of values within one tolerance: compared in sorted order, and, with a second column, refused beyond the limit."""
+    rows = spark.range(3000).select((F.col("id") * 1e-10).alias("v"))
+    assert verify._is_dense(rows.withColumn("_key", F.lit("")).withColumn("_a", F.lit(1)).withColumn("_b", F.lit(1)), "v")
+    assert matches(verify.tolerant(rows.select((F.col("v") + 1e-11).alias("v")), rows))
+    far = rows.select(F.when(F.col("v") == 0, 1.0).otherwise(F.col("v") + 1e-11).alias("v"))
+    assert not matches(verify.tolerant(far, rows))
+    two = spark.range(40).select((F.col("id") * 1e-9).alias("v"), (F.col("id") % 2).cast("double").alias("w"))
+    moved = two.select((F.col("v") + 5e-10).alias("v"), "w")
+    assert matches(verify.tolerant(moved, two))
+    # Two rows at one end against two at the other: every row has to move on by one.
+    left, right = two.unionByName(two.limit(1)), two.unionByName(two.filter("v > 37.5e-9 AND w = 0"))
+    assert matches(verify.tolerant(left, right))
+    with pytest.raises(ValueError, match="hang together"):
+        verify.tolerant(left, right, max_cluster=50)
+
+
+def test_ordered_tolerant_compare_and_grading(spark):
+    shape = "place int, k string, v double"
+    expected = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], shape)
+    near = spark.createDataFrame([(2, "b", 2.0000001), (1, "a", 1.0)], shape)
+    turned = spark.createDataFrame([(1, "b", 2.0), (2, "a", 1.0)], shape)
+    longer = expected.unionByName(spark.createDataFrame([(3, "c", 1.0)], shape))
+    report = lambda df: verify.tolerant(df, expected, order_by=["place"]).first()["reason"]
+    assert (report(near), report(turned), report(longer)) == ("equal", "ordered result differs", "row count mismatch")
+    sent = None
+    for name, df in (("near", near), ("turned", turned), ("longer", longer)):
+        part = df.select(F.lit(name).alias("submission_id"), "*")
+        sent = part if sent is None else sent.unionByName(part)
+    ids = spark.createDataFrame([("near",), ("turned",), ("longer",), ("silent",)], "submission_id string")
+    graded = verify.grade(expected, sent, {"positive": F.min("v") > 0}, ids=ids, order_by=["place"])
+    assert {r["submission_id"]: (r["reward"], r["reason"], r["rows"]) for r in graded.collect()} == {
+        "near": (1, "pass", 2), "turned": (0, "result differs", 2), "longer": (0, "row count mismatch", 3), "silent": (0, "row count mismatch", 0),
+    }
+    nothing = verify.grade(expected.limit(0), sent.limit(0), ids=ids.limit(1))
+    assert nothing.first()["reason"] == "pass"
+
+
+def test_workflow_with_an_ordered_alternate(spark, shop):
+    ordered = spec(final_sql="SELECT country, total FROM sg_totals", alternate_sql="""SELECT country, sum(amount) AS total FROM t_orders
+        JOIN t_customers USING (customer_id) GROUP BY country""", constraints=spec()["constraints"][1:] * 2, order_by=["total"])
+    assert failed(spark, ordered) == set()
+    swapped = "SELECT 'US' AS country, 5.00BD AS total UNION ALL SELECT 'DE', 50.00BD"
+    assert ("alternate", "agreement") in failed(spark, {**ordered, "alternate_sql": swapped})
