@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.operators.segments import UNMATCHED, align
+from wayfold.operators.segments import UNMATCHED, readable_events, with_alignment
 
 
 def last_calls(calls: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def report(calls: DataFrame, events: DataFrame) -> DataFrame:
 def tails(last: DataFrame, events: DataFrame) -> DataFrame:
     """``report`` from the last call of every trial, with its messages and ``recorded_policy_calls``."""
     final = last.select("rollout_id", "call_index", "recorded_policy_calls", "messages", "observed_at_epoch")
-    aligned = align(final, events).join(events, "rollout_id", "left")
+    aligned = with_alignment(final.join(readable_events(events), "rollout_id", "left"))
     listed = F.coalesce(F.col("events"), F.array().cast(events.schema["events"].dataType))
     base = aligned.withColumn("_events", listed).withColumn(
         "_last", F.coalesce(F.array_max(F.transform("aligned", lambda e: e["occurrence"])), F.lit(-1))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import evidence
+from wayfold.functions.json_values import compact, first_values, unfenced
 from wayfold.operators import rules
+from wayfold.session import cut_lineage
 
 # Field names and limits of the response formats.
 SUMMARY_TEXTS = ("decision", "remaining_goal")
@@ -26,55 +26,25 @@ MAX_STATES, MAX_CANDIDATE_CHARACTERS = 32, 32_000
 FILE_SUFFIXES = ("yml", "yaml", "sql", "md", "txt")
 MAX_FILES, MAX_FILE_CHARACTERS = 16, 30_000
 HOOK_PATTERN = r"(?i)on-run-start|on-run-end|pre-hook|post-hook|run_query\s*\("
-FENCE = "```"
 
 _TEXT = "STRING"
 _LIST = r"^ARRAY<(STRING|VOID)>$"
 
 
-def unfenced(text: Column) -> Column:
-    """Text inside a code fence: first line and closing fence dropped."""
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
-    body = F.regexp_replace(trimmed, r"^[^\n]*\n", "")
-    inner = F.regexp_replace(body, r"(?s)```(?!.*```).*$", "")
-    return F.when(trimmed.startswith(FENCE), F.regexp_replace(inner, r"^\s+|\s+$", "")).otherwise(trimmed)
-
-
-def _first_value(texts: pd.Series) -> pd.Series:
-    """First position where a whole JSON list or object parses, as compact text."""
-    decoder = json.JSONDecoder()
-
-    def scan(text):
-        for place, char in enumerate(text or ""):
-            if char in "[{":
-                try:
-                    return json.dumps(decoder.raw_decode(text[place:])[0], ensure_ascii=False)
-                except ValueError:
-                    continue
-        return None
-
-    return texts.map(scan)
-
-
 def salvage(responses: DataFrame, row_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(rows with a JSON value, rejected rows) of a response column.
 
     The text without its fence is parsed by Spark; only rows that fail are
-    scanned for the first complete value.
+    scanned for the first complete value, once for both results.
     """
-    scan = F.pandas_udf(_first_value, "string")
-    clean = responses.select(row_id, text, unfenced(F.col(text)).alias("_clean")).withColumn(
-        "_whole", F.try_parse_json("_clean")
-    )
-    whole = clean.filter(F.col("_whole").isNotNull()).select(
-        row_id, F.to_json("_whole").alias("json"), F.lit("whole").alias("found")
-    )
-    rest = clean.filter(F.col("_whole").isNull()).select(row_id, text, scan("_clean").alias("json"))
-    part = rest.filter(F.col("json").isNotNull()).select(row_id, "json", F.lit("embedded").alias("found"))
-    rejected = rest.filter(F.col("json").isNull()).select(
-        row_id, F.lit("no complete JSON value").alias("reason"), text
-    )
-    return whole.unionByName(part), rejected
+    clean = responses.select(row_id, text, unfenced(F.col(text)).alias("_clean")).withColumn("_whole", F.to_json(F.try_parse_json("_clean")))
+    scanned = clean.withColumn("_span", first_values(F.when(F.col("_whole").isNull(), F.col("_clean"))))
+    rows = cut_lineage(scanned.select(
+        row_id, text, F.coalesce("_whole", compact(F.col("_span"))).alias("json"),
+        F.when(F.col("_whole").isNotNull(), "whole").otherwise("embedded").alias("found"),
+    ))
+    rejected = rows.filter("json IS NULL").select(row_id, F.lit("no complete JSON value").alias("reason"), text)
+    return rows.filter("json IS NOT NULL").select(row_id, "json", "found"), rejected
 
 
 def _kind(value: Column, path: str) -> Column:

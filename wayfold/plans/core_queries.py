@@ -165,6 +165,62 @@ def prefix_event_alignment(v: Views):
     )
 
 
+# Texts of conversations with their lengths only, so that many messages read alike.
+SAID, HEARD = "concat('say ', CAST(length(text) % 3 AS STRING))", "concat('got ', CAST(length(text) % 2 AS STRING))"
+
+
+@query(
+    "repeated_text_alignment",
+    check_sql(
+        f"""SELECT CAST(w.rollout_id AS VARCHAR) AS rollout_id, v.turn AS message_step, e.step_id,
+        CASE WHEN e.step_id IS NULL THEN 'unmatched_assistant_occurrence' WHEN e.heard IS NULL THEN 'unconfirmed_no_observation'
+             WHEN e.rollout_id % 5 <> 0 THEN 'execution_episode' ELSE 'recorded_noop_or_completion' END AS status
+        FROM walk w JOIN visible v ON v.rollout_id = w.rollout_id AND v.k = w.k AND v.role = 'assistant'
+        LEFT JOIN kept e ON e.rollout_id = w.rollout_id AND e.place = w.taken""",
+        "conv_turns",
+        visible=f"""SELECT rollout_id, turn, {SAID.replace('STRING', 'VARCHAR')} AS said,
+            lead({HEARD.replace('STRING', 'VARCHAR')}) OVER t AS feedback, lead(role) OVER t AS next_role, role,
+            count(*) FILTER (role = 'assistant') OVER (PARTITION BY rollout_id ORDER BY turn) AS k
+            FROM conv_turns WINDOW t AS (PARTITION BY rollout_id ORDER BY turn)""",
+        kept="""SELECT *, row_number() OVER (PARTITION BY rollout_id ORDER BY step_id) - 1 AS place FROM (
+            SELECT rollout_id, turn AS step_id, said, CASE WHEN next_role IS NOT NULL THEN feedback END AS heard
+            FROM visible WHERE role = 'assistant') z WHERE (rollout_id + step_id) % 5 <> 2""",
+        walk="""SELECT rollout_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS free, CAST(-2 AS BIGINT) AS taken FROM (SELECT DISTINCT rollout_id FROM conv_turns) s
+            UNION ALL SELECT w.rollout_id, w.k + 1, coalesce(min(e.place) + 1, any_value(w.free)), coalesce(min(e.place), -1)
+            FROM walk w JOIN visible v ON v.rollout_id = w.rollout_id AND v.k = w.k + 1 AND v.role = 'assistant'
+            LEFT JOIN kept e ON e.rollout_id = w.rollout_id AND e.place >= w.free AND e.said = v.said
+              AND v.next_role = 'user' AND (e.heard IS NULL OR contains(v.feedback, e.heard))
+            GROUP BY w.rollout_id, w.k""",
+    ),
+)
+def repeated_text_alignment(v: Views):
+    """Whole conversations whose messages read alike, against trajectories that lack some of their steps."""
+    turns = v["conv_turns"].select(
+        F.col("rollout_id").cast("string").alias("rollout_id"), "conv_id", "turn", "role", F.expr(SAID).alias("said"), F.expr(HEARD).alias("heard")
+    )
+    content = F.when(F.col("role") == "assistant", F.col("said")).otherwise(F.col("heard"))
+    lists = turns.groupBy("rollout_id", "conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", content.alias("content"), "said", "heard"))).alias("t"))
+    following = F.transform("t", lambda m, i: F.get(F.col("t"), i + 1)["heard"])
+    steps = F.transform(
+        F.filter(F.arrays_zip("t", following.alias("next")), lambda z: (z["t"]["role"] == "assistant") & ((F.col("conv_id") + z["t"]["turn"]) % 5 != 2)),
+        lambda z: F.struct(
+            z["t"]["turn"].alias("step_id"), F.lit("agent").alias("source"), z["t"]["said"].alias("message"),
+            F.when(z["next"].isNull(), F.array().cast("array<string>")).otherwise(F.array(z["next"])).alias("observations"),
+            (F.col("conv_id") % 5 != 0).alias("has_commands"), F.lit(None).cast("string").alias("timestamp"),
+        ),
+    )
+    events = logs.trajectory_events(lists.select("rollout_id", steps.alias("steps")))
+    prefixes = lists.select(
+        "rollout_id", F.transform("t", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"),
+        F.transform("t", lambda m: m["turn"]).alias("turns"), F.lit(None).cast("double").alias("observed_at_epoch"),
+    )
+    rows = segments.align(prefixes, events).select("rollout_id", "turns", F.explode("aligned").alias("e"))
+    return rows.select(
+        "rollout_id", F.get("turns", F.col("e.prefix_message_index").cast("int")).cast("long").alias("message_step"),
+        F.col("e.step_id").cast("long").alias("step_id"), F.col("e.status").alias("status"),
+    )
+
+
 @query(
     "adjacent_segments",
     check_sql(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayfold.functions.json_values import first_values_of_lists, unfenced
 from wayfold.functions.text import epoch
 from wayfold.operators.ordering import positions
 
@@ -48,7 +49,8 @@ STEP_SCHEMA = T.StructType([
     T.StructField("steps", T.ArrayType(T.StructType([
         T.StructField("step_id", T.LongType()),
         T.StructField("source", T.StringType()),
-        T.StructField("message", T.StringType()),
+        # A variant, so that a message that is no text can be told from one.
+        T.StructField("message", T.VariantType()),
         T.StructField("timestamp", T.StringType()),
         T.StructField("tool_calls", T.StringType()),
         T.StructField("observation", T.StructType([
@@ -154,31 +156,47 @@ def trial_results(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+#: JSON texts that count as nothing.
+NOTHING = ("", "[]", "{}", "null", "false", "0", "0.0", '""')
+
+
 def trajectories(spark: SparkSession, root: str) -> DataFrame:
     """One row per trial: its steps, in the shape ``trajectory_events`` reads."""
     docs = _json(spark, root, STEP_SCHEMA, "trajectory.json", multiLine=True)
+    return read_steps(docs.withColumn("rollout_id", _trial(root, "/agent/trajectory\\.json$"))).select("rollout_id", "steps", "_corrupt")
+
+
+def read_steps(docs: DataFrame) -> DataFrame:
+    """Steps as recorded, in the shape ``trajectory_events`` reads.
 
-    def reshape(step: Column) -> Column:
-        listed = F.coalesce(F.get_json_object(step["message"], "$.commands"), F.lit(""))
+    A message has commands if the JSON in it has: the text itself, inside a code fence, or the first complete
+    list or object behind other words. Spark parses the messages that are JSON as a whole; the rest is
+    scanned. A message that is no text is null.
+    """
+    text = lambda m: F.when(F.schema_of_variant(m) == "STRING", F.try_variant_get(m, "$", "string"))
+    clean = docs.withColumn("_texts", F.transform("steps", lambda s: text(s["message"]))).withColumn(
+        "_clean", F.transform("_texts", unfenced)
+    ).withColumn("_whole", F.transform("_clean", F.try_parse_json))
+    unread = F.zip_with("_clean", "_whole", lambda c, w: F.when(w.isNull(), c))
+    spans = clean.withColumn("_spans", first_values_of_lists(unread))
+
+    def reshape(step: Column, k: Column) -> Column:
+        value = F.coalesce(F.get(F.col("_whole"), k), F.try_parse_json(F.get(F.col("_spans"), k)))
+        listed = F.coalesce(F.to_json(F.try_variant_get(value, "$.commands", "variant")), F.lit(""))
         tools = F.coalesce(step["tool_calls"], F.lit(""))
-        empty = ("", "[]", "{}", "null", "false", "0", '""')
         return F.struct(
             step["step_id"].alias("step_id"),
             step["source"].alias("source"),
-            step["message"].alias("message"),
+            F.get(F.col("_texts"), k).alias("message"),
             F.coalesce(
                 F.transform(step["observation"]["results"], lambda r: F.coalesce(r["content"], F.lit(""))),
                 F.array().cast("array<string>"),
             ).alias("observations"),
-            (~listed.isin(*empty) | ~tools.isin(*empty)).alias("has_commands"),
+            (~listed.isin(*NOTHING) | ~tools.isin(*NOTHING)).alias("has_commands"),
             step["timestamp"].alias("timestamp"),
         )
 
-    return docs.select(
-        _trial(root, "/agent/trajectory\\.json$").alias("rollout_id"),
-        F.transform("steps", reshape).alias("steps"),
-        "_corrupt",
-    )
+    return spans.withColumn("steps", F.transform("steps", reshape)).drop("_texts", "_clean", "_whole", "_spans")
 
 
 def event_status(observations: Column, has_commands: Column) -> Column:
