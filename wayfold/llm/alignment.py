@@ -20,7 +20,6 @@ import hashlib
 import json
 import re
 from array import array
-from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,14 +31,22 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import by_size, gather, kept, texts_of, worker_state
 from wayfold.llm.units import LONGEST_CACHED, SPACE, library, split_all, sums
 
-BATCH_BYTES = 1_500_000
+BATCH_BYTES = 1_000_000
 #: Parts kept by a worker.
-PARTS_KEPT = 150_000
+PARTS_KEPT = 250_000
 BLANK = "▁"
 BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 #: A space after white space is no known cut.
 IRREGULAR = re.compile(f"[{SPACE}] ")
 PARTS = re.compile(f"(?<=[^{SPACE}]) ")
+LINES = re.compile(f"(?<=[^{SPACE}])\n")
+#: Parts of one encoded text, and the word before the first, so that no part is at the beginning.
+BLOCK, OPENER = 1024, "a"
+#: Before a part without a space in front; no text holds half of a surrogate pair.
+DIRECT = "\ud800"
+#: Marks that can be a cut after a letter; an apostrophe isn't, as it may begin a contraction.
+MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+AFTER_LETTER = {m: re.compile(f"[A-Za-z]{re.escape(m)}".encode()) for m in MARKS}
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -89,72 +96,76 @@ def possible_pairs(left: list[bytes], right: list[bytes]) -> int:
     return endings(right, left, 0) + endings(left, right, 1)
 
 
-def groups(left: list[int], right: list[int]) -> list[tuple[int, int]]:
-    """(tokens of left, tokens of right) up to each shared cut, ascending; both lists are ascending ends with an equal last one."""
-    if not left or not right or left[-1] != right[-1]:
-        raise ValueError("both sequences must end together")
-    out: list[tuple[int, int]] = []
-    open_intervals = [(0, len(left), 0, len(right))]
-    while open_intervals:
-        a0, a1, b0, b1 = open_intervals.pop()
-        cut = None if a1 - a0 == 1 or b1 - b0 == 1 else near_middle(left, right, a0, a1 - 1, b0, b1 - 1)
-        if cut is None:
-            out.append((a1, b1))
-        else:
-            i, j = cut
-            open_intervals.append((i + 1, a1, j + 1, b1))
-            open_intervals.append((a0, i + 1, b0, j + 1))
-    return out
-
-
-def near_middle(left: list[int], right: list[int], a0: int, a1: int, b0: int, b1: int) -> tuple[int, int] | None:
-    """Places (i, j) of a common end among left[a0:a1] and right[b0:b1], sought outwards from the middle."""
-    low = min(left[a0], right[b0])
-    middle = (low + max(left[a1 - 1], right[b1 - 1]) + 1) // 2
-    up_a = down_a = bisect_left(left, middle, a0, a1)
-    up_b = down_b = bisect_left(right, middle, b0, b1)
-    down_a, down_b = down_a - 1, down_b - 1
-    while (up_a < a1 and up_b < b1) or (down_a >= a0 and down_b >= b0):
-        if up_a < a1 and up_b < b1:
-            x, y = left[up_a], right[up_b]
-            if x == y:
-                return up_a, up_b
-            if x < y:
-                up_a = bisect_left(left, y, up_a + 1, a1)
-            else:
-                up_b = bisect_left(right, x, up_b + 1, b1)
-        if down_a >= a0 and down_b >= b0:
-            x, y = left[down_a], right[down_b]
-            if x == y:
-                return down_a, down_b
-            if x > y:
-                down_a = last_up_to(left, y, a0, down_a)
-            else:
-                down_b = last_up_to(right, x, b0, down_b)
-    return None
-
-
-def last_up_to(ends: list[int], value: int, begin: int, end: int) -> int:
-    """The place of the last of ends[begin:end] that is at most ``value``; begin - 1 if none is."""
-    at = bisect_left(ends, value, begin, end)
-    return at if at < end and ends[at] == value else at - 1
-
-
-def ends_of(lengths: list[int]) -> list[int]:
-    total, out = 0, []
-    for n in lengths:
-        total += n
-        out.append(total)
-    return out
+def groups(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of left, tokens of right) up to each shared cut, ascending; both are ascending ends with an equal last one.
 
-
-def parts(text: str) -> list[str]:
-    """Parts of a space and the text between its known cuts, each without its first space."""
+    All open intervals are halved at once, level by level.
+    """
+    if not len(left) or not len(right) or left[-1] != right[-1]:
+        raise ValueError("both sequences must end together")
+    cut_left, cut_right = [np.array([len(left)])], [np.array([len(right)])]
+    # Inner ends of the open intervals: left[a0:a1] and right[b0:b1].
+    a0, a1, b0, b1 = (np.array([k]) for k in (0, len(left) - 1, 0, len(right) - 1))
+    while len(a0):
+        i, j = near_middle(left, right, a0, a1, b0, b1)
+        found = i >= 0
+        i, j, a0, a1, b0, b1 = (x[found] for x in (i, j, a0, a1, b0, b1))
+        cut_left.append(i + 1)
+        cut_right.append(j + 1)
+        a0, a1 = np.concatenate([a0, i + 1]), np.concatenate([i, a1])
+        b0, b1 = np.concatenate([b0, j + 1]), np.concatenate([j, b1])
+        wide = (a0 < a1) & (b0 < b1)
+        a0, a1, b0, b1 = a0[wide], a1[wide], b0[wide], b1[wide]
+    return np.sort(np.concatenate(cut_left)), np.sort(np.concatenate(cut_right))
+
+
+def near_middle(left: np.ndarray, right: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of a common end among left[a0:a1] and right[b0:b1] of each interval, -1 where there is none.
+
+    From the middle a search goes up and one goes down; each leaps to the place of the other sequence's
+    next end by bisection, until the ends are equal or the interval is left.
+    """
+    i, j = np.full(len(a0), -1), np.full(len(a0), -1)
+    live = np.flatnonzero((a0 < a1) & (b0 < b1))
+    low = np.minimum(left[a0[live]], right[b0[live]])
+    middle = (low + np.maximum(left[a1[live] - 1], right[b1[live] - 1]) + 1) // 2
+    up_a, up_b = (np.clip(np.searchsorted(x, middle), first[live], last[live]) for x, first, last in ((left, a0, a1), (right, b0, b1)))
+    down_a, down_b = up_a - 1, up_b - 1
+    while len(live):
+        goes_up = (up_a < a1[live]) & (up_b < b1[live])
+        x, y = left[np.minimum(up_a, len(left) - 1)], right[np.minimum(up_b, len(right) - 1)]
+        hit = goes_up & (x == y)
+        goes_down = (down_a >= a0[live]) & (down_b >= b0[live])
+        u, v = left[np.maximum(down_a, 0)], right[np.maximum(down_b, 0)]
+        other = goes_down & (u == v) & ~hit
+        for at, p, q in ((hit, up_a, up_b), (other, down_a, down_b)):
+            i[live[at]], j[live[at]] = p[at], q[at]
+        stay = (goes_up | goes_down) & ~hit & ~other
+        live, up_a, up_b, down_a, down_b, x, y, u, v = (z[stay] for z in (live, up_a, up_b, down_a, down_b, x, y, u, v))
+        behind, ahead = x < y, u > v
+        up_a = np.where(behind, np.searchsorted(left, y), up_a)
+        up_b = np.where(behind, up_b, np.searchsorted(right, x))
+        down_a = np.where(ahead, np.searchsorted(left, v, side="right") - 1, down_a)
+        down_b = np.where(ahead, down_b, np.searchsorted(right, u, side="right") - 1)
+    return i, j
+
+
+def parts(text: str, lines: bool = True) -> list[str]:
+    """Keys of the parts between a text's known cuts, of a space and the text.
+
+    A key is the part without its first space, or, for a part that begins with a line feed, DIRECT and the part.
+    """
     if not text:
         return []
+    if lines and "\n" in text:
+        text = LINES.sub(f" {DIRECT}\n", text)
     return PARTS.split(text) if text[0] == " " or IRREGULAR.search(text) else text.split(" ")
 
 
+def part_of(key: str) -> str:
+    return key[1:] if key[:1] == DIRECT else " " + key
+
+
 class Pair(NamedTuple):
     """The two tokenizers of one worker."""
 
@@ -170,9 +181,13 @@ class PartTable:
     def __init__(self, tokenizers: Pair, limit: int = PARTS_KEPT):
         self.t, self.limit = tokenizers, limit
         self.width = len(tokenizers.right_bytes)
-        self.left_names = [str(i) for i in range(len(tokenizers.left_bytes))]
-        self.right_names = [str(i) for i in range(self.width)]
-        self.blank = tokenizers.right.piece_to_id(BLANK)
+        self.left_sizes, self.right_sizes = (np.array(list(map(len, b)), np.int64) for b in (tokenizers.left_bytes, tokenizers.right_bytes))
+        # A token's text in the groups: within its side, last of the left side, within the right side, last of the group.
+        self.said = [f"{i}{mark}" for names, marks in ((self.left_sizes, ",|"), (self.right_sizes, ",;")) for mark in marks for i in range(len(names))]
+        #: A line feed is a cut where no piece holds one.
+        self.lines = not any(b"\n" in b and b != b"\n" for b in tokenizers.right_bytes)
+        #: Marks that follow a Latin letter in no piece: a part's stem and its closing marks share no token.
+        self.marks = "".join(m for m in MARKS if not any(AFTER_LETTER[m].search(b) for b in tokenizers.right_bytes))
         self.clear()
 
     def clear(self) -> None:
@@ -181,39 +196,97 @@ class PartTable:
         self.n_left, self.n_right, self.n_groups, self.starts, self.flat = array("i"), array("i"), array("i"), array("q"), array("q")
 
     def add(self, keys: list[str]) -> None:
-        t, width = self.t, self.width
-        lefts = t.left.encode_batch_fast([" " + k for k in keys], add_special_tokens=False)
-        for key, found, b in zip(keys, lefts, t.right.encode(keys, num_threads=1)):
-            a, b, raw = found.ids, b if key else [self.blank], b" " + key.encode()
-            as_left, as_right = [t.left_bytes[i] for i in a], [t.right_bytes[i] for i in b]
-            self.index[key] = len(self.names)
-            self.starts.append(len(self.flat))
-            if b"".join(as_left) != raw or b"".join(as_right) != raw:
-                self.note(0, 0, -1, "")
-                continue
-            cuts = groups(ends_of(map(len, as_left)), ends_of(map(len, as_right)))
-            said, i, j = [], 0, 0
-            for p, q in cuts:
-                said.append(",".join([self.left_names[x] for x in a[i:p]]) + "|" + ",".join([self.right_names[x] for x in b[j:q]]))
-                self.flat.append(a[p - 1] * width + b[q - 1])
-                i, j = p, q
-            self.note(len(a), len(b), len(cuts), ";".join(said))
-
-    def note(self, n_left: int, n_right: int, n_groups: int, said: str) -> None:
-        """Appends a part; -1 groups mark one that isn't given back byte by byte."""
-        self.n_left.append(n_left)
-        self.n_right.append(n_right)
-        self.n_groups.append(n_groups)
-        self.names.append(said)
+        """Encodes and aligns new parts, as few texts of many parts; one that would spoil its neighbours is a text of its own."""
+        alone = [k for k in keys if not k or k[-1] in SPACE or BLANK in k or k[0] == DIRECT and k[1] in MARKS]
+        odd = set(alone)
+        together = [k for k in keys if k not in odd]
+        blocks = [together[at : at + BLOCK] for at in range(0, len(together), BLOCK)] + [[k] for k in alone]
+        texts = [OPENER + "".join(map(part_of, block)) for block in blocks]
+        lefts = [e.ids for e in self.t.left.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]
+        for block, text, a, b in zip(blocks, texts, lefts, self.t.right.encode(texts, num_threads=1)):
+            if not self.enter(block, text, a, b):
+                if len(block) > 1:
+                    self.add_singly(block)
+                else:
+                    self.note(block, np.zeros(1, int), np.zeros(1, int), np.full(1, -1), [""], np.zeros(0, np.int64))
+
+    def add_singly(self, block: list[str]) -> None:
+        for key in block:
+            text = OPENER + part_of(key)
+            a, b = self.t.left.encode(" " + text, add_special_tokens=False).ids, self.t.right.encode(text)
+            if not self.enter([key], text, a, b):
+                self.note([key], np.zeros(1, int), np.zeros(1, int), np.full(1, -1), [""], np.zeros(0, np.int64))
+
+    def enter(self, block: list[str], text: str, a: list[int], b: list[int]) -> bool:
+        """Notes the parts of a text behind its opener; False if a tokenizer doesn't give the bytes back or a part's end is no cut."""
+        raw = (" " + text).encode()
+        if b"".join([self.t.left_bytes[i] for i in a]) != raw or b"".join([self.t.right_bytes[i] for i in b]) != raw:
+            return False
+        a, b = np.array(a), np.array(b)
+        cut_a, cut_b = groups(np.cumsum(self.left_sizes[a]), np.cumsum(self.right_sizes[b]))
+        ends = np.cumsum([len(OPENER) + 1] + [len(part_of(k).encode()) for k in block])
+        last = np.searchsorted(np.cumsum(self.left_sizes[a])[cut_a - 1], ends)
+        if not np.array_equal(np.cumsum(self.left_sizes[a])[cut_a[last] - 1], ends):
+            return False
+        links = a[cut_a - 1] * self.width + b[cut_b - 1]
+        # The tokens' texts group by group: all of the left side, then all of the right.
+        of_a, of_b = np.searchsorted(cut_a, np.arange(len(a)), side="right"), np.searchsorted(cut_b, np.arange(len(b)), side="right")
+        place = np.concatenate([np.arange(len(a)) + np.append(0, cut_b)[of_a], np.arange(len(b)) + cut_a[of_b]])
+        n = len(self.left_sizes)
+        word = np.concatenate([a, b + 2 * n])
+        word[cut_a - 1] += n
+        word[len(a) + cut_b - 1] += self.width
+        line = np.empty(len(word), np.int64)
+        line[place] = word
+        said = list(map(self.said.__getitem__, line.tolist()))
+        stops = (cut_a[last] + cut_b[last]).tolist()
+        names = ["".join(said[p:q]) for p, q in zip(stops, stops[1:])]
+        self.note(block, np.diff(cut_a[last]), np.diff(cut_b[last]), np.diff(last), names, links[last[0] + 1 :])
+        return True
+
+    def note(self, keys: list[str], n_left: np.ndarray, n_right: np.ndarray, n_groups: np.ndarray, names: list[str], links: np.ndarray) -> None:
+        """Appends parts; -1 groups mark one that isn't given back byte by byte."""
+        self.index.update(zip(keys, range(len(self.names), len(self.names) + len(keys))))
+        self.names += names
+        sizes = np.maximum(n_groups, 0)
+        self.starts.frombytes((len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int64).tobytes())
+        for store, values in ((self.n_left, n_left), (self.n_right, n_right), (self.n_groups, n_groups)):
+            store.frombytes(values.astype(np.int32).tobytes())
+        self.flat.frombytes(links.astype(np.int64).tobytes())
+
+    def halves(self, key: str) -> tuple[str, str]:
+        """The keys of a part's stem and of its closing marks; the latter is empty where there is no cut between them."""
+        stem = key.rstrip(self.marks)
+        cut = stem and len(stem) < len(key) and stem[-1].isascii() and stem[-1].isalpha()
+        return (stem, DIRECT + key[len(stem) :]) if cut else (key, "")
 
     def rows(self, keys: list[str]) -> np.ndarray:
+        """The row of each key; new parts are encoded together, those with closing marks put together from their halves."""
         if len(self.index) > self.limit:
             self.clear()
         fresh = list(set(keys).difference(self.index))
-        for at in range(0, len(fresh), 2048):
-            self.add(fresh[at : at + 2048])
-        out = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+        ended, halves, single = [], [], set()
         for key in fresh:
+            stem, tail = self.halves(key)
+            if tail:
+                ended.append(key)
+                halves += (stem, tail)
+            else:
+                single.add(key)
+        new = list(single.union(halves).difference(self.index))
+        for at in range(0, len(new), 8 * BLOCK):
+            self.add(new[at : at + 8 * BLOCK])
+        if ended:
+            two = np.fromiter(map(self.index.__getitem__, halves), np.int64, len(halves)).reshape(-1, 2)
+            count = lambda c: np.frombuffer(c, np.int32)[two]
+            whole = (count(self.n_groups) >= 0).all(axis=1)
+            self.add([key for key, good in zip(ended, whole) if not good])
+            two, ended = two[whole], [key for key, good in zip(ended, whole) if good]
+            n_left, n_right, n_groups = (count(c).sum(axis=1) for c in (self.n_left, self.n_right, self.n_groups))
+            names = [self.names[p] + self.names[q] for p, q in two.tolist()]
+            self.note(ended, n_left, n_right, n_groups, names, self.pairs(two.ravel()))
+        out = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+        for key in fresh + new:
             if len(key) > LONGEST_CACHED:
                 self.index.pop(key, None)
         return out
@@ -250,7 +323,7 @@ def aligned(docs: DataFrame, left: str, right: str, id_col: str = "doc_id", text
         for batch in by_size(batches, "text", batch_bytes):
             id_type = batch.schema.field(0).type
             texts = texts_of(batch, "text")
-            keys, sizes = split_all(texts, parts)
+            keys, sizes = split_all(texts, lambda text: parts(text, found.lines))
             at = found.rows(keys)
             del keys
             n_groups = np.frombuffer(found.n_groups, np.int32)[at] if len(at) else np.zeros(0, np.int32)
@@ -264,8 +337,8 @@ def aligned(docs: DataFrame, left: str, right: str, id_col: str = "doc_id", text
             stops = np.concatenate([[0], np.cumsum(n_g)])
             places, hashes, raw = at.tolist(), [], links.astype("<u8").tobytes()
             for k in range(len(texts)):
-                said = ";".join([found.names[p] for p in places[ends[k] : ends[k + 1]]])
-                hashes.append(hashlib.sha256(said.encode()).hexdigest() if said else "")
+                said = "".join([found.names[p] for p in places[ends[k] : ends[k + 1]]])
+                hashes.append(hashlib.sha256(said[:-1].encode()).hexdigest() if said else "")
             packed = [raw[8 * a : 8 * z] for a, z in zip(stops, stops[1:])]
             waiting.append(np.unique(links, return_counts=True))
             if len(waiting) == 16:
