@@ -1,6 +1,7 @@
 """Text functions, literal evidence, validation, annotation, inventory and streams."""
 
 import json
+import random
 import re
 
 import pytest
@@ -234,6 +235,68 @@ def test_catalog_ranking(spark):
     assert {r["text_id"] for r in catalog.rank(texts, wide).collect()} == {"t"}
 
 
+def plain_ranking(text_value, tables, top):
+    """Every relation of a catalog scored against one text."""
+    stop = set(text.STOP_TERMS)
+    words = lambda t: {w.rstrip("s") for w in re.findall("[a-z][a-z0-9]*", t.lower()) if len(w) > 2 and w not in stop}
+    normal = re.sub("[\"`]", "", text_value).lower()
+    refs = {m[0] for m in re.findall(r"(?<![^\W])(?:from|join)\s+(([a-z_][a-z0-9_]*)(\.[a-z_][a-z0-9_]*)?)", normal)}
+    said = lambda n: re.search(r"(?<![a-z0-9_])" + re.escape(n) + r"(?![a-z0-9_])", normal)
+    found = []
+    for schema, table, kind in tables:
+        name, full = table.lower(), f"{schema}.{table}"
+        key, main = full.lower(), schema.lower() == "main"
+        sql = 1000 if key in refs else 800 if name in refs else 0
+        if main and not sql and any(r.endswith("." + name) for r in refs):
+            continue
+        points = sql + (400 if said(key) else 150 if said(name) else 0) + 8 * len(words(text_value) & words(full))
+        if points:
+            old = re.search(r"(?:^|_)(?:hist|backup|tmp|stg|v[0-9]+)(?:_|$)", name)
+            found.append((points + (20 if kind == "BASE TABLE" else 0) + (0 if main else 5) - (10 if old else 0), full))
+    return sorted(found, key=lambda f: (-f[0], f[1]))[:top]
+
+
+@pytest.mark.parametrize("few", [0, 3])
+def test_catalog_ranking_equals_scoring_every_relation(spark, monkeypatch, few):
+    """Crowded terms, namesakes in main, names with other characters; with the limits of sets lowered too."""
+    if few:
+        monkeypatch.setattr(catalog, "MOST_TERMS", few)
+        monkeypatch.setattr(catalog, "MOST_TEXT_TERMS", few)
+    rng = random.Random(21)
+    stems = ["harvest", "apple", "pear", "tree", "count", "daily", "order-item", "cold store", "price$", "v2", "backup", "x", "\u00e4pfel"]
+    schemas = ["main", "farm", "Farm-2", "north"]
+    tables = sorted({
+        (rng.choice(schemas), "_".join(rng.sample(stems, rng.randint(1, 3))), rng.choice(["BASE TABLE", "VIEW"])) for _ in range(260)
+    })
+    tables = [t for i, t in enumerate(tables) if i == 0 or tables[i - 1][:2] != t[:2]]
+    pieces = [f"{s}.{t}" for s, t, _ in tables[::9]] + [t.upper() for _, t, _ in tables[::11]] + ["from", "join", "FROM", "ghost.apple", "\u00e9from pear", "trees", "and", ","]
+    texts = [(k, " ".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))) for k in range(70)]
+    made = catalog.rank(
+        spark.createDataFrame(texts, "text_id int, text string"), spark.createDataFrame(tables, "table_schema string, table_name string, table_type string"), top=4
+    )
+    got = {k: [] for k, _ in texts}
+    for r in made.collect():
+        got[r["text_id"]].append((r["score"], r["qualified_name"]))
+    for k, value in texts:
+        assert sorted(got[k], key=lambda f: (-f[0], f[1])) == plain_ranking(value, tables, 4), value
+
+
+def test_mentions_of_names_with_other_characters(spark):
+    shape = "table_schema string, table_name string, table_type string"
+    tables = spark.createDataFrame([("sales", "Order-Items", "BASE TABLE"), ("sales", "net$", "VIEW"), ("sales", "a b", "VIEW")], shape)
+    texts = spark.createDataFrame(
+        [("key", "see sales.Order-Items"), ("name", "the order-items, net$ and `a b`"), ("part", "preorder-items net$x a bc")], "text_id string, text string"
+    )
+    ranked = {(r["text_id"], r["qualified_name"]): r["score"] for r in catalog.rank(texts, tables, small_catalog=0).collect()}
+    assert ranked["key", "sales.Order-Items"] == 400 + 2 * 8 + 25  # "order" is no term
+    assert ranked["name", "sales.Order-Items"] == 150 + 8 + 25 and ranked["name", "sales.net$"] == 150 + 8 + 5 and ranked["name", "sales.a b"] == 150 + 5
+    assert ("part", "sales.a b") not in ranked and ranked["part", "sales.Order-Items"] == 8 + 25
+    known = catalog.relations(tables)
+    blocks = catalog.odd_mentions(texts, known, block=1).select("text_id", "word").collect()
+    assert sorted(map(tuple, blocks)) == sorted(map(tuple, catalog.odd_mentions(texts, known).select("text_id", "word").collect()))
+    assert len(blocks) == 4
+
+
 def test_review_rows_are_redacted(spark):
     rows = [("a", "task", "validated", "/root/me/x/y.md"), ("a", "task", "rejected", "/root/me/x"), ("b", "report", None, "see /root/me/z"), ("c", "report", None, "no")]
     df = spark.createDataFrame(rows, "name string, kind string, status string, note string")

@@ -19,7 +19,8 @@ TOKEN_PATTERN = r"[a-z]{4,}"
 TERM_PATTERN = r"[a-zA-Z][a-zA-Z0-9]*"
 # White space as in the published normalisation: ASCII, separators and wide blanks.
 SPACE_PATTERN = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-RELATION_PATTERN = r"\b(?:from|join)\s+([a-z_][a-z0-9_]*(?:\.[a-z_][a-z0-9_]*)?)"
+# The word borders are written out, so that letters of any language count alike in every regex engine.
+RELATION_PATTERN = r"(?:^|[^\p{L}\p{M}\p{N}_])(?:from|join)[ \t\n\x0b\f\r]+([a-z_][a-z0-9_]*(?:\.[a-z_][a-z0-9_]*)?)"
 
 
 def _col(value: Column | str) -> Column:

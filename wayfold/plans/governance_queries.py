@@ -262,14 +262,14 @@ def priority_integrity(v: Views):
 
 CATALOG = """SELECT DISTINCT CASE WHEN p_size % 9 = 0 THEN 'main' ELSE lower(replace(p_brand, '#', '')) END AS table_schema,
  replace(p_name, ' ', '_') || CASE WHEN p_size % 8 = 3 THEN '_v2' ELSE '' END AS table_name, CASE WHEN p_size % 9 = 0 THEN 'VIEW' ELSE 'BASE TABLE' END AS table_type FROM part"""
-TEXTS = """SELECT doc_id AS text_id, body || ' select * FROM "' || CASE WHEN doc_id % 5 = 0 THEN 'ghost' ELSE lower(replace(p_brand, '#', '')) END || '".' || replace(p_name, ' ', '_')
+TEXTS = """SELECT doc_id AS text_id, d.text || ' select * FROM "' || CASE WHEN doc_id % 5 = 0 THEN 'ghost' ELSE lower(replace(p_brand, '#', '')) END || '".' || replace(p_name, ' ', '_')
  || CASE WHEN doc_id % 3 = 0 THEN ' join ' || replace(p_name, ' ', '_') ELSE '' END || ' -- see ' || replace(p_name, ' ', '_') || '_v2' AS text
- FROM (SELECT doc_id, regexp_replace(text, '(?i)\\b(from|join)\\b', 'x', 'g') AS body FROM documents) d JOIN part ON p_partkey = doc_id"""
+ FROM (SELECT *, doc_id % (SELECT count(*) FROM part) + 1 AS part_key FROM documents) d LEFT JOIN part ON p_partkey = part_key"""
 # Brute force: every text against every relation.
 CATALOG_CTES = dict(
     catalog=CATALOG,
     texts=TEXTS,
-    norm=r"""SELECT text_id, list_distinct(regexp_extract_all(t, '\b(?:from|join)\s+([a-z_][a-z0-9_]*(?:\.[a-z_][a-z0-9_]*)?)', 1)) AS refs,
+    norm=r"""SELECT text_id, list_distinct(regexp_extract_all(t, '(?:^|[^\p{L}\p{M}\p{N}_])(?:from|join)[ \t\n\x0b\f\r]+([a-z_][a-z0-9_]*(?:\.[a-z_][a-z0-9_]*)?)', 1)) AS refs,
     list_distinct(regexp_extract_all(t, '[a-z0-9_]+')) AS words, ' ' || array_to_string(regexp_extract_all(t, '[a-z0-9_]+(?:\.[a-z0-9_]+)*'), ' ') || ' ' AS chains,
     list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-zA-Z][a-zA-Z0-9]*'), lambda w: length(w) > 2 AND NOT list_contains(
       ['select','from','where','group','order','table','schema','source','history','transition','task','stage','selecting','main','raw','data'], w)), lambda w: rtrim(w, 's'))) AS terms
@@ -324,12 +324,12 @@ def relation_rows(v: Views) -> DataFrame:
 def evidence_texts(v: Views) -> DataFrame:
     table = F.replace("p_name", F.lit(" "), F.lit("_"))
     schema = F.when(F.col("doc_id") % 5 == 0, "ghost").otherwise(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))))
-    body = F.regexp_replace("text", r"(?i)\b(from|join)\b", "x")
-    joined = v["documents"].join(v["part"], F.col("p_partkey") == F.col("doc_id"))
+    numbered = v["documents"].withColumn("_part", F.col("doc_id") % v["part"].agg(F.count(F.lit(1))).scalar() + 1)
+    joined = numbered.join(v["part"], F.col("p_partkey") == F.col("_part"), "left")
     return joined.select(
         F.col("doc_id").alias("text_id"),
         F.concat(
-            body, F.lit(' select * FROM "'), schema, F.lit('".'), table,
+            "text", F.lit(' select * FROM "'), schema, F.lit('".'), table,
             F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" join "), table)).otherwise(""),
             F.lit(" -- see "), table, F.lit("_v2"),
         ).alias("text"),

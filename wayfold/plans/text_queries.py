@@ -72,6 +72,7 @@ def fingerprints(v: Views):
 
 
 STOPS = ", ".join(f"'{w}'" for w in text.STOP_TERMS)
+RELATION = text.RELATION_PATTERN
 
 
 @query(
@@ -80,17 +81,15 @@ STOPS = ", ".join(f"'{w}'" for w in text.STOP_TERMS)
         f"""SELECT doc_id, md5(array_to_string(list_sort(list_distinct(list_transform(list_filter(
           regexp_extract_all(lower(text), '[a-zA-Z][a-zA-Z0-9]*'),
           lambda w: length(w) > 2 AND NOT list_contains([{STOPS}], w)), lambda w: rtrim(w, 's')))), ' ')) AS terms,
-        CASE WHEN doc_id % 2 = 0 THEN 'items,' || source || '.orders' ELSE source || '.orders' END AS refs FROM quoting""",
-        quoting="""SELECT doc_id, source, regexp_replace(text, '(?i)\\b(from|join)\\b', 'x', 'g') || chr(10) || 'select 1 FROM "' || source || '".Orders'
+        array_to_string(list_sort(list_distinct(regexp_extract_all(lower(regexp_replace(text, '["`]', '', 'g')), '{RELATION}', 1))), ',') AS refs FROM quoting""",
+        quoting="""SELECT doc_id, source, text || chr(10) || 'select 1 FROM "' || source || '".Orders'
         || CASE WHEN doc_id % 2 = 0 THEN ' join `items`' ELSE '' END AS text FROM documents""",
     ),
 )
 def terms_and_references(v: Views):
     sql = F.concat(F.lit('\nselect 1 FROM "'), "source", F.lit('".Orders'))
     tail = F.when(F.col("doc_id") % 2 == 0, F.concat(sql, F.lit(" join `items`"))).otherwise(sql)
-    # Prose may itself hold the words from or join; those are dropped on both sides.
-    prose = F.regexp_replace("text", r"(?i)\b(from|join)\b", "x")
-    rows = v["documents"].select("doc_id", F.concat(prose, tail).alias("text"))
+    rows = v["documents"].select("doc_id", F.concat("text", tail).alias("text"))
     return rows.select(
         "doc_id",
         F.md5(F.array_join(F.array_sort(text.term_set("text")), " ")).alias("terms"),
@@ -113,30 +112,30 @@ MESSAGES = """SELECT rollout_id AS history_id, turn AS message_index, role, CASE
  THEN 'Task Description:' || chr(10) || 'use schema: sales_' || task_id || ' ' || plain || chr(10) || 'Current terminal state:' || chr(10) || 'ready'
  ELSE plain || chr(10) || 'select a.key AS k' || (turn % 3) || ' from main.orders' END AS content
  FROM (SELECT *, text AS plain FROM conv_turns) p"""
-# Word borders next to other letters differ between the two regex engines, so this check reads ASCII texts.
-ASCII_MESSAGES = MESSAGES.replace("text AS plain", r"regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS plain")
+# Letters, marks and digits of any language and their blanks, written out for the check's regex engine.
+W, S = r"[\p{L}\p{M}\p{N}_]", r"[\s\x0b\x85\p{Z}]"
 
 
 @query(
     "explicit_mapping_lines",
     check_sql(
-        r"""SELECT history_id, line, message_index, source_kind, pattern, matched_text FROM (
+        """SELECT history_id, line, message_index, source_kind, pattern, matched_text FROM (
         SELECT *, row_number() OVER (PARTITION BY history_id ORDER BY source_kind <> 'terminal_transcript', pattern <> 'explicit_sql_alias',
           message_index DESC, nt, place) AS line FROM (
-          SELECT *, row_number() OVER (PARTITION BY history_id, source_kind, lower(trim(regexp_replace(matched_text, '\s+', ' ', 'g')))
+          SELECT *, row_number() OVER (PARTITION BY history_id, source_kind, lower(trim(regexp_replace(matched_text, '\\s+', ' ', 'g')))
             ORDER BY nt, message_index DESC, place) AS seen FROM hits) a WHERE seen = 1) b WHERE line <= 10""",
         "conv_turns",
-        messages=ASCII_MESSAGES,
-        hits=r"""SELECT history_id, message_index, role NOT IN ('user', 'tool') AS nt,
+        messages=MESSAGES,
+        hits=rf"""SELECT history_id, message_index, role NOT IN ('user', 'tool') AS nt,
         CASE WHEN message_index = 0 THEN 'task_requirement' WHEN role IN ('user', 'tool') THEN 'terminal_transcript' ELSE 'learner_command_or_assertion' END AS source_kind,
         CASE WHEN place <= size_a THEN 'explicit_sql_alias' ELSE 'schema_or_qualified_name' END AS pattern, place, found[place] AS matched_text
         FROM (SELECT *, len(a) AS size_a, list_concat(a, b) AS found, unnest(range(1, len(a) + len(b) + 1)) AS place FROM (
-          SELECT *, regexp_extract_all(content, '(?i)\b[A-Za-z_][\w.]*\s+AS\s+[A-Za-z_][\w]*') AS a,
-          regexp_extract_all(content, '(?i)\bschema\s*[:=]\s*[^\n,}]+|\b(?:main|daily_analytics)\.[A-Za-z_]\w*') AS b FROM messages) x) y""",
+          SELECT *, regexp_extract_all(content, '(?i)(?:^|[^\p{{L}}\p{{M}}\p{{N}}_])([A-Za-z_](?:{W}|\.)*{S}+AS{S}+[A-Za-z_]{W}*)', 1) AS a,
+          regexp_extract_all(content, '(?i)(?:^|[^\p{{L}}\p{{M}}\p{{N}}_])(schema{S}*[:=]{S}*[^\n,}}]+|(?:main|daily_analytics)\.[A-Za-z_]{W}*)', 1) AS b FROM messages) x) y""",
     ),
 )
 def explicit_mapping_lines(v: Views):
-    return ledger.mapping_lines(conversation_messages(v, F.regexp_replace("text", r"[^\x00-\x7F]", ""))).select(
+    return ledger.mapping_lines(conversation_messages(v, F.col("text"))).select(
         "history_id", "line", "message_index", "source_kind", "pattern", "matched_text"
     )
 
