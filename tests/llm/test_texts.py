@@ -96,30 +96,47 @@ def test_sentencepiece(spark, odd, none):
 
 
 def brute_repeats(rows, window):
-    seen, out = set(), {}
-    for doc, text in sorted(rows):
-        w = WORD.findall(text)
-        gone = [False] * len(w)
+    """Result columns of each row; rows of one id are at the same place, so neither is earlier."""
+    first, out = {}, []
+    split = [(doc, WORD.findall(text)) for doc, text in rows]
+    for doc, w in split:
         for s in range(len(w) - window + 1):
             key = tuple(w[s : s + window])
-            if key in seen:
+            first[key] = min(first.get(key, (doc, s)), (doc, s))
+    for doc, w in split:
+        gone = [False] * len(w)
+        for s in range(len(w) - window + 1):
+            if first[tuple(w[s : s + window])] < (doc, s):
                 gone[s : s + window] = [True] * window
-            seen.add(key)
         kept = [x for x, g in zip(w, gone) if not g]
-        out[doc] = (len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest())
-    return out
+        out.append((doc, len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    return sorted(out)
 
 
-@pytest.mark.parametrize("batch", [200, 1_000_000])
-def test_repeats(spark, batch, monkeypatch):
-    monkeypatch.setattr(repeats, "BATCH_BYTES", batch)
+@pytest.mark.parametrize("batch", [1, 200, 1_000, 1_000_000])
+def test_repeats(spark, batch):
+    """Batches of one text to all texts; repeated ids with equal and with other texts."""
     rng = random.Random(3)
     passages = [[rng.choice("abcd") for _ in range(rng.randint(3, 40))] for _ in range(12)]
     rows = [(d, " ".join(w for _ in range(rng.randint(0, 6)) for w in rng.choice(passages))) for d in range(80)]
     rows += [(d, " ".join("ab" * 90)) for d in (90, 91)]
+    common = " ".join(f"q{k}" for k in range(25))
+    rows += [(200, common), (201, common + " x"), (201, common + " y"), (201, common + " y"), (202, "z " + common), (202, "z " + common + " v")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(df, keep_text=False).collect()}
-    assert got == brute_repeats(rows, 20)
+    got = repeats.remove_repeats(df, keep_text=False, batch_bytes=batch).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_repeats(rows, 20)
+
+
+def test_repeats_do_not_depend_on_the_dealing_of_rows(spark):
+    """Two texts of one id in another partition than the earlier document."""
+    common = " ".join(f"q{k}" for k in range(25))
+    first, rest = [(0, common)], [(1, common + " x"), (1, common + " y")]
+    shape = "doc_id long, text string"
+    apart = spark.createDataFrame(first, shape).coalesce(1).union(spark.createDataFrame(rest, shape).coalesce(1))
+    for df in (apart, apart.coalesce(1)):
+        assert sorted((r.doc_id, r.n_removed) for r in repeats.remove_repeats(df).collect()) == [(0, 0), (1, 25), (1, 25)]
+    with pytest.raises(ValueError, match="n_words"):
+        repeats.remove_repeats(apart.withColumn("n_words", F.lit(1)))
 
 
 def test_repeats_odd_rows(spark, odd, none):

@@ -163,7 +163,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, gram: int = GRAM, id_col:
                 rank = np.argsort(digest, kind="stable")
             else:
                 rank = np.lexsort((place, docs[doc, 0], digest))
-            later, copy = repeats(rank, digest, anchor, docs[doc, 0], place)
+            later, copy = repeats(rank, digest, anchor, docs[doc, 0], place, docs[doc, 1])
             if later.any():
                 columns = spans_of(docs, doc[later], place[later])
                 none = pa.nulls(len(columns[0]), pa.binary())
@@ -217,7 +217,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, gram: int = GRAM, id_col:
         if not len(some):
             return
         rank = np.lexsort((start, docs[doc, 0], digest, anchor))
-        later, _ = repeats(rank, digest, anchor, docs[doc, 0], start)
+        later, _ = repeats(rank, digest, anchor, docs[doc, 0], start, docs[doc, 1])
         doc, start = doc[later], start[later]
         rank = np.lexsort((start, doc))
         columns = spans_of(docs, doc[rank], start[rank])
@@ -230,10 +230,11 @@ def repeated_spans(docs: DataFrame, window: int = 20, gram: int = GRAM, id_col:
     return rows.mapInArrow(seeds, schema).repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(extend, out_schema)
 
 
-def repeats(rank: np.ndarray, digest: np.ndarray, anchor: np.ndarray, ids: np.ndarray, start: np.ndarray):
-    """(later, copy): windows that start elsewhere first, and further rows of a window's first place.
+def repeats(rank: np.ndarray, digest: np.ndarray, anchor: np.ndarray, ids: np.ndarray, start: np.ndarray, texts: np.ndarray):
+    """(later, copy): windows that start elsewhere first, and further rows of a window's first place with the same text.
 
-    ``rank`` puts equal windows together, each with its earliest place first.
+    ``rank`` puts equal windows together, each with its earliest place first. Another text of the same
+    id is no copy: the window may prove to start earlier still, and then both texts lose it.
     """
     head = np.ones(len(rank), bool)
     head[1:] = (digest[rank[1:]] != digest[rank[:-1]]) | (anchor[rank[1:]] != anchor[rank[:-1]])
@@ -241,7 +242,7 @@ def repeats(rank: np.ndarray, digest: np.ndarray, anchor: np.ndarray, ids: np.nd
     there = (ids[rank] == ids[first]) & (start[rank] == start[first])
     later, copy = np.zeros(len(rank), bool), np.zeros(len(rank), bool)
     later[rank] = ~there
-    copy[rank] = there & ~head
+    copy[rank] = there & ~head & (texts[rank] == texts[first])
     return later, copy
 
 
@@ -287,16 +288,17 @@ def unpack(body: bytes, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
-                   keep_text: bool = True) -> DataFrame:
+                   keep_text: bool = True, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """All rows and columns of ``docs`` without their repeated stretches.
 
     Adds n_words, n_removed and kept_sha256 (of the kept words joined by one space). With
     ``keep_text`` a text that lost words becomes the kept words joined by one space, while the
     others keep their characters; a null text stays null and has no words. Rows of one doc_id
-    are judged each on its own text. Rows without an id are kept whole.
+    are judged each on its own text: neither is earlier than the other at one start. Rows without an id
+    are kept whole. A column of ``docs`` named like a result raises.
     """
     spans_by_doc = (
-        repeated_spans(docs, window, gram, id_col, text_col).groupBy(F.col("doc_id").alias("_of"), F.col("text_key").alias("_key"))
+        repeated_spans(docs, window, gram, id_col, text_col, batch_bytes).groupBy(F.col("doc_id").alias("_of"), F.col("text_key").alias("_key"))
         .agg(F.collect_list("first").alias("_firsts"), F.collect_list("last").alias("_lasts"))
     )
     names = docs.columns
