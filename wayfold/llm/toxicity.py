@@ -56,7 +56,8 @@ STEP = 0.1
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """Rows that give no labels; a null id is held out too."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
 def tokens(text: str) -> list[str]:
@@ -370,10 +371,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     no surprise. Every text is scored whole.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # three tables of 2^BITS slots
+    shared = spark.sparkContext.broadcast(tuple(model))  # three tables of 2^BITS slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(*shared.value)
         cache = worker_state(("slots", BITS, PREFIXES), SlotCache)
         passage = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("sum", pa.float64()), ("p", pa.float64())]))
         for batch in by_size(batches, "text", BATCH_BYTES):
@@ -405,10 +406,10 @@ def keep_clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     """The rows of ``docs`` that are not predicted toxic, with their columns; scored in place, without a shuffle."""
     names = docs.columns
     at = names.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # plain arrays, so the package need not be installed there
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(*shared.value)
         cache = worker_state(("slots", BITS, PREFIXES), SlotCache)
         for batch in by_size(batches, text_col, BATCH_BYTES):
             stays = []
