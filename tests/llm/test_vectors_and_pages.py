@@ -132,6 +132,43 @@ def test_search(spark):
     assert ann_forest.search(few, few.filter("vec_id = 0")).count() == 2
 
 
+def test_search_with_default_settings(spark, monkeypatch):
+    """Crowded and lone vectors against brute force; 150 queries, so that some had no part in setting the width."""
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((40, 24)) * 3
+    table = np.concatenate([centres[rng.integers(0, 40, 5_000)] + rng.standard_normal((5_000, 24)), rng.standard_normal((1_000, 24)) * 4]).astype(np.float32)
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(table)]
+    df = spark.createDataFrame(rows, VECTORS).withColumn("point", F.lit("clash")).withColumn("score", F.lit("clash"))
+    found: dict[int, list] = {}
+    made = []
+    true_rank = ann_forest.true_neighbours
+    monkeypatch.setattr(ann_forest, "true_neighbours", lambda *a: made.append(len(a[1])) or true_rank(*a))
+    for r in ann_forest.search(df, df.filter("vec_id % 40 = 0")).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert made[:2] == [48, 48]
+    exact, hits = table.astype(float), 0
+    for q in range(0, 6_000, 40):
+        d = np.sqrt(((exact - exact[q]) ** 2).sum(axis=1))
+        want = sorted((float(x), int(j)) for j, x in enumerate(d) if j != q)[:10]
+        own = sorted(found[q])
+        assert [r for r, *_ in own] == list(range(1, 11)) and all(s == d[j] for _, j, s in own)
+        assert [(s, j) for _, j, s in own] == sorted((s, j) for _, j, s in own)
+        hits += len({j for _, j in want} & {j for _, j, _ in own})
+    assert hits / 1_500 >= 0.9
+    monkeypatch.setattr(ann_forest, "points_opened", lambda trees, sizes, queries, near: [10 ** (1 + len(made))] * 10)
+    with pytest.raises(RuntimeError, match="no part"):
+        ann_forest.search(df, df.filter("vec_id % 40 = 0"))
+
+
+def test_search_ties_and_null_ids(spark):
+    """Twelve vectors at one distance: the smaller ids come first, and equal vectors share their place."""
+    ring = [(k, [float(np.cos(a)), float(np.sin(a)), 1.0], 0) for k, a in enumerate(np.arange(12) * 0)]
+    rows = [(100, [1.0, 0.0, 2.0], 0), *ring, (None, [1.0, 0.0, 2.0], 0), (3, ring[3][1], 0)]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = ann_forest.search(df, df.filter("vec_id = 100 OR vec_id IS NULL")).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(100, k + 1, k, 1.0) for k in range(10)]
+
+
 def test_loser_tree_merges():
     rng = random.Random(5)
     row = lambda k: (f"k{rng.randint(0, 9)}", "t", k, "u", "response", "d", 1, None, "p", k, 1)

@@ -5,10 +5,16 @@ Equal vectors are one *point*. The splits of the trees are fitted on a sample of
 through one priority queue, always taking the branch with the largest margin next (the smallest
 distance to the split planes passed on the wrong side), until the leaves it has opened hold enough
 points. How many are enough is measured: some queries are compared with every row, and the number
-is the one with which the walk finds ``RECALL`` of their neighbours. The candidates of these leaves are ranked by exact distance.
+is the one with which the walk finds ``RECALL`` of their neighbours; other queries, which had no part
+in that, must find ``LEAST`` of theirs with it.
+
+Candidates are ranked by exact distance in two passes. First the home leaves, the first that a query opens in
+each tree: the k-th distance found there bounds what can be among the nearest. Then the other leaves return
+only the points within the bound, and no point of a home leaf again. So both passes
+return rows in proportion to the queries, not to the leaves opened.
 
 Leaves are dealt in pieces of at most ``PIECE`` points, each with the queries that opened the
-leaf, so a crowded leaf is many tasks; a piece returns the nearest ``k`` of each query only.
+leaf, so a crowded leaf is many tasks.
 """
 
 from __future__ import annotations
@@ -30,9 +36,10 @@ from wayfold.llm.vectors import matrix, pack
 SAMPLE = 50_000
 TREES = 16
 LEAF = 128
-#: Share of true neighbours wanted of the audit's queries, and their number at most.
-RECALL = 0.94
-AUDIT = 48
+#: Share of true neighbours wanted of the queries that set the width, and least share of as many others.
+RECALL, LEAST = 0.94, 0.9
+#: Queries of one audit, and how often the width may be set anew with those that failed.
+AUDIT, AUDITS = 48, 3
 PIECE = 4_096
 
 
@@ -122,8 +129,8 @@ def fit(points: DataFrame, sample: int = SAMPLE, trees: int = TREES, leaf: int =
     return [grow(table, leaf, np.random.default_rng(seed + k)) for k in range(trees)]
 
 
-def enough(trees: list[Tree], sizes: list[np.ndarray], queries: np.ndarray, near: list[np.ndarray], recall: float) -> int:
-    """The number of points to open for the wanted share of the true neighbours ``near`` of the queries."""
+def points_opened(trees: list[Tree], sizes: list[np.ndarray], queries: np.ndarray, near: list[np.ndarray]) -> list[int]:
+    """How many points a query has to open until it meets a neighbour, for all true neighbours ``near`` of the queries."""
     needed: list[int] = []
     for query, found in zip(queries, near):
         if not len(found):
@@ -138,10 +145,28 @@ def enough(trees: list[Tree], sizes: list[np.ndarray], queries: np.ndarray, near
                 if len(seen) == len(wanted):
                     break
         needed += [min(seen.get(place, held) for place in places) for places in lists]
-    if not needed:
-        return 1
-    needed.sort()
-    return needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]
+    return needed
+
+
+def search_width(trees: list[Tree], sizes: list[np.ndarray], points: DataFrame, probes: np.ndarray, k: int, recall: float) -> int:
+    """Points to open for the wanted recall, from one set of queries and confirmed by the next, which took no part.
+
+    Where the next set finds less than ``LEAST`` of its neighbours, it joins the first and another set confirms; the last
+    failure raises. With fewer queries than two sets all set the width and none confirms.
+    """
+    sets = [probes[at : at + AUDIT] for at in range(0, len(probes), AUDIT)]
+    needed: list[int] = []
+    width = 0
+    for k_set, some in enumerate(sets):
+        more = points_opened(trees, sizes, some, true_neighbours(points, some, k))
+        found = sum(n <= width for n in more) / len(more) if more else 1.0
+        if k_set and found >= min(recall, LEAST):
+            return width
+        needed = sorted(needed + more)
+        width = needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)] if needed else 1
+    if len(sets) > 1:
+        raise RuntimeError(f"the search width found {found:.2f} of the neighbours of queries that had no part in setting it")
+    return width
 
 
 def true_neighbours(points: DataFrame, queries: np.ndarray, k: int) -> list[np.ndarray]:
@@ -199,39 +224,35 @@ def search(
     asked = pack(queries.filter(F.col(id_col).isNotNull()), id_col, vector_col).filter(F.length("vector") == length).distinct()
 
     forest = fit(points, sample, trees, leaf)
-    shared = spark.sparkContext.broadcast(forest)  # at most trees * 2 * sample / leaf nodes
+    # At most trees * 2 * sample / leaf nodes, as plain arrays: executors need not have this package.
+    shared = spark.sparkContext.broadcast([tuple(tree) for tree in forest])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees_here = [Tree(*arrays) for arrays in shared.value]
         for batch in batches:
             table = matrix(batch.column(1))
-            for t, tree in enumerate(shared.value):
-                leaves = route(tree, table)
+            homes = np.stack([route(tree, table) for tree in trees_here], axis=1).astype("<i4")
+            packed = pa.array([row.tobytes() for row in homes], pa.binary())
+            for t in range(len(trees_here)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(leaves), t, np.int32)), pa.array(leaves.astype(np.int32)), *batch.columns], names=["tree", "leaf", "point", "vector"]
+                    [pa.array(np.full(len(homes), t, np.int32)), pa.array(np.ascontiguousarray(homes[:, t])), *batch.columns, packed],
+                    names=["tree", "leaf", "point", "vector", "homes"],
                 )
 
-    placed = kept(points.select("point", "vector").mapInArrow(place, "tree int, leaf int, point long, vector binary"), spark)
+    located = "tree int, leaf int, point long, vector binary, homes binary"
+    placed = kept(points.select("point", "vector").mapInArrow(place, located), spark)
     counted = placed.groupBy("tree", "leaf").count().collect()  # one row per leaf of the forest
     sizes = [np.zeros(len(t.leaf), np.int64) for t in forest]
     for r in counted:
         sizes[r["tree"]][r["leaf"]] = r["count"]
-    probe = asked.select("vector").distinct().orderBy(F.xxhash64(F.lit(5), "vector")).limit(AUDIT).collect()
+    probe = asked.select("vector").distinct().orderBy(F.xxhash64(F.lit(5), "vector")).limit(AUDIT * AUDITS).collect()
     if not probe:
         return empty
     probes = np.frombuffer(b"".join(bytes(r["vector"]) for r in probe), "<f8").reshape(len(probe), -1)
-    candidates = max(enough(forest, sizes, probes, true_neighbours(points, probes, k), recall), 4 * k)
+    candidates = max(search_width(forest, sizes, points, probes, k, recall), 4 * k)
     pieces = [np.maximum(-(-s // PIECE), 1) for s in sizes]
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, query in enumerate(matrix(batch.column(1))):
-                out = [(t, x, p) for t, x in opened(shared.value, sizes, query, candidates) for p in range(pieces[t][x])]
-                columns = [pa.array(list(c), pa.int32()) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array([ids[i]] * len(out), pa.int64()), pa.array([vectors[i]] * len(out), pa.binary())],
-                    names=["tree", "leaf", "piece", "q", "query"],
-                )
+    keys = ["tree", "leaf", "piece"]
+    visits = "tree int, leaf int, piece int, q long, query binary, homes binary, bound double"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,30 +261,74 @@ def search(
             piece = (batch.column(2).to_numpy() % np.maximum(n, 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(piece)], names=[*batch.schema.names, "piece"])
 
-    def rank(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        names, kinds = ["q", "point", "score"], [pa.int64(), pa.int64(), pa.float64()]
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], x) for x in kinds], names=names)
-        base, points_of = matrix(left.column("vector").combine_chunks()), left.column("point").to_numpy()
-        asks, ids = matrix(right.column("query").combine_chunks()), right.column("q").to_numpy()
-        found: list[tuple] = []
-        most = min(k, len(base) - 1)
-        for at in range(0, len(asks), 16):
-            d = np.sqrt(((asks[at : at + 16, None, :] - base[None, :, :]) ** 2).sum(axis=2))
-            # All points up to the (k + 1)-th distance, ties included.
-            i, j = np.nonzero(d <= np.partition(d, most, axis=1)[:, most : most + 1])
-            found.append((ids[at + i], points_of[j], d[i, j]))
-        return pa.table([pa.array(np.concatenate(c), x) for c, x in zip(zip(*found), kinds)], names=names)
+    def visit(homely: bool):
+        """Rows (tree, leaf, piece, query): the home leaves of a query, or the others that it opens."""
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trees_here = [Tree(*arrays) for arrays in shared.value]
+            for batch in batches:
+                columns = batch.to_pydict()
+                for i, query in enumerate(matrix(batch.column(1))):
+                    homes = np.array([int(route(tree, query[None])[0]) for tree in trees_here], "<i4")
+                    own = set(enumerate(homes.tolist()))
+                    found = sorted(own) if homely else [v for v in opened(trees_here, sizes, query, candidates) if v not in own]
+                    out = [(t, x, p) for t, x in found for p in range(pieces[t][x])]
+                    if not out:
+                        continue
+                    same = [columns["q"][i], columns["vector"][i], homes.tobytes(), columns["bound"][i]]
+                    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.float64()]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(list(c), pa.int32()) for c in zip(*out)), *(pa.array([v] * len(out), x) for v, x in zip(same, kinds))],
+                        names=[*keys, "q", "query", "homes", "bound"],
+                    )
+
+        return walk
+
+    def rank(homely: bool):
+        """Home leaves: the nearest k + 1 points to each query. Others: the points within its bound that lie in no home leaf of it."""
+
+        def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
+            names, kinds = ["q", "point", "score"], [pa.int64(), pa.int64(), pa.float64()]
+            if not left.num_rows or not right.num_rows:
+                return pa.table([pa.array([], x) for x in kinds], names=names)
+            base, points_of = matrix(left.column("vector").combine_chunks()), left.column("point").to_numpy()
+            asks, ids = matrix(right.column("query").combine_chunks()), right.column("q").to_numpy()
+            homes_of, homes = (
+                np.frombuffer(b"".join(c.column("homes").to_pylist()), "<i4").reshape(c.num_rows, -1) for c in (left, right)
+            )
+            bounds = right.column("bound").to_numpy()
+            found: list[tuple] = []
+            most, tree = min(k, len(base) - 1), key[0].as_py()
+            for at in range(0, len(asks), 16):
+                d = np.sqrt(((asks[at : at + 16, None, :] - base[None, :, :]) ** 2).sum(axis=2))
+                shared_homes = homes_of[None, :, :] == homes[at : at + 16, None, :]
+                if homely:
+                    # All points up to the (k + 1)-th distance, ties included; one that an earlier tree's home leaf holds too is given there.
+                    good = (d <= np.partition(d, most, axis=1)[:, most : most + 1]) & ~shared_homes[:, :, :tree].any(axis=2)
+                else:
+                    good = (d <= bounds[at : at + 16, None]) & ~shared_homes.any(axis=2)
+                i, j = np.nonzero(good)
+                found.append((ids[at + i], points_of[j], d[i, j]))
+            return pa.table([pa.array(np.concatenate(c), x) for c, x in zip(zip(*found), kinds)], names=names)
+
+        return compare
 
     named = kept(asked.withColumn("q", F.min("id").over(Window.partitionBy("vector"))), spark)
-    walked = named.filter("id = q").select("q", "vector").mapInArrow(walk, "tree int, leaf int, piece int, q long, query binary")
-    spread = placed.mapInArrow(cut, "tree int, leaf int, point long, vector binary, piece int")
-    keys = ["tree", "leaf", "piece"]
-    pairs = spread.groupBy(*keys).cogroup(walked.groupBy(*keys)).applyInArrow(rank, "q long, point long, score double").distinct()
+    one = named.filter("id = q").select("q", "vector")
+    spread = placed.mapInArrow(cut, located + ", piece int").groupBy(*keys)
+    scored = "q long, point long, score double"
+    first = one.withColumn("bound", F.lit(None).cast("double")).mapInArrow(visit(True), visits)
+    near = kept(spread.cogroup(first.groupBy(*keys)).applyInArrow(rank(True), scored), spark)
+    order = Window.partitionBy("q").orderBy("score", "point")
+    # The (k + 1)-th point bounds the k-th other row; with fewer points nothing is bounded.
+    bound = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") == k + 1).select("q", F.col("score").alias("bound"))
+    second = one.join(bound, "q", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))).mapInArrow(visit(False), visits)
+    far = spread.cogroup(second.groupBy(*keys)).applyInArrow(rank(False), scored)
+    pairs = near.unionByName(far.distinct())
     # An id among the first k belongs to one of the first k + 1 points by (score, smallest id).
-    best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "point"))).filter(F.col("r") <= k + 1)
+    best = pairs.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
     rows_of = best.join(points.select("point", "ids"), "point").select("q", F.explode("ids").alias("id"), "score")
     found = named.select(F.col("id").alias("query_id"), "q").join(rows_of, "q").filter("id <> query_id")
-    order = Window.partitionBy("query_id").orderBy("score", "id")
-    ranked = found.select("query_id", "id", "score").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    by_query = Window.partitionBy("query_id").orderBy("score", "id")
+    ranked = found.select("query_id", "id", "score").withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
