@@ -46,7 +46,7 @@ def sequential(rows, cap, limit):
 
 
 @pytest.mark.parametrize(("cap", "limit", "hub"), [(3, None, False), (3, 6, True), (1, 5, False)])
-def test_greedy_rounds_equal_a_sequential_pass(spark, cap, limit, hub):
+def test_greedy_equals_a_sequential_pass(spark, monkeypatch, cap, limit, hub):
     rng = random.Random(cap)
     edges = [tuple(sorted(rng.sample(range(12), 2))) for _ in range(60)]
     if hub:
@@ -55,6 +55,10 @@ def test_greedy_rounds_equal_a_sequential_pass(spark, cap, limit, hub):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "rank long, a long, b long")
     found = matching.greedy(df, "a", "b", ["rank"], cap=cap, limit=limit)
+    monkeypatch.setattr(matching, "LEAST_HEAD", 1)
+    monkeypatch.setattr(matching, "HEAD_PER_PAIR", 1)
+    rounds = matching.greedy(df, "a", "b", ["rank"], cap=cap, limit=limit)
+    assert sorted(r["rank"] for r in rounds.collect()) == sorted(r["rank"] for r in found.collect())
     assert sorted(map(tuple, found.collect())) == sequential(rows, cap, limit)
 
 
@@ -262,6 +266,23 @@ def test_path_selection_equals_brute_force(spark, seed, limit):
     assert {tuple(r[c] for c in ids) for r in ledger.collect()} == blocked
 
 
+def test_a_hub_of_judged_partners_reads_its_own_partners_only(spark):
+    """500 judged partners of the first history; the same choice as brute force, from a few rows per side."""
+    moves = [(f"l{i}a", f"l{i}b", f"t{i % 3}", "go", "X", "M") for i in range(40)]
+    moves += [(f"r{i}a", f"r{i}b", f"t{i % 7}", "go", "M", "Y") for i in range(700)]
+    hub = min(moves[:40], key=digest)
+    ranked = sorted((m for m in moves[40:] if m[2] != hub[2]), key=digest)[:500]
+    rows = [(f"p{i}", hub[1], m[0], "contradicted", "supported", None, "full_observed_segment") for i, m in enumerate(ranked)]
+    junction_rows = paths.junctions(bank(spark, *rows))
+    status = {(hub[1], m[0]): ("contradicted", "blocked_decision_mismatch") for m in ranked}
+    outcome = spark.createDataFrame([("M", 0.2, 4)], "state_id string, pooled_binary_variance double, distinct_rollouts long")
+    frame = spark.createDataFrame(moves, MOVES)
+    chosen, _ = paths.cross_task(frame, junction_rows, outcome, 8)
+    ids = ["left_source_id", "left_target_id", "right_source_id", "right_target_id"]
+    assert [tuple(r[c] for c in ids) for r in chosen.collect()] == brute_paths(moves, status, {"M": (0.2, 4)}, 8)[0]
+    assert paths.reachable(frame, junction_rows, 18).count() <= 2 * 18
+
+
 def test_best_path_of_every_task_pair(spark):
     rng = random.Random(5)
     moves = [(f"h{i:03d}a", f"h{i:03d}b", f"t{i % 60:02d}", "go", *rng.sample(["S0", "S1"], 2)) for i in range(240)]

@@ -9,12 +9,15 @@ be chosen. Judged junctions are joined from the probe bank, which is small.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.text import fingerprint_strings
 from wayfold.operators import matching, probes as scoring
-from wayfold.operators.ordering import first_per, first_rows, first_rows_mixed
+from wayfold.operators.ordering import first_per, first_rows
 from wayfold.session import cut_lineage
 
 # Equal paths are ordered by a hash of the left transition, then of the right one.
@@ -140,28 +143,79 @@ def judged(witnesses: DataFrame, junction_rows: DataFrame) -> DataFrame:
     )
 
 
-def reachable(witnesses: DataFrame, needed: int, degree: int) -> DataFrame:
-    """Unranked paths that a choice of ``needed`` per state can come to.
+def first_open(lefts: Sequence[tuple], rights: Sequence[tuple], needed: int) -> list[tuple[int, int]]:
+    """Places (left, right) of the first ``needed`` paths nobody has judged, and of the first path of the first ``needed`` task pairs.
 
-    Of every state: the first rows of each side that hold its first ``needed``
-    paths, and the first rows of the first tasks, which hold the best path of its
-    first task pairs. ``degree`` is the largest number of judged partners of one
-    history; that many of the rows may drop out again.
+    Both sides are in order, lefts as (task, judged partners), rights as (task, history). The
+    frontier reads a left row's partners on and steps over judged ones; it ends when both lists are full.
+    """
+    tasks = {t for t, _ in lefts} | {t for t, _ in rights}
+    pairs: set[tuple] = set()
+    found: list[tuple[int, int]] = []
+    most_pairs = min(needed, len(tasks) * (len(tasks) - 1) // 2)
+    for i, (task, judged_partners) in enumerate(lefts):
+        for j, (other, history) in enumerate(rights):
+            if other == task or history in judged_partners:
+                continue
+            pair = (task, other) if task < other else (other, task)
+            fresh = len(pairs) < needed and pair not in pairs
+            if fresh:
+                pairs.add(pair)
+            if fresh or len(found) < needed:
+                found.append((i, j))
+            if len(found) >= needed and len(pairs) >= most_pairs:
+                return found
+    return found
+
+
+def _frontier(rows: DataFrame, role: str, met: DataFrame, needed: int) -> DataFrame:
+    """The rows of one side that the first open paths of a state, and of its first task pairs, can be made of.
+
+    ``met``: state, task and key of this side's rows that have judged partners at the state. A task's rows
+    up to its first one without any hold its best open path with every other task; as many
+    rows as are judged at the state are added to those that hold the first ``needed`` paths.
+    """
+    task, key = f"{role}_task", f"{role}_key"
+    by_task = met.groupBy("state_id", task).agg(F.count(F.lit(1)).alias("_judged"))
+    by_state = met.groupBy("state_id").agg(F.count(F.lit(1)).alias("_at_state"))
+    most = needed + (by_state.agg(F.max("_at_state")).first()[0] or 0)
+    rank = lambda df, keys, n: df.withColumn(
+        "_n", F.row_number().over(Window.partitionBy(*keys).orderBy(key))
+    ).filter(F.col("_n") <= n)  # a constant, so that rows are left out before the shuffle
+    own = rank(rows.select("state_id", task, key), ["state_id", task], most)
+    counted = own.withColumnRenamed("_n", "_place").join(by_state, "state_id", "left").join(by_task, ["state_id", task], "left").fillna(0, ["_judged", "_at_state"])
+    wide = F.col("_at_state") + needed
+    # The first rows of the state, with room for one task that is left out, and the first rows of its first tasks.
+    overall = rank(counted, ["state_id"], 2 * most).filter(F.col("_n") <= 2 * wide)
+    tasks = rank(counted.filter("_place = 1"), ["state_id"], most + 2).filter(F.col("_n") <= wide + 2)
+    per_task = counted.filter(F.col("_place") <= F.col("_judged") + 1).join(tasks.select("state_id", task), ["state_id", task], "left_semi")
+    chosen = overall.select("state_id", key).unionByName(per_task.select("state_id", key)).distinct()
+    return rows.join(chosen, ["state_id", key])
+
+
+def reachable(witnesses: DataFrame, junction_rows: DataFrame, needed: int) -> DataFrame:
+    """Open paths without evidence that a choice of ``needed`` per state can come to.
+
+    Each state reads on along its two sorted sides (``first_open``). What it reads grows with the request and with the
+    judged rows at the state itself, so a history with many judged partners costs its own state these partners only.
     """
     lefts, rights = _side(witnesses, "left"), _side(witnesses, "right")
-    depth = needed + degree
-    picked = []
-    for role, rows in (("left", lefts), ("right", rights)):
-        order = [F.col(f"{role}_key")]
-        overall = first_rows_mixed(rows, ["state_id"], f"{role}_task", order, depth)
-        per_task = first_rows(rows, ["state_id", f"{role}_task"], order, degree + 1)
-        heads = first_per(
-            rows.select("state_id", f"{role}_task", f"{role}_key"), ["state_id", f"{role}_task"], [f"{role}_key"]
-        )
-        tasks = first_rows(heads, ["state_id"], order, depth + 2).select("state_id", f"{role}_task")
-        picked.append((overall, per_task.join(tasks, ["state_id", f"{role}_task"], "left_semi")))
-    (left_all, left_tasks), (right_all, right_tasks) = picked
-    return _joined(left_all, right_all).unionByName(_joined(left_tasks, right_tasks)).distinct()
+    known = judged(witnesses, junction_rows)
+    met = {role: known.select("state_id", f"{role}_task", f"{role}_key").distinct() for role in ("left", "right")}
+    partners = known.groupBy("state_id", "left_key").agg(F.collect_set("right_source_id").alias("_partners"))
+    near = _frontier(lefts, "left", met["left"], needed).join(partners, ["state_id", "left_key"], "left")
+    far = _frontier(rights, "right", met["right"], needed)
+    schema = _joined(lefts, rights).schema
+
+    def read_on(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values("left_key"), right.sort_values("right_key")
+        partners = [frozenset(p) if p is not None else frozenset() for p in left["_partners"]]
+        found = first_open(list(zip(left["left_task"], partners)), list(zip(right["right_task"], right["right_source_id"])), needed)
+        one = left.drop(columns="_partners").iloc[[i for i, _ in found]].reset_index(drop=True)
+        other = right.drop(columns="state_id").iloc[[j for _, j in found]].reset_index(drop=True)
+        return pd.concat([one, other], axis=1)[schema.names]
+
+    return near.groupBy("state_id").cogroup(far.groupBy("state_id")).applyInPandas(read_on, schema)
 
 
 def _with_evidence(paths: DataFrame, junction_rows: DataFrame, outcome: DataFrame) -> DataFrame:
@@ -216,7 +270,7 @@ def candidates(
     witnesses: DataFrame, junction_rows: DataFrame, outcome: DataFrame, limit: int
 ) -> DataFrame:
     """Judged paths plus every other path a choice of ``limit`` can come to, ranked."""
-    rows = reachable(witnesses, 2 * limit + 2, _degree(junction_rows))
+    rows = reachable(witnesses, junction_rows, 2 * limit + 2)
     both = rows.unionByName(judged(witnesses, junction_rows).select(rows.columns)).distinct()
     return _with_evidence(both, junction_rows, outcome)
 
