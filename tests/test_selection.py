@@ -145,6 +145,30 @@ def test_pair_selection_equals_brute_force(spark, seed, count):
     assert len(set(listed)) == len(listed) == min(count, len(usable)) and set(listed) <= usable
 
 
+def test_falling_floors_give_every_pair_once(spark, monkeypatch):
+    """Each floor holds exactly the class pairs of at least that similarity, also with words dealt over several tasks."""
+    monkeypatch.setattr(pairs, "HOT", 3)
+    rows = mixed_histories(9)
+    df = spark.createDataFrame(rows, HISTORIES)
+    members, found = pairs.classes(df)
+    members, found = pairs.cut_lineage(members), pairs.cut_lineage(found)
+    words = {h: set(re.findall(r"[a-z]{4,}", t.lower())) for h, _, _, t in rows}
+    class_of = {r["history_id"]: r["class_id"] for r in members.collect()}
+    exact = {}
+    for a, b in itertools.combinations(sorted(words), 2):
+        shared, union = words[a] & words[b], words[a] | words[b]
+        if shared:
+            exact[tuple(sorted((class_of[a], class_of[b])))] = len(shared) / len(union)
+    floors = []
+    for floor, similar in pairs.falling(found):
+        listed = [(r["left_class"], r["right_class"], r["similarity"]) for r in similar.collect()]
+        got = {(a, b): s for a, b, s in listed if a != b}
+        assert len(set(listed)) == len(listed)
+        assert got == {k: s for k, s in exact.items() if k[0] != k[1] and s >= floor}
+        floors.append(floor)
+    assert floors[-1] == 0 and sorted(floors, reverse=True) == floors
+
+
 def test_draws_reach_all_pairs_alike(spark):
     """Every number gives another usable pair; draws spread over all histories; few pairs are all returned."""
     rows = [(r[0], None if r[0] == 7 else r[1], r[2]) for r in mixed_histories(4)]
