@@ -253,6 +253,31 @@ def test_file_receipts_and_tasks(spark, tmp_path):
         inventory.tasks(lost, inventory.files(spark, str(base))).collect()
 
 
+def test_large_files_are_streamed(spark, tmp_path):
+    """A sparse file of 3 GB, which no cell could hold, next to small ones; files written by chunks come back whole."""
+    big = tmp_path / "in" / "big.bin"
+    big.parent.mkdir()
+    with open(big, "wb") as out:
+        out.write(b"\0" * 8 + b"DUCK")
+        out.truncate(3 * 2**30)
+    (tmp_path / "in" / "small name+.bin").write_bytes(b"abc")
+    rows = {r["path"]: r for r in inventory.database_receipts(inventory.hashed_files(spark, str(tmp_path / "in"))).collect()}
+    digest = hashlib.sha256()
+    with open(big, "rb") as data:
+        while block := data.read(2**24):
+            digest.update(block)
+    assert (rows["big.bin"]["bytes"], rows["big.bin"]["sha256"], rows["big.bin"]["status"]) == (3 * 2**30, digest.hexdigest(), "duckdb_file")
+    assert rows["small name+.bin"]["sha256"] == hashlib.sha256(b"abc").hexdigest()
+    chunks = [(f"d{k % 3}/f.bin", k, bytes([k]) * k) for k in range(30)]
+    made = artifacts.write_files(spark.createDataFrame(chunks, "path string, place long, content binary").repartition(7), str(tmp_path / "out"))
+    want = {p: b"".join(c for q, _, c in chunks if q == p) for p, _, _ in chunks}
+    assert {r["path"]: r["bytes"] for r in made.collect()} == {p: len(c) for p, c in want.items()}
+    got = inventory.hashed_files(spark, str(tmp_path / "out"), whole=140, block=16).collect()
+    assert {r["path"]: (r["sha256"], bytes(r["head"])) for r in got} == {p: (hashlib.sha256(c).hexdigest(), c[:512]) for p, c in want.items()}
+    with pytest.raises(ValueError, match="no task found"):
+        inventory.tasks(spark.createDataFrame([], "task_id string"), inventory.files(spark, str(tmp_path / "out")))
+
+
 def test_concurrent_writers_leave_complete_versions(spark, tmp_path):
     from concurrent.futures import ThreadPoolExecutor
 

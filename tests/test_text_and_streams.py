@@ -158,6 +158,73 @@ def test_annotation_cache_and_errors(spark, tmp_path):
         annotate.batch(df, ["t"], broken, model="other", cache=fresh)
 
 
+def test_answers_outlive_a_run(spark, tmp_path):
+    """A second run asks nothing, also after retries and for both stages of the judge; stored answers aren't shuffled."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def answer(rows):
+        asked.add(len(rows))
+        return ["{}" if not f else '{"label": "unknown"}' for f in rows["feedback"]]
+
+    def check(responses):
+        return rules.check(responses, "id", {"label": (F.get_json_object("response", "$.label").isNull(), "missing")})
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "id int, t string")
+    for run in range(2):
+        cache = annotate.AnswerCache(spark, f"file://{tmp_path}/answers", buckets=4)
+        accepted, attempts, _ = annotate.with_retry(df, "id", ["t"], answer, check, model="m", cache=cache)
+        assert sorted(r["id"] for r in accepted.collect()) == [1, 2, 3]
+        log = attempts.collect()
+        assert {r["cache_hit"] for r in log} == {bool(run)} and len(log) == 6
+    assert asked.value == 4  # two distinct requests, two attempts, one run
+    cache.add(cache.entries().limit(1))  # a second writer with the same request
+    spark.sql(f"DROP TABLE {cache.name}")
+    again = annotate.AnswerCache(spark, f"file://{tmp_path}/answers", buckets=4)
+    assert again.entries().count() == 4
+    wanted = df.withColumn("request_key", annotate.request_key(["t"], "m"))
+    plan = wanted.hint("shuffle_merge").join(again.entries(), "request_key")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(request_key") == 1  # the requests only
+
+    def judge(label):
+        def run(rows):
+            asked.add(len(rows))
+            return [label] * len(rows)
+
+        return run
+
+    pairs = spark.createDataFrame([("p", "A", "B", ["x", "y"])], "probe_id string, prefix_a string, prefix_b string, episodes array<string>")
+    before = asked.value
+    for _ in range(2):
+        final, _ = annotate.judge_pairs(
+            pairs, judge('{"decision": "supported"}'), judge('{"local_transfer": "supported", "full_segment_transfer": "unknown"}'),
+            model="m", decision_cache=again, transfer_cache=again,
+        )
+        assert final.first()["decision_label"] == "supported" and final.first()["local_transfer_label"] == "supported"
+    assert asked.value == before + 2
+    log = annotate.receipts(df, "id", "t", attempts, "read this").collect()
+    assert {(r["id"], r["attempts"], r["answered"], len(r["request_keys"]), r["input_clipped"]) for r in log} == {(k, 2, True, 2, False) for k in (1, 2, 3)}
+
+
+def test_ledger_budget_counts_its_json(spark):
+    """The budget is compared with the length of the whole ledger as JSON, notes included."""
+    odd = 'say "x" \\ \t \x01 é\nselect a.b AS c1 from main.orders, a.b AS c2 from main.parts'
+    messages = [("h", 0, "user", "Task Description:\nfind it"), ("h", 1, "assistant", odd), ("h", 2, "tool", odd + "\nAS schema: big"), ("g", 1, "tool", odd)]
+    frame = spark.createDataFrame(messages, "history_id string, message_index long, role string, content string")
+    policy = "p" * (ledger.ENVELOPE - len(json.dumps({"task": None, "seen": [], "lines": [], "note": ""})) + 4)
+    whole = ledger.ledger(frame, budget=100_000).collect()
+    for budget in (700, 1_000, 1_200, 1_500, 2_000, 3_000):
+        for history in ("h", "g"):
+            rows = sorted((r for r in whole if r["history_id"] == history), key=lambda r: (r["section"], r["line"]))
+            matched = {r["line"]: r["matched_text"] for r in ledger.mapping_lines(frame).collect() if r["history_id"] == history}
+            entry = lambda r: {"message_index": r["message_index"], "source_kind": r["source_kind"], "text": r["text"], "clipped": r["clipped"]}
+            lines = [{**entry(r), "pattern": r["pattern"], "matched_text": matched[r["line"]]} for r in rows if r["section"] == 2]
+            body = {"task": next((entry(r) for r in rows if r["section"] == 0), None), "seen": [entry(r) for r in rows if r["section"] == 1], "lines": lines, "note": policy}
+            while len(json.dumps(body, ensure_ascii=False)) > budget and lines:
+                lines.pop()
+            got = ledger.ledger(frame, budget=budget).filter((F.col("history_id") == history) & (F.col("section") == 2)).count()
+            assert got == len(lines), (budget, history)
+
+
 def test_retry_keeps_both_attempts(spark):
     df = spark.createDataFrame([(1, "good"), (2, "second"), (3, "never")], "id int, t string")
 

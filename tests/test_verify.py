@@ -2,6 +2,7 @@
 
 import datetime as dt
 import decimal
+import json
 import math
 import random
 
@@ -62,6 +63,19 @@ def test_document_diff(spark):
     assert sorted(found) == [(1, "/a/y", "[1,2]", "[2,1]"), (2, "/a", "{}", None)]
 
 
+def test_document_diff_goes_to_any_depth_in_one_job(spark):
+    deep = lambda leaf, n: json.dumps(leaf) if n == 0 else '{"k": %s, "same": [1]}' % deep(leaf, n - 1)
+    rows = [(1, deep(1, 20), deep(2, 20)), (None, deep(1, 400), deep(1, 400)), (3, "no json", '{"a": 1}'), (4, '{"a": 1, "é": "x"}', '{"a": 1.0, "é": null}'), (5, None, None)]
+    df = spark.createDataFrame(rows, "id int, before string, after string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("diff", "diff")
+    found = sorted(map(tuple, verify.document_diff(df, "id", "before", "after").collect()))
+    jobs = len(tracker.getJobIdsForGroup("diff"))
+    spark.sparkContext.setJobGroup("tests", "tests")
+    assert found == [(1, "/k" * 20, "1", "2"), (3, "", None, '{"a":1}'), (4, "/é", '"x"', None)]
+    assert jobs == 1
+
+
 def test_cells_keep_their_type(spark):
     df = spark.createDataFrame(
         [(1, 1.0, "1", decimal.Decimal("1.50"), dt.date(2024, 1, 2), b"\x01", True, None)],

@@ -7,6 +7,7 @@ turned into a label.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.functions.text import bounded_evidence
+from wayfold.functions.text import WINDOW_LIMIT, bounded_evidence, clipped
 from wayfold.session import cut_lineage
 
 BatchFunction = Callable[[pd.DataFrame], Sequence[str]]
@@ -45,21 +46,55 @@ def call(rows: DataFrame, payload: Sequence[str], fn: BatchFunction, partitions:
     return spread.select("request_key", *names).mapInPandas(run, "request_key string, response string")
 
 
+class AnswerCache:
+    """Answers that outlive a run, in a folder bucketed on the request key.
+
+    Every batch of new answers is appended as soon as it is there, so the next attempt, the next stage and the
+    next run find it. Lookups and the removal of repeats (two writers may ask the same) happen inside the
+    buckets: the stored answers are never shuffled. The folder alone is the cache; a new session names it anew.
+    """
+
+    COLUMNS = "request_key STRING, response STRING, written_at TIMESTAMP"
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.name = "answers_" + hashlib.sha256(f"{self.root}|{buckets}".encode()).hexdigest()[:16]
+        location = self.root.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name} ({self.COLUMNS}) USING parquet "
+            f"CLUSTERED BY (request_key) SORTED BY (request_key) INTO {buckets} BUCKETS LOCATION '{location}'"
+        )
+
+    def entries(self) -> DataFrame:
+        """(request_key, response), the first answer of each request."""
+        rows = self.spark.table(self.name)
+        return rows.groupBy("request_key").agg(F.min_by("response", F.struct("written_at", "response")).alias("response"))
+
+    def add(self, fresh: DataFrame) -> None:
+        """Appends answers; equal keys go to one file of their bucket per batch."""
+        rows = fresh.select("request_key", "response", F.current_timestamp().alias("written_at"))
+        rows.repartition(self.buckets, "request_key").write.insertInto(self.name)
+        self.spark.catalog.refreshTable(self.name)
+
+
 def batch(
     df: DataFrame,
     payload: Sequence[str],
     fn: BatchFunction,
     *,
     model: str,
-    cache: DataFrame | None = None,
+    cache: DataFrame | AnswerCache | None = None,
     options: str = "",
     partitions: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(df with request_key, response, cache_hit; new cache entries).
 
     Requests found in the cache (request_key, response) are reused; the others are
-    computed once per distinct request.
+    computed once per distinct request. An ``AnswerCache`` takes the new answers at once; those of
+    a table are the caller's to keep.
     """
+    kept = cache if isinstance(cache, AnswerCache) else None
+    cache = cache.entries() if kept else cache
     keyed = df.withColumn("request_key", request_key(payload, model, options))
     wanted = keyed.select("request_key", *payload).dropDuplicates(["request_key"])
     if cache is None:
@@ -68,6 +103,11 @@ def batch(
         known = cache.select("request_key", "response")
         missing = wanted.join(known.select("request_key"), "request_key", "left_anti")
     fresh = cut_lineage(call(missing, payload, fn, partitions))
+    if kept:
+        # Read before the new answers are appended, so that their rows count as computed.
+        known = cut_lineage(known.join(wanted.select("request_key"), "request_key", "left_semi"))
+        if not fresh.isEmpty():
+            kept.add(fresh)
     answers = fresh.withColumn("cache_hit", F.lit(False))
     if known is not None:
         answers = answers.unionByName(known.withColumn("cache_hit", F.lit(True)))
@@ -93,14 +133,15 @@ def with_retry(
     validate: Validator,
     *,
     model: str,
-    cache: DataFrame | None = None,
+    cache: DataFrame | AnswerCache | None = None,
     attempts: int = 2,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(accepted, attempt table, exhausted row ids).
 
     Every attempt is kept as accepted or rejected with its error. A later attempt
     sees the errors of the one before in the payload column ``feedback``.
-    ``validate`` maps (row_id, response) rows to (accepted, violations).
+    ``validate`` maps (row_id, response) rows to (accepted, violations). With an ``AnswerCache`` every
+    attempt's answers are kept, so a second run with the same rows calls the function for none.
     """
     pending = df.withColumn("feedback", F.lit(""))
     columns = [*payload, "feedback"]
@@ -122,6 +163,7 @@ def with_retry(
             "error",
             "request_key",
             "response",
+            "cache_hit",
         )
         history = log if history is None else history.unionByName(log)
         accepted = good if accepted is None else accepted.unionByName(good)
@@ -132,6 +174,24 @@ def with_retry(
     return accepted, history, pending.select(row_id)
 
 
+def receipts(df: DataFrame, row_id: str, prefix: str, attempts: DataFrame, instructions: str) -> DataFrame:
+    """What each annotation rests on: one row per input row.
+
+    (row_id, prefix_sha256, input_characters, input_clipped, instructions_sha256, attempts, answered, request_keys):
+    the hash and size of the whole prefix, whether the reader saw only a window of it, the hash of the
+    instructions, the number of attempts and whether the last was accepted, and the keys of the requests in order.
+    """
+    tries = attempts.groupBy(F.col(row_id).alias("_row")).agg(
+        F.count(F.lit(1)).alias("attempts"), (F.max_by("status", "attempt") == "accepted").alias("answered"),
+        F.transform(F.sort_array(F.collect_list(F.struct("attempt", "request_key"))), lambda t: t["request_key"]).alias("request_keys"),
+    )
+    rows = df.select(
+        row_id, F.sha2(prefix, 256).alias("prefix_sha256"), F.length(prefix).cast("long").alias("input_characters"),
+        clipped(prefix, WINDOW_LIMIT).alias("input_clipped"), F.sha2(F.lit(instructions), 256).alias("instructions_sha256"),
+    )
+    return rows.join(tries, F.col(row_id) == F.col("_row"), "left").drop("_row").fillna({"attempts": 0, "answered": False})
+
+
 def technical_unknowns(exhausted: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Label ``unknown`` for rows that no attempt answered in form.
 
@@ -172,8 +232,8 @@ def judge_pairs(
     transfer: BatchFunction,
     *,
     model: str,
-    decision_cache: DataFrame | None = None,
-    transfer_cache: DataFrame | None = None,
+    decision_cache: DataFrame | AnswerCache | None = None,
+    transfer_cache: DataFrame | AnswerCache | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(judged pairs, override ledger) of a two-stage judge.
 
@@ -221,7 +281,7 @@ def classify(
     fn: BatchFunction,
     *,
     model: str,
-    cache: DataFrame | None = None,
+    cache: DataFrame | AnswerCache | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Every candidate's classifier over every history, with a per-pair cache.
 

@@ -16,6 +16,8 @@ SCHEMA_PATTERN = r"(?iU)\bschema\s*[:=]\s*[^\n,}]+|\b(?:main|daily_analytics)\.[
 MARGIN_BEFORE, MARGIN_AFTER = 60, 120
 MAX_LINES, MAX_CHARACTERS = 10, 9_000
 REQUIREMENT_BUDGET, OBSERVATION_BUDGET = 2_000, 1_200
+# Fixed value: characters of an empty ledger's JSON with its two notes on selection and interpretation.
+ENVELOPE = 404
 TOOL_ROLES = ("user", "tool")
 MARK = "\ue000"
 
@@ -139,27 +141,50 @@ def mapping_lines(messages: DataFrame, top: int = MAX_LINES) -> DataFrame:
     return kept.drop("_not_tool", "_place")
 
 
+def json_length(text: Column) -> Column:
+    """Characters of a text as a JSON string: two quotes, two for an escaped sign, six for other control characters."""
+    short = F.length(F.regexp_replace(text, r'[^"\\\n\r\t\x08\f]', ""))
+    control = F.length(F.regexp_replace(text, r"[^\x00-\x07\x0b\x0e-\x1f]", ""))
+    return F.length(text) + short + 5 * control + 2
+
+
+def entry_length(*texts: str) -> Column:
+    """Characters of a ledger entry's JSON: keys, index, the given texts and the flag."""
+    names = ["message_index", *texts, "clipped"]
+    keys = sum(len(f'"{n}": ') for n in names) + 2 * (len(names) - 1) + 2
+    flag = F.when(F.col("clipped"), 4).otherwise(5)
+    return sum((json_length(F.col(t)) for t in texts), F.lit(keys) + F.length(F.col("message_index").cast("string")) + flag)
+
+
 def ledger(messages: DataFrame, top: int = MAX_LINES, budget: int = MAX_CHARACTERS) -> DataFrame:
     """Requirement, recent observations and mapping lines within a size budget.
 
-    Mapping lines are dropped from the end while the whole ledger, counted as the
-    text of its entries, is longer than ``budget``.
+    Mapping lines are dropped from the end while the ledger's JSON, with all keys and notes, is longer
+    than ``budget`` characters.
     """
-    shape = ["history_id", "section", "line", "message_index", "source_kind", "pattern", "text", "clipped"]
+    shape = ["history_id", "section", "line", "message_index", "source_kind", "pattern", "text", "clipped", "_size"]
     none = F.lit(None).cast("string")
+    short = entry_length("source_kind", "text")
     need = requirement(messages).select(
         "history_id", F.lit(0).alias("section"), F.lit(1).alias("line"), "message_index",
-        "source_kind", none.alias("pattern"), "text", "clipped",
+        "source_kind", none.alias("pattern"), "text", "clipped", short.alias("_size"),
     )
     recent = recent_observations(messages).select(
         "history_id", F.lit(1).alias("section"),
         F.col("message_index").cast("int").alias("line"), "message_index",
-        "source_kind", none.alias("pattern"), "text", "clipped",
+        "source_kind", none.alias("pattern"), "text", "clipped", short.alias("_size"),
     )
-    lines = mapping_lines(messages, top).withColumn("section", F.lit(2)).select(*shape)
+    lines = mapping_lines(messages, top).withColumn("section", F.lit(2)).withColumn(
+        "_size", entry_length("source_kind", "pattern", "matched_text", "text")
+    ).select(*shape)
     whole = need.unionByName(recent).unionByName(lines)
-    running = Window.partitionBy("history_id").orderBy("section", "line").rowsBetween(
-        Window.unboundedPreceding, 0
+    of_history = Window.partitionBy("history_id")
+    running = of_history.orderBy("section", "line").rowsBetween(Window.unboundedPreceding, 0)
+    # Entries of a list are two characters apart; without a requirement its place holds "null".
+    first = F.row_number().over(Window.partitionBy("history_id", "section").orderBy("line")) == 1
+    gap = F.when((F.col("section") > 0) & ~F.col("_first"), 2).otherwise(0)
+    sized = whole.withColumn("_first", first).withColumn("_so_far", F.sum(F.col("_size") + gap).over(running)).withColumn(
+        "_none", F.when(F.min("section").over(of_history) > 0, 4).otherwise(0)
     )
-    sized = whole.withColumn("_size", F.sum(F.length("text")).over(running))
-    return sized.filter((F.col("section") < 2) | (F.col("_size") <= budget)).drop("_size")
+    fits = F.col("_so_far") + F.col("_none") + ENVELOPE <= budget
+    return sized.filter((F.col("section") < 2) | fits).drop("_size", "_first", "_so_far", "_none")

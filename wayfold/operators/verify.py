@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -199,40 +201,40 @@ def set_difference(found: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return extra.unionByName(missing)
 
 
+def differences(before: str | None, after: str | None) -> list[tuple[str, str | None, str | None]]:
+    """(path, before, after) of two JSON texts: objects key by key, everything else as a whole."""
+
+    def read(text: str | None):
+        try:
+            return None if text is None else json.loads(text)
+        except (ValueError, RecursionError):
+            return None
+
+    write = lambda v: None if v is None else json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    found, waiting = [], [("", read(before), read(after))]
+    while waiting:
+        path, a, b = waiting.pop()
+        if isinstance(a, dict) and isinstance(b, dict):
+            waiting += [(f"{path}/{key}", a.get(key), b.get(key)) for key in sorted(a.keys() | b.keys(), reverse=True)]
+        elif a != b:
+            found.append((path, write(a), write(b)))
+    return found
+
+
 def document_diff(documents: DataFrame, doc_id: str, before: str, after: str) -> DataFrame:
     """(doc_id, path, before, after) of two JSON texts per row.
 
-    Objects are compared key by key and level by level inside the row, everything
-    else as a whole. A missing key equals an explicit null.
+    Objects are compared key by key to any depth inside the row, in one pass over the table; everything
+    else as a whole. A missing key equals an explicit null, and so does a text that is no JSON.
     """
-    as_map = lambda c: F.try_variant_get(c, "$", "map<string,variant>")
-    is_object = lambda c: F.schema_of_variant(c).startswith("OBJECT")
-    text = lambda c: F.when(~F.is_variant_null(c), F.to_json(c))
-    level = documents.select(
-        F.col(doc_id),
-        F.lit("").alias("path"),
-        F.try_parse_json(F.col(before)).alias("before"),
-        F.try_parse_json(F.col(after)).alias("after"),
-    )
-    found = None
-    while True:
-        deep = F.coalesce(is_object(F.col("before")) & is_object(F.col("after")), F.lit(False))
-        changed = level.filter(~deep).select(
-            doc_id, "path", text(F.col("before")).alias("before"), text(F.col("after")).alias("after")
-        ).filter(~F.col("before").eqNullSafe(F.col("after")))
-        found = changed if found is None else found.unionByName(changed)
-        inner = level.filter(deep)
-        if inner.isEmpty():
-            return found
-        maps = inner.select(doc_id, "path", as_map(F.col("before")).alias("_b"), as_map(F.col("after")).alias("_a"))
-        level = maps.withColumn(
-            "_k", F.explode(F.array_union(F.map_keys("_b"), F.map_keys("_a")))
-        ).select(
-            doc_id,
-            F.concat_ws("/", "path", "_k").alias("path"),
-            F.try_element_at("_b", F.col("_k")).alias("before"),
-            F.try_element_at("_a", F.col("_k")).alias("after"),
-        )
+
+    def compare(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([
+            [{"path": p, "before": x, "after": y} for p, x, y in differences(a, b)] for a, b in zip(left, right, strict=True)
+        ])
+
+    changed = F.pandas_udf(compare, "array<struct<path:string,before:string,after:string>>")(F.col(before), F.col(after))
+    return documents.select(F.col(doc_id), F.inline(changed))
 
 
 def grade(

@@ -12,6 +12,7 @@ from wayfold.functions import text
 from wayfold.operators import annotate, exemplars, ledger, rules, validation
 from wayfold.plans.fixtures import Views, check_sql
 from wayfold.plans.registry import query
+from wayfold.session import fresh_dir
 
 SQUEEZED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
@@ -157,10 +158,46 @@ def task_requirements_and_observations(v: Views):
     return both.select("history_id", "source_kind", "message_index", F.md5("text").alias("text"), "clipped")
 
 
-@query("literal_evidence_ledger")
+@query(
+    "literal_evidence_ledger",
+    check_sql(
+        """SELECT history_id, section, line, message_index, source_kind, pattern, md5(text) AS text, clipped FROM (
+        SELECT *, sum(size + CASE WHEN section > 0 AND first THEN 0 WHEN section > 0 THEN 2 ELSE 0 END)
+            OVER (PARTITION BY history_id ORDER BY section, line) AS so_far, count(*) FILTER (section = 0) OVER (PARTITION BY history_id) AS needs FROM (
+          SELECT *, row_number() OVER (PARTITION BY history_id, section ORDER BY line) = 1 AS first,
+          length(CAST(to_json(text) AS VARCHAR)) + length(CAST(to_json(source_kind) AS VARCHAR)) + length(CAST(message_index AS VARCHAR)) + CASE WHEN clipped THEN 4 ELSE 5 END + CASE section WHEN 2
+            THEN length('{"message_index": , "source_kind": , "pattern": , "matched_text": , "text": , "clipped": }') + length(CAST(to_json(pattern) AS VARCHAR)) + length(CAST(to_json(matched_text) AS VARCHAR))
+            ELSE length('{"message_index": , "source_kind": , "text": , "clipped": }') END AS size FROM entries) s) t
+        WHERE section < 2 OR ENVELOPE + CASE WHEN needs = 0 THEN 4 ELSE 0 END + so_far <= 4000""".replace("ENVELOPE", str(ledger.ENVELOPE)),
+        "conv_turns",
+        messages=MESSAGES,
+        hits=rf"""SELECT history_id, message_index, role NOT IN ('user', 'tool') AS nt, content,
+        CASE WHEN message_index = 0 THEN 'task_requirement' WHEN role IN ('user', 'tool') THEN 'terminal_transcript' ELSE 'learner_command_or_assertion' END AS source_kind,
+        pattern, base + k AS place, found[k] AS matched_text,
+        CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:k - 1], lambda x: length(x))), 0) + length(whole[k]) - length(found[k]) AS BIGINT) AS begin
+        FROM (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM (SELECT *, regexp_extract_all(content, re, 1) AS found, regexp_extract_all(content, re, 0) AS whole,
+            regexp_split_to_array(content, re) AS parts FROM messages, (VALUES
+            ('explicit_sql_alias', 0, '(?i)(?:^|[^\p{{L}}\p{{M}}\p{{N}}_])([A-Za-z_](?:{W}|\.)*{S}+AS{S}+[A-Za-z_]{W}*)'),
+            ('schema_or_qualified_name', 100000, '(?i)(?:^|[^\p{{L}}\p{{M}}\p{{N}}_])(schema{S}*[:=]{S}*[^\n,}}]+|(?:main|daily_analytics)\.[A-Za-z_]{W}*)')) p(pattern, base, re)) x) y""",
+        lines=r"""SELECT history_id, 2 AS section, line, message_index, source_kind, pattern, matched_text,
+        substring(content, greatest(begin - 60, 0) + 1, least(begin + length(matched_text) + 120, length(content)) - greatest(begin - 60, 0)) AS text,
+        begin > 60 OR begin + length(matched_text) + 120 < length(content) AS clipped FROM (
+        SELECT *, row_number() OVER (PARTITION BY history_id ORDER BY source_kind <> 'terminal_transcript', pattern <> 'explicit_sql_alias', message_index DESC, nt, place) AS line FROM (
+          SELECT *, row_number() OVER (PARTITION BY history_id, source_kind, lower(trim(regexp_replace(matched_text, '\s+', ' ', 'g'))) ORDER BY nt, message_index DESC, place) AS seen FROM hits) a
+          WHERE seen = 1) b WHERE line <= 10""",
+        entries="""SELECT history_id, 0 AS section, 1 AS line, message_index, 'task_requirement' AS source_kind, NULL AS pattern, NULL AS matched_text,
+        CASE WHEN length(t) > 2000 THEN left(t, 1000) || chr(10) || '[EXCERPT OMISSION]' || chr(10) || right(t, 1000) ELSE t END AS text, length(t) > 2000 AS clipped
+        FROM (SELECT history_id, message_index, trim(replace(replace(content, 'Task Description:' || chr(10), ''), chr(10) || 'Current terminal state:' || chr(10) || 'ready', ''), ' ' || chr(10)) AS t FROM messages WHERE message_index = 0) x
+        UNION ALL SELECT history_id, 1, message_index, message_index, 'terminal_transcript', NULL, NULL,
+        CASE WHEN length(content) > 1200 THEN left(content, 600) || chr(10) || '[EXCERPT OMISSION]' || chr(10) || right(content, 600) ELSE content END, length(content) > 1200
+        FROM (SELECT *, row_number() OVER (PARTITION BY history_id ORDER BY message_index DESC) AS k FROM messages WHERE message_index > 0 AND role IN ('user', 'tool')) y WHERE k <= 2
+        UNION ALL SELECT * FROM lines""",
+    ),
+)
 def literal_evidence_ledger(v: Views):
-    """Whole ledger within its size budget (checked on a fixture in the tests)."""
-    return ledger.ledger(conversation_messages(v, F.col("text")), budget=1500)
+    """Whole ledger within its size budget."""
+    rows = ledger.ledger(conversation_messages(v, F.col("text")), budget=4000)
+    return rows.withColumn("text", F.md5("text")).withColumn("line", F.col("line").cast("long")).withColumn("section", F.col("section").cast("int"))
 
 
 def _json_object(**fields: Column | str) -> Column:
@@ -441,6 +478,35 @@ def annotation_attempts(v: Views):
     return retried(v)[1].select("doc_id", "attempt", "status", "error")
 
 
+def unasked(rows: pd.DataFrame) -> list[str]:
+    raise RuntimeError(f"asked again for {len(rows)} rows")
+
+
+@query(
+    "answers_of_a_second_run",
+    """SELECT doc_id, 0 AS attempt, CASE WHEN n_chars % 3 = 0 THEN 'rejected' ELSE 'accepted' END AS status, true AS cache_hit FROM documents UNION ALL
+    SELECT doc_id, 1, CASE WHEN n_chars % 9 = 0 THEN 'rejected' ELSE 'accepted' END, true FROM documents WHERE n_chars % 3 = 0""",
+)
+def answers_of_a_second_run(v: Views):
+    """Both attempts of a second run come from the answers that the first run kept; its function would stop the job."""
+    cache = annotate.AnswerCache(v.spark, fresh_dir(v.spark, "answers"), buckets=8)
+    docs, payload = v["documents"].select("doc_id", "n_chars"), ["doc_id", "n_chars"]
+    annotate.with_retry(docs, "doc_id", payload, stubborn, _label_rules, model="stub", cache=cache)
+    again = annotate.AnswerCache(v.spark, cache.root, cache.buckets)
+    return annotate.with_retry(docs, "doc_id", payload, unasked, _label_rules, model="stub", cache=again)[1].select(
+        "doc_id", "attempt", "status", "cache_hit"
+    )
+
+
+@query(
+    "annotation_receipts",
+    """SELECT doc_id, sha256(text) AS prefix_sha256, length(text) AS input_characters, length(text) > 48000 AS input_clipped, sha256('count') AS instructions_sha256,
+    CASE WHEN n_chars % 3 = 0 THEN 2 ELSE 1 END AS attempts, n_chars % 9 <> 0 AS answered FROM documents""",
+)
+def annotation_receipts(v: Views):
+    return annotate.receipts(v["documents"].select("doc_id", "text"), "doc_id", "text", retried(v)[1], "count").drop("request_keys")
+
+
 @query(
     "technical_unknowns",
     """SELECT doc_id, 'unknown' AS decision_label, 'technical unknown: attempts exhausted, no judgment was obtained' AS decision_rationale,

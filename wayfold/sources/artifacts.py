@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.session import cut_lineage
+
 MANIFEST = "artifact string, run string, committed_at timestamp, commit string"
 
 
@@ -27,6 +30,45 @@ def publish(df: DataFrame, root: str, name: str) -> str:
     return run
 
 
+def write_files(chunks: DataFrame, root: str) -> DataFrame:
+    """Writes files below root from (path, place, content) rows, a file's chunks in the order of their places; (path, bytes).
+
+    A file is written by one task, chunk after chunk, under a name of its own that is moved to the path when it is
+    complete, so a repeated task leaves no half of a file. Files are spread over the tasks.
+    """
+    spark = chunks.sparkSession
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri("file://" + root if root.startswith("/") else root)
+        path, out, size, made = None, None, 0, []
+
+        def close() -> None:
+            out.close()
+            store.move(draft, f"{base}/{path}")
+            made.append((path, size))
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if row[0] != path:
+                    if out is not None:
+                        close()
+                    path, size = row[0], 0
+                    store.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                    draft = f"{base}/{path}.{uuid.uuid4().hex}.part"
+                    out = store.open_output_stream(draft, compression=None)
+                out.write(row[2])
+                size += len(row[2])
+        if out is not None:
+            close()
+        yield pd.DataFrame(made, columns=["path", "bytes"]).astype({"path": str, "bytes": "int64"})
+
+    rows = chunks.select("path", "place", "content")
+    dealt = rows.repartition(spark.sparkContext.defaultParallelism, "path").sortWithinPartitions("path", "place")
+    return cut_lineage(dealt.mapInPandas(write, "path string, bytes long"))
+
+
 def latest_run(spark: SparkSession, root: str, name: str) -> str:
     manifest = spark.read.schema(MANIFEST).parquet(f"{root}/manifest").filter(F.col("artifact") == name)
     row = manifest.agg(F.max(F.struct("committed_at", "run"))["run"].alias("run")).first()
