@@ -188,7 +188,8 @@ def write(encoded: DataFrame, ids_of: DataFrame, folder: str, width: int = 2, sh
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
     placed = encoded.select("doc_id", "ids").mapInArrow(place, "shard int, doc_id long, ids binary")
-    ordered = placed.repartition(count, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    # The shard is the partition, so no task writes two.
+    ordered = placed.repartitionById(count, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
     ordered.mapInArrow(save, MANIFEST).write.mode("errorifexists").parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -230,7 +231,8 @@ def read(manifest: DataFrame, wanted: DataFrame | None = None, with_ids: bool =
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    spread = shards.repartition(partitions(manifest.sparkSession), "shard")
+    count = partitions(manifest.sparkSession)
+    spread = shards.repartitionById(count, F.pmod("shard", F.lit(count)))
     return spread.mapInArrow(load, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
 
 
