@@ -276,7 +276,7 @@ def kept(df: DataFrame, path: str) -> DataFrame:
 def index(runs: DataFrame, folder: str | None = None, ranges: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
     """The global capture index: all captures with ``range_no`` and ``range_pos``, which order them.
 
-    The bounds are quantiles of the first keys of all blocks, at most one per range, so a URL
+    The bounds are sampled quantiles of the first keys of all blocks, at most one per range, so a URL
     with very many captures is cut by time. A pass merges at most ``fan_in`` runs per group and
     range; passes go on until one group is left.
     """
@@ -285,10 +285,9 @@ def index(runs: DataFrame, folder: str | None = None, ranges: int | None = None,
     count = ranges or partitions(spark)
     key = F.struct("b.url_key", "b.captured", F.col("b.page_id").isNotNull().alias("has"), F.coalesce("b.page_id", F.lit(0)).alias("page"))
     firsts = runs.select(F.explode("blocks").alias("b")).select(key.alias("key"))
-    tile = F.expr(f"ntile({count}) over (order by key)")
-    # One row per block of captures; the bounds are as many as the ranges.
-    bounds = [tuple(r["key"]) for r in firsts.select("key", tile.alias("t")).groupBy("t").agg(F.min("key").alias("key")).sort("t").collect()][1:]
-    bounds = sorted(set(bounds))
+    # One row per block of captures, dealt into sampled ranges; their least keys are the bounds.
+    dealt = firsts.repartitionByRange(count, "key").withColumn("t", F.spark_partition_id())
+    bounds = sorted({tuple(r["key"]) for r in dealt.groupBy("t").agg(F.min("key").alias("key")).collect()})[1:]
     limits = list(zip([None, *bounds], [*bounds, None]))
     current = runs.select("path", F.lit(-1).alias("range_no"))
     n, step = current.count(), 0
@@ -394,4 +393,6 @@ def read(captures: DataFrame, columns: str = "payload") -> DataFrame:
             source.close()
 
     by_file = captures.select("path", "offset", "length", "range_no", "range_pos")
-    return by_file.repartition("path").sortWithinPartitions("path", "offset").mapInArrow(load, schema)
+    # A fixed count: by the bytes of the index alone, all archives would go to a few tasks.
+    dealt = by_file.repartition(partitions(captures.sparkSession), "path")
+    return dealt.sortWithinPartitions("path", "offset").mapInArrow(load, schema)
