@@ -111,6 +111,9 @@ def test_unsafe_paths(spark):
     paths = ["/etc/x.sql", "../x.sql", "a//b.sql", "a\\b.sql", "models/x.py", "models/ok.sql"]
     df = spark.createDataFrame([(i, p, "select 1") for i, p in enumerate(paths)], "project_id int, path string, content string")
     assert {r["row_id"] for r in validation.project_files(df).collect()} == {"0", "1", "2", "3", "4"}
+    named = df.select("project_id").unionByName(df.limit(1).select(F.lit(99).cast(df.schema["project_id"].dataType).alias("project_id")))
+    found = {(r["row_id"], r["rule"], r["detail"]) for r in validation.project_files(df, projects=named).collect()}
+    assert ("99", "file_count", "0") in found
 
 
 def test_history_records_refuse_outcomes(spark):

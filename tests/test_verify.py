@@ -108,13 +108,16 @@ def spec(**changes):
     return {**base, **changes}
 
 
-def failed(spark, spec_value):
-    return {(r["check"], r["name"]) for r in verify.workflow(spark, spec_value).collect() if not r["passed"]}
+def failed(spark, spec_value, **limits):
+    return {(r["check"], r["name"]) for r in verify.workflow(spark, spec_value, **limits).collect() if not r["passed"]}
 
 
 def test_workflow_checks(spark, shop):
     assert failed(spark, spec()) == set()
-    assert verify.stage_sample(spark, "sg_totals").count() == 2
+    samples = {r["name"]: r["value"] for r in verify.workflow(spark, spec()).collect() if r["check"] == "sample"}
+    assert json.loads(samples["sg_totals"]) == [{"country": "DE", "total": 5.0}, {"country": "US", "total": 50.0}]
+    assert [r["amount"] for r in json.loads(samples["sg_joined"])] == [5.0, 0.0, 20.0]
+    assert ("result", "row_count") in failed(spark, spec(final_sql="SELECT country, total FROM sg_totals"), max_rows=1)
     empty = spec()["stages"]
     empty[0] = {**empty[0], "sql": empty[0]["sql"] + " WHERE country = 'FR'"}
     assert ("stage", "sg_joined") in failed(spark, spec(stages=empty))
@@ -133,6 +136,12 @@ def test_workflow_shape():
     loose[1] = {**loose[1], "sql": "SELECT country, 1 AS total FROM t_customers"}
     assert "must read sg_joined" in verify.workflow_shape(spec(stages=loose))[0]
     assert verify.workflow_shape(spec(alternate_sql="SELECT * FROM sg_totals"))
+    cited = [{**s, "source_transition_ids": [t]} for s, t in zip(spec()["stages"], ("e1", "e2"))]
+    known = {"e1": "task a", "e2": "task b", "e3": "task a"}
+    assert verify.workflow_shape(spec(stages=cited, transitions=known)) == []
+    assert verify.workflow_shape(spec(transitions=known)) == [
+        "stage sg_joined must cite known transitions", "stage sg_totals must cite known transitions", "stages must rest on transitions of two source tasks"]
+    assert verify.workflow_shape(spec(stages=cited, transitions={"e1": "task a", "e2": "task a"})) == ["stages must rest on transitions of two source tasks"]
     assert verify.workflow_shape(spec(constraints=spec()["constraints"][:1]))
     assert verify.workflow_shape(spec(stages=spec()["stages"][:1]))
 

@@ -215,8 +215,11 @@ def codebooks(candidates: DataFrame, row_id: str) -> tuple[DataFrame, DataFrame]
     return accepted.select(*candidates.columns, ids.alias("state_ids")), found
 
 
-def project_files(files: DataFrame, project: str = "project_id") -> DataFrame:
-    """Violations of a file manifest (project, path, content): paths, kinds, sizes, hooks."""
+def project_files(files: DataFrame, project: str = "project_id", projects: DataFrame | None = None) -> DataFrame:
+    """Violations of a file manifest (project, path, content): paths, kinds, sizes, hooks.
+
+    ``projects`` lists all projects, so that one without files is reported.
+    """
     path, content = F.col("path"), F.col("content")
     parts = F.split(path, "/")
     untidy = F.exists(parts, lambda p: p.isin("", ".", ".."))
@@ -228,9 +231,10 @@ def project_files(files: DataFrame, project: str = "project_id") -> DataFrame:
         "hook": (content.rlike(HOOK_PATTERN), path),
     }
     found = rules.violations(files, project, checks)
-    counted = files.groupBy(project).agg(F.count(F.lit(1)).alias("_n")).filter(
-        ~F.col("_n").between(1, MAX_FILES)
-    )
+    counted = files.groupBy(project).agg(F.count(F.lit(1)).alias("_n"))
+    if projects is not None:
+        counted = projects.select(project).distinct().join(counted, project, "left").fillna(0, ["_n"])
+    counted = counted.filter(~F.col("_n").between(1, MAX_FILES))
     crowded = counted.select(
         F.col(project).cast("string").alias("row_id"), F.lit("file_count").alias("rule"), F.col("_n").cast("string").alias("detail")
     )
@@ -277,9 +281,13 @@ def spec_references(
     stages: DataFrame,
     facts: DataFrame,
     alternatives: DataFrame,
+    specs: DataFrame | None = None,
 ) -> DataFrame:
     """(spec_id, rule, detail, severity) of specs that do not refer to real rows.
 
+    specs: spec_id of all specs, so that one without any transition, binding or alternative is reported;
+    by default those that appear in one of the tables.
+
     transitions: spec_id, transition_id, source_task_id; bindings: the same;
     obligations: spec_id, source_task_id; stages: spec_id, stage, transition_id;
     facts: spec_id, role (known, unknown, delivered, withheld), fact;
@@ -289,7 +297,11 @@ def spec_references(
         text = F.col(detail) if isinstance(detail, str) else detail
         return df.select("spec_id", F.lit(rule).alias("rule"), text.cast("string").alias("detail"), F.lit(severity).alias("severity"))
 
-    specs = transitions.select("spec_id").distinct()
+    if specs is None:
+        specs = transitions.select("spec_id")
+        for table in (bindings, obligations, stages, facts, alternatives):
+            specs = specs.unionByName(table.select("spec_id"))
+    specs = specs.select("spec_id").distinct()
 
     def fewer_than_two(df: DataFrame, column: str, rule: str) -> DataFrame:
         counted = df.select("spec_id", column).distinct().groupBy("spec_id").agg(F.count(F.lit(1)).alias("_n"))

@@ -17,7 +17,7 @@ from wayfold.operators.pairing import cell, close, most_pairs
 from wayfold.session import cut_lineage
 
 # Row limit and stage names of the published protocol.
-MAX_RESULT_ROWS = 1000
+MAX_RESULT_ROWS, SAMPLE_ROWS = 1000, 3
 STAGE_NAME = r"sg_[a-z0-9_]+"
 
 
@@ -308,7 +308,11 @@ def _mentions(sql: str, name: str) -> bool:
 
 
 def workflow_shape(spec: Mapping) -> list[str]:
-    """Breaches of the form of a staged workflow, without running it."""
+    """Breaches of the form of a staged workflow, without running it.
+
+    Where the spec lists ``transitions`` (id -> source task), every stage cites some of them, and all
+    stages together those of two source tasks at least.
+    """
     stages, found = spec.get("stages", []), []
     names = [s.get("name", "") for s in stages]
     if len(stages) < 2:
@@ -320,6 +324,15 @@ def workflow_shape(spec: Mapping) -> list[str]:
     for previous, stage in zip(stages, stages[1:], strict=False):
         if not _mentions(stage["sql"], previous["name"]):
             found.append(f"stage {stage['name']} must read {previous['name']}")
+    known = spec.get("transitions")
+    if known is not None:
+        cited = [t for s in stages for t in s.get("source_transition_ids", ())]
+        found += [
+            f"stage {s.get('name')} must cite known transitions" for s in stages
+            if not s.get("source_transition_ids") or set(s["source_transition_ids"]) - set(known)
+        ]
+        if len({known[t] for t in cited if t in known}) < 2:
+            found.append("stages must rest on transitions of two source tasks")
     if stages and not _mentions(spec.get("final_sql", ""), names[-1]):
         found.append("final query must read the last stage")
     if any(_mentions(spec.get("alternate_sql", ""), n) for n in [*names, "sg_result"]):
@@ -335,11 +348,12 @@ def workflow_shape(spec: Mapping) -> list[str]:
     return found
 
 
-def workflow(spark: SparkSession, spec: Mapping) -> DataFrame:
+def workflow(spark: SparkSession, spec: Mapping, max_rows: int = MAX_RESULT_ROWS) -> DataFrame:
     """Runs a staged workflow; one row per check: (check, name, passed, value).
 
-    Stages are views that read one another, so Spark plans the chain as a whole.
-    The result must have 1 to 1000 rows and the declared columns; every
+    Each stage runs once: its rows are stored, and the next stage, its row count and its sample (the first
+    ``SAMPLE_ROWS`` rows in the order of all columns, as JSON) read them. The result, stored up to one row
+    beyond ``max_rows``, must have 1 to ``max_rows`` rows and the declared columns; every
     constraint one TRUE boolean; the alternate query the same rows, with ``order_by`` (columns of the
     result) in the same sequence.
     """
@@ -356,17 +370,20 @@ def workflow(spark: SparkSession, spec: Mapping) -> DataFrame:
     reports = []
     size = F.col("n")
     for stage in spec["stages"]:
-        made = spark.sql(stage["sql"])
+        made = cut_lineage(spark.sql(stage["sql"]))
         made.createOrReplaceTempView(stage["name"])
         reports.append(row("stage", stage["name"], made.agg(F.count(F.lit(1)).alias("n")), size > 0, size))
-    final = spark.sql(spec["final_sql"])
-    names = final.columns
+        sample = stage_sample(made).agg(F.sort_array(F.collect_list(F.struct("*"))).alias("rows"))
+        reports.append(row("sample", stage["name"], sample, F.lit(True), F.to_json("rows", {"ignoreNullFields": "false"})))
+    asked = spark.sql(spec["final_sql"])
+    names = asked.columns
     if len(set(names)) != len(names):
         raise ValueError("result columns must have distinct names")
-    final.createOrReplaceTempView("sg_result")
     # One row beyond the limit is enough to know that the result is too long.
-    counted = final.limit(MAX_RESULT_ROWS + 1).agg(F.count(F.lit(1)).alias("n"))
-    reports.append(row("result", "row_count", counted, (size > 0) & (size <= MAX_RESULT_ROWS), size))
+    final = cut_lineage(asked.limit(max_rows + 1))
+    final.createOrReplaceTempView("sg_result")
+    counted = final.agg(F.count(F.lit(1)).alias("n"))
+    reports.append(row("result", "row_count", counted, (size > 0) & (size <= max_rows), size))
     declared = list(spec.get("output_columns", []))
     reports.append(
         row("result", "columns", spark.range(1), F.lit(declared == names), F.lit(",".join(names)))
@@ -388,9 +405,10 @@ def workflow(spark: SparkSession, spec: Mapping) -> DataFrame:
     return whole
 
 
-def stage_sample(spark: SparkSession, name: str, rows: int = 3) -> DataFrame:
-    """A few rows of a stage of the last workflow, for its report."""
-    return spark.table(name).limit(rows)
+def stage_sample(made: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The first rows of a stage in the order of all columns that have one."""
+    plain = [f.name for f in made.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return (made.orderBy(*[F.col(f"`{n}`") for n in plain]) if plain else made).limit(rows)
 
 
 def gate(before: DataFrame, starter: DataFrame, oracle: DataFrame, reference: DataFrame) -> DataFrame:

@@ -384,22 +384,23 @@ def salvaged_json(v: Views):
 @query(
     "spec_reference_violations",
     """SELECT doc_id AS spec_id, rule, detail, severity FROM (
-    SELECT doc_id, 'binding_without_transition' AS rule, 'edge_9' AS detail, 'violation' AS severity FROM documents WHERE doc_id % 8 = 1 UNION ALL
-    SELECT doc_id, 'bound_tasks', '1', 'violation' FROM documents WHERE doc_id % 8 IN (1, 2) UNION ALL
-    SELECT doc_id, 'source_tasks', '1', 'violation' FROM documents WHERE doc_id % 8 = 2 UNION ALL
-    SELECT doc_id, 'obligation_missing', 'B', 'violation' FROM documents WHERE doc_id % 8 = 3 UNION ALL
-    SELECT doc_id, 'stage_without_transition', 'edge_7', 'violation' FROM documents WHERE doc_id % 8 = 4 UNION ALL
-    SELECT doc_id, 'known_fact_not_delivered', 'schema', 'violation' FROM documents WHERE doc_id % 8 = 5 UNION ALL
-    SELECT doc_id, 'alternatives', '1', 'violation' FROM documents WHERE doc_id % 8 = 6 UNION ALL
-    SELECT doc_id, 'unknown_fact_wording', 'backend', 'warning' FROM documents WHERE doc_id % 8 = 7) x""",
+    SELECT doc_id, 'binding_without_transition' AS rule, 'edge_9' AS detail, 'violation' AS severity FROM documents WHERE doc_id % 9 = 1 UNION ALL
+    SELECT doc_id, 'bound_tasks', '1', 'violation' FROM documents WHERE doc_id % 9 IN (1, 2) UNION ALL
+    SELECT doc_id, 'source_tasks', '1', 'violation' FROM documents WHERE doc_id % 9 = 2 UNION ALL
+    SELECT doc_id, 'obligation_missing', 'B', 'violation' FROM documents WHERE doc_id % 9 = 3 UNION ALL
+    SELECT doc_id, 'stage_without_transition', 'edge_7', 'violation' FROM documents WHERE doc_id % 9 = 4 UNION ALL
+    SELECT doc_id, 'known_fact_not_delivered', 'schema', 'violation' FROM documents WHERE doc_id % 9 = 5 UNION ALL
+    SELECT doc_id, 'alternatives', '1', 'violation' FROM documents WHERE doc_id % 9 = 6 UNION ALL
+    SELECT doc_id, rule, '0', 'violation' FROM documents, (VALUES ('bound_tasks'), ('transitions'), ('source_tasks'), ('alternatives')) r(rule) WHERE doc_id % 9 = 8 UNION ALL
+    SELECT doc_id, 'unknown_fact_wording', 'backend', 'warning' FROM documents WHERE doc_id % 9 = 7) x""",
 )
 def spec_reference_violations(v: Views):
-    """Specs made from documents, each with at most one kind of broken reference."""
-    specs, kind = v["documents"].select(F.col("doc_id").alias("spec_id")), F.col("spec_id") % 8
+    """Specs made from documents, each with at most one kind of broken reference; one kind has no rows at all but its name."""
+    specs, kind = v["documents"].select(F.col("doc_id").alias("spec_id")), F.col("spec_id") % 9
 
     def listed(names: str, *rows: Column) -> DataFrame:
         fields = names.split()
-        exploded = specs.select("spec_id", F.explode(F.array(*rows)).alias("r"))
+        exploded = specs.filter(kind != 8).select("spec_id", F.explode(F.array(*rows)).alias("r"))
         return exploded.select("spec_id", *[F.col("r")[f].alias(f) for f in fields])
 
     def row(**cells) -> Column:
@@ -424,7 +425,7 @@ def spec_reference_violations(v: Views):
         row(role="withheld", fact=F.when(kind == 7, "the backend type").otherwise("backend")),
     )
     alternatives = listed("text", row(text="duckdb"), row(text=F.when(kind == 6, "duckdb").otherwise("other")))
-    return validation.spec_references(transitions, bindings, obligations, stages, facts, alternatives)
+    return validation.spec_references(transitions, bindings, obligations, stages, facts, alternatives, specs)
 
 
 def count_words(rows: pd.DataFrame) -> list[str]:

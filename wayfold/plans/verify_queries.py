@@ -302,13 +302,15 @@ def workflow_spec(v: Views) -> dict:
     cents = "CAST(round(o_totalprice * 100) AS BIGINT)"
     return {
         "stages": [
-            {"name": "sg_sold", "sql": f"SELECT o_orderkey, o_custkey, {cents} AS cents FROM shop_orders WHERE o_orderstatus IN {WORKFLOW_STATUS}"},
-            {"name": "sg_placed", "sql": "SELECT c_nationkey, cents FROM sg_sold JOIN shop_customer ON c_custkey = o_custkey"},
+            {"name": "sg_sold", "source_transition_ids": ["t1"], "sql": f"SELECT o_orderkey, o_custkey, {cents} AS cents FROM shop_orders WHERE o_orderstatus IN {WORKFLOW_STATUS}"},
+            {"name": "sg_placed", "source_transition_ids": ["t1", "t2"], "sql": "SELECT c_nationkey, cents FROM sg_sold JOIN shop_customer ON c_custkey = o_custkey"},
         ],
         "final_sql": "SELECT n_name, sum(cents) AS cents, count(*) AS orders FROM sg_placed JOIN shop_nation ON n_nationkey = c_nationkey GROUP BY n_name",
         "alternate_sql": f"""SELECT n_name, sum({cents}) AS cents, count(o_orderkey) AS orders FROM shop_nation JOIN shop_customer ON c_nationkey = n_nationkey
             JOIN shop_orders ON o_custkey = c_custkey AND o_orderstatus IN {WORKFLOW_STATUS} GROUP BY n_name""",
         "output_columns": ["n_name", "cents", "orders"],
+        "transitions": {"t1": "clean-orders", "t2": "map-customers"},
+        "order_by": ["n_name"],
         "constraints": [
             {"description": "every nation once", "sql": "SELECT count(*) = count(DISTINCT n_name) AS ok FROM sg_result"},
             {"description": "no negative revenue", "sql": "SELECT bool_and(cents >= 0) AS ok FROM sg_result"},
@@ -320,6 +322,10 @@ def workflow_spec(v: Views) -> dict:
     "staged_workflow",
     f"""SELECT 'stage' AS "check", 'sg_sold' AS name, true AS passed, CAST(count(*) AS VARCHAR) AS value FROM orders WHERE o_orderstatus IN {WORKFLOW_STATUS} UNION ALL
     SELECT 'stage', 'sg_placed', true, CAST(count(*) AS VARCHAR) FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus IN {WORKFLOW_STATUS} UNION ALL
+    SELECT 'sample', 'sg_sold', true, CAST(to_json(list(x ORDER BY o_orderkey)) AS VARCHAR) FROM (SELECT o_orderkey, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents
+      FROM orders WHERE o_orderstatus IN {WORKFLOW_STATUS} ORDER BY 1, 2, 3 LIMIT 3) x UNION ALL
+    SELECT 'sample', 'sg_placed', true, CAST(to_json(list(x ORDER BY c_nationkey, cents)) AS VARCHAR) FROM (SELECT c_nationkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents
+      FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus IN {WORKFLOW_STATUS} ORDER BY 1, 2 LIMIT 3) x UNION ALL
     SELECT 'result', 'row_count', true, CAST(count(DISTINCT c_nationkey) AS VARCHAR) FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus IN {WORKFLOW_STATUS} UNION ALL
     SELECT 'result', 'columns', true, 'n_name,cents,orders' UNION ALL SELECT 'alternate', 'agreement', true, 'equal' UNION ALL
     SELECT 'constraint', 'every nation once', true, '1' UNION ALL SELECT 'constraint', 'no negative revenue', true, '1'""",
