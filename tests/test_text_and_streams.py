@@ -1,5 +1,6 @@
 """Text functions, literal evidence, validation, annotation, inventory and streams."""
 
+import datetime as dt
 import json
 import random
 import re
@@ -411,6 +412,30 @@ def test_monitor_updates_open_windows(spark, tmp_path):
     assert rows == {"a": (1, False), "b": (2, True)}
 
 
+def test_results_in_later_files_turn_calls_done(spark, tmp_path):
+    """A call is given out as done in the batch that brings its result, as active once its time has passed; a late result is dropped."""
+    shape, result = "rollout_id string, call_id int, ts timestamp", "rollout_id string, finished_at timestamp"
+    at = lambda text: dt.datetime.fromisoformat(f"2024-01-{text}")
+    files = [
+        ([("a", 1, at("01 10:00")), ("b", 2, at("01 11:00")), ("d", 5, at("01 11:30"))], [("z", at("01 09:00"))]),
+        ([("c", 3, at("02 10:00"))], [("a", at("01 12:00"))]),
+        ([("c", 4, at("04 10:00"))], [("c", at("04 11:00"))]),
+        ([("e", 6, at("09 10:00"))], [("d", at("01 12:00")), ("y", at("09 10:00"))]),
+    ]
+    done = []
+    for k, (calls_of, results_of) in enumerate(files):
+        for name, rows, kind in (("calls", calls_of, shape), ("results", results_of, result)):
+            spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        left = calls.call_stream(spark, f"{tmp_path}/calls", spark.createDataFrame([], shape).schema)
+        right = calls.call_stream(spark, f"{tmp_path}/results", spark.createDataFrame([], result).schema)
+        joined = calls.with_results(left, right, within="1 DAY", delay="12 hours")
+        calls.append_to(joined, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        done.append({(r["call_id"], r["active"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()})
+    assert (1, False) not in done[0] and (1, False) in done[1]
+    assert done[2] >= {(2, True), (5, True), (4, False)}
+    assert done[3] == {(1, False), (2, True), (5, True), (3, True), (4, False)}  # the last result of d came too late, e is still open
+
+
 def test_salvaged_json_reads_the_whole_text(spark):
     """JSON that stands in a document is met, against a scan of the whole response by the json module."""
     import json

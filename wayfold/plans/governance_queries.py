@@ -460,3 +460,33 @@ def streamed_trial_monitor(v: Views):
         F.date_format("last_activity", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_activity"),
         "active",
     )
+
+
+@query(
+    "streamed_calls_with_results",
+    """SELECT e.event_id AS call_id, e.user_id AS rollout_id, r.finished_at IS NULL AS active,
+    strftime(r.finished_at, '%Y-%m-%d %H:%M:%S.%f') AS finished_at
+    FROM events e LEFT JOIN (SELECT user_id, max(ts) + INTERVAL 5 MINUTE AS finished_at FROM events WHERE user_id % 3 <> 0 GROUP BY 1) r
+    ON r.user_id = e.user_id AND r.finished_at <= e.ts + INTERVAL 12 HOUR""",
+)
+def streamed_calls_with_results(v: Views):
+    """Calls and results as two streams of files, a few files of each per batch; many results come in later batches than their calls."""
+    base = fresh_dir(v.spark, "stream")
+    calls = v["events"].select(F.col("event_id").alias("call_id"), F.col("user_id").alias("rollout_id"), F.col("ts").cast("timestamp").alias("ts"))
+    last = calls.filter("rollout_id % 3 <> 0").groupBy("rollout_id").agg(F.max("ts").alias("_last"))
+    results = last.select("rollout_id", (F.col("_last") + F.expr("INTERVAL 5 MINUTES")).alias("finished_at"))
+    end = calls.agg(F.max("ts") + F.expr("INTERVAL 200 DAYS")).first()[0]
+    both = (("calls", calls, "ts"), ("results", results, "finished_at"))
+    for name, rows, time in both:
+        rows.repartitionByRange(6, time).write.parquet(f"{base}/{name}")
+    # Rows far behind the last day move both watermarks past all calls; the batch after that gives out the open ones.
+    for _ in range(2):
+        for name, rows, _ in both:
+            beyond = tuple(end if f.name in ("ts", "finished_at") else -1 for f in rows.schema.fields)
+            v.spark.createDataFrame([beyond], rows.schema).coalesce(1).write.mode("append").parquet(f"{base}/{name}")
+        streamed = {name: streams.call_stream(v.spark, f"{base}/{name}", rows.schema, files_per_batch=2) for name, rows, _ in both}
+        joined = streams.with_results(streamed["calls"], streamed["results"], within="12 HOURS", delay="60 days")
+        shown = joined.select("call_id", "rollout_id", "active", F.date_format("finished_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("finished_at"))
+        streams.append_to(shown, f"{base}/out", f"{base}/state").awaitTermination()
+    # Not in the stream: the filter would be moved below the watermark, which these rows have to move.
+    return v.spark.read.schema(shown.schema).parquet(f"{base}/out").filter("call_id >= 0")

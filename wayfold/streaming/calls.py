@@ -8,9 +8,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
-def call_stream(spark: SparkSession, root: str, schema: T.StructType, *, glob: str | None = None, fmt: str = "parquet") -> DataFrame:
+def call_stream(
+    spark: SparkSession, root: str, schema: T.StructType, *, glob: str | None = None, fmt: str = "parquet", files_per_batch: int = 1000
+) -> DataFrame:
     """Calls appended as files below a folder."""
-    reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", 1000)
+    reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.load(root)
@@ -50,6 +52,24 @@ def with_status(activity_rows: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def with_results(
+    calls: DataFrame, results: DataFrame, *, time: str = "ts", finished: str = "finished_at", within: str = "1 day", delay: str = "1 hour"
+) -> DataFrame:
+    """Every call with its trial's result, both arriving as streams (rollout_id, ``time``, call columns, ``finished``, active).
+
+    An outer join of two watermarked streams: a result counts for calls up to ``within`` before it. A call whose
+    result arrives in a later file is given out as done when it does; one whose time has passed without a result is
+    given out as active. Calls wait in the state until then, and results later than the watermark are dropped.
+    """
+    left = calls.withWatermark(time, delay)
+    right = results.select(F.col("rollout_id").alias("_trial"), finished).withWatermark(finished, delay)
+    match = (
+        (F.col("rollout_id") == F.col("_trial")) & (F.col(finished) >= F.col(time))
+        & (F.col(finished) <= F.col(time) + F.expr(f"INTERVAL {within}"))
+    )
+    return left.join(right, match, "left_outer").select(*calls.columns, finished, F.col(finished).isNull().alias("active"))
+
+
 def append_to(df: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Appends finished rows as parquet; stops when the input is read."""
     return (
