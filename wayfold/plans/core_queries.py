@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from wayfold.operators import anchors, coverage, graph, outcomes, segments
 from wayfold.plans.fixtures import Views, check_sql
 from wayfold.plans.registry import query
-from wayfold.sources import logs
+from wayfold.session import fresh_dir
+from wayfold.sources import artifacts, logs
 
 
 @query(
@@ -165,6 +166,36 @@ def prefix_event_alignment(v: Views):
     )
 
 
+@query(
+    "recorded_calls",
+    check_sql(
+        """SELECT 'job/conv-' || c.rollout_id || '__1' AS rollout_id, c.call_index, CAST(c.call_index AS DOUBLE) + 0.5 AS observed_at_epoch,
+        CASE WHEN n.turn IS NULL THEN 0 ELSE 1 END AS messages, n.role, md5(n.text) AS content, sha256(c.response) AS prefix_sha256
+        FROM conv_calls c LEFT JOIN conv_turns n ON n.rollout_id = c.rollout_id AND n.turn = c.call_index - 1""",
+        "conv_calls", "conv_turns",
+    ),
+)
+def recorded_calls(v: Views):
+    """Calls written as JSON lines, the last call first and with blank lines, one log per conversation, and read back."""
+    root = fresh_dir(v.spark, "logs")
+    before = v["conv_turns"].select("rollout_id", (F.col("turn") + 1).alias("call_index"), F.struct("role", F.col("text").alias("content")).alias("m"))
+    calls = v["conv_calls"].join(before, ["rollout_id", "call_index"], "left")
+    line = F.to_json(F.struct(
+        F.lit("v1").alias("schema"), "call_index", (F.col("call_index") + 0.5).alias("observed_at_epoch"),
+        F.array_compact(F.array("m")).alias("messages"), F.sha2("response", 256).alias("prefix_sha256"),
+    ))
+    artifacts.write_files(calls.select(
+        F.concat(F.lit("job/conv-"), F.col("rollout_id").cast("string"), F.lit("__1/agent/policy_calls.jsonl")).alias("path"),
+        (-F.col("call_index")).cast("long").alias("place"), F.concat(line, F.lit("\n\n")).cast("binary").alias("content"),
+    ), root)
+    read = logs.policy_calls(v.spark, root)
+    first = F.get("messages", F.lit(0))
+    return read.select(
+        "rollout_id", "call_index", "observed_at_epoch", F.size("messages").alias("messages"), first["role"].alias("role"),
+        F.md5(first["content"]).alias("content"), "prefix_sha256",
+    )
+
+
 # Texts of conversations with their lengths only, so that many messages read alike.
 SAID, HEARD = "concat('say ', CAST(length(text) % 3 AS STRING))", "concat('got ', CAST(length(text) % 2 AS STRING))"
 
