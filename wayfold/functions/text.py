@@ -94,11 +94,6 @@ def token_set(text: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(_col(text)), F.lit(TOKEN_PATTERN), F.lit(0)))
 
 
-def jaccard(left: Column, right: Column) -> Column:
-    shared = F.size(F.array_intersect(left, right))
-    return shared / F.greatest(F.lit(1), F.size(left) + F.size(right) - shared)
-
-
 def term_set(text: Column | str) -> Column:
     """Words longer than two characters, stop words dropped, trailing s stripped."""
     words = F.regexp_extract_all(F.lower(_col(text)), F.lit(TERM_PATTERN), F.lit(0))

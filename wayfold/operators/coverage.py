@@ -63,6 +63,7 @@ def tails(last: DataFrame, events: DataFrame) -> DataFrame:
             "terminal_tail_execution_step_ids"
         ),
         omitted,
+        # The labels of the published coverage report.
         F.when(timed, "timestamp_bounded_tail_after_final_prefix")
         .when(unknown, "uncertain_missing_trajectory_or_unmatched_visible_occurrences")
         .otherwise("ordered_tail_after_final_prefix_occurrences")

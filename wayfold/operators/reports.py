@@ -40,9 +40,9 @@ def usage(calls: DataFrame) -> DataFrame:
 def run_status(evaluated: Column, candidates: Column, train: Column, validation: Column) -> Column:
     """Label of a run: two candidates evaluated, and support in both splits."""
     return (
-        F.when((evaluated < 2) | (candidates < 2), "incomplete_no_evaluated_revision")
-        .when((train > 0) & (validation > 0), "completed_proxy_pilot")
-        .otherwise("completed_proxy_with_insufficient_positive_signal")
+        F.when((evaluated < 2) | (candidates < 2), "incomplete: one candidate")
+        .when((train > 0) & (validation > 0), "complete: support in both splits")
+        .otherwise("complete: support missing in a split")
     )
 
 

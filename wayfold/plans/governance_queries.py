@@ -64,7 +64,7 @@ def usage_ledger(v: Views):
         (SELECT count(DISTINCT rollout_id) FROM trial_calls WHERE rollout_id NOT IN (SELECT rollout_id FROM trial_results)) AS skipped_trials,
         0 AS excluded_trials, s_train AS supported_train, s_val AS supported_validation,
         (SELECT count(*) FROM board) AS candidates, (SELECT count(*) FROM board WHERE scored_probes > 0) AS evaluated,
-        CASE WHEN s_train > 0 AND s_val > 0 THEN 'completed_proxy_pilot' ELSE 'completed_proxy_with_insufficient_positive_signal' END AS status
+        CASE WHEN s_train > 0 AND s_val > 0 THEN 'complete: support in both splits' ELSE 'complete: support missing in a split' END AS status
         FROM (SELECT count(*) FILTER (split = 'train') AS s_train, count(*) FILTER (split = 'validation') AS s_val FROM (
           SELECT split_part(probe_id, '-', 1) AS split, {effective_sql('decision_label', 'proxy')} AS d, {effective_sql('splice_label', 'proxy')} AS s FROM probes_cross) x
           WHERE d = 'supported' AND s = 'supported') y""",
