@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from wayfold.session import cut_lineage
 
+#: Bytes of files that one task writes, and of a block when parts are put together.
+STRETCH, COPIED = 64 * 2**20, 8 * 2**20
 MANIFEST = "artifact string, run string, committed_at timestamp, commit string"
 
 
@@ -30,43 +32,82 @@ def publish(df: DataFrame, root: str, name: str) -> str:
     return run
 
 
-def write_files(chunks: DataFrame, root: str) -> DataFrame:
+def write_files(chunks: DataFrame, root: str, *, stretch: int = STRETCH) -> DataFrame:
     """Writes files below root from (path, place, content) rows, a file's chunks in the order of their places; (path, bytes).
 
-    A file is written by one task, chunk after chunk, under a name of its own that is moved to the path when it is
-    complete, so a repeated task leaves no half of a file. Files are spread over the tasks.
+    The chunks are dealt into sampled ranges of path and place of about ``stretch`` bytes, so neither a large file nor several
+    files of one hash fill a task. Each range writes its part of a file under a name of its own. A file's parts are then
+    put together by one task per file, block by block, under a name of its own that is moved to the path when it is
+    complete, so a repeated task leaves no half of a file.
     """
     spark = chunks.sparkSession
+    where = "file://" + root if root.startswith("/") else root
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri("file://" + root if root.startswith("/") else root)
+        store, base = fs.FileSystem.from_uri(where)
         path, out, size, made = None, None, 0, []
 
         def close() -> None:
             out.close()
-            store.move(draft, f"{base}/{path}")
-            made.append((path, size))
+            made.append((path, part, draft, size))
 
         for batch in batches:
             for row in batch.itertuples(index=False):
                 if row[0] != path:
                     if out is not None:
                         close()
-                    path, size = row[0], 0
+                    path, size, part = row[0], 0, row[2]
                     store.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
-                    draft = f"{base}/{path}.{uuid.uuid4().hex}.part"
-                    out = store.open_output_stream(draft, compression=None)
-                out.write(row[2])
-                size += len(row[2])
+                    draft = f"{path}.{uuid.uuid4().hex}.part"
+                    out = store.open_output_stream(f"{base}/{draft}", compression=None)
+                out.write(row[1])
+                size += len(row[1])
         if out is not None:
             close()
-        yield pd.DataFrame(made, columns=["path", "bytes"]).astype({"path": str, "bytes": "int64"})
+        yield pd.DataFrame(made, columns=["path", "part", "draft", "bytes"]).astype({"path": str, "part": "int32", "draft": str, "bytes": "int64"})
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(where)
+        for batch in batches:
+            for path, drafts, size in batch.itertuples(index=False):
+                parts = [f"{base}/{d}" for d in drafts]
+                there = [f.is_file for f in store.get_file_info(parts)]
+                # An earlier attempt may have got as far as the removal of the parts.
+                if not all(there) and store.get_file_info(f"{base}/{path}").size != size:
+                    raise FileNotFoundError(f"parts of {path}")
+                if all(there) and len(parts) == 1:
+                    store.move(parts[0], f"{base}/{path}")
+                elif all(there):
+                    draft = f"{base}/{path}.{uuid.uuid4().hex}.part"
+                    with store.open_output_stream(draft, compression=None) as out:
+                        for part in parts:
+                            with store.open_input_stream(part, compression=None) as source:
+                                while data := source.read(COPIED):
+                                    out.write(data)
+                    store.move(draft, f"{base}/{path}")
+                for part, left in zip(parts, there, strict=True):
+                    if left and len(parts) > 1 or left and not all(there):
+                        store.delete_file(part)
+                yield pd.DataFrame({"path": [path], "bytes": [size]})
 
     rows = chunks.select("path", "place", "content")
-    dealt = rows.repartition(spark.sparkContext.defaultParallelism, "path").sortWithinPartitions("path", "place")
-    return cut_lineage(dealt.mapInPandas(write, "path string, bytes long"))
+    size = rows.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    ranges = max(spark.sparkContext.defaultParallelism, -(-size // stretch))
+    dealt = rows.repartitionByRange(ranges, "path", "place").sortWithinPartitions("path", "place")
+    parts = dealt.select("path", "content", F.spark_partition_id().alias("part"))
+    written = cut_lineage(parts.mapInPandas(write, "path string, part int, draft string, bytes long"))
+    files = written.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("part", "draft"))).alias("parts"), F.sum("bytes").alias("bytes"))
+    # The tasks are handed names only. A range parts two files at most, so those in several parts are no more than the ranges: a task for each.
+    named = cut_lineage(files.select("path", F.transform("parts", lambda p: p["draft"]).alias("drafts"), "bytes"))
+    several = named.filter(F.size("drafts") > 1)
+    single = named.filter(F.size("drafts") == 1).repartition(spark.sparkContext.defaultParallelism)
+    shape = "path string, bytes long"
+    joined = several.repartition(max(1, several.count())).mapInPandas(join, shape)
+    return cut_lineage(single.mapInPandas(join, shape).unionByName(joined))
 
 
 def latest_run(spark: SparkSession, root: str, name: str) -> str:
