@@ -95,6 +95,26 @@ def test_sentencepiece(spark, odd, none):
         assert [i for ids in machine.encode(machine.words(text)) for i in ids] == sp.encode(text)
 
 
+def test_words_are_encoded_once_whatever_marks_follow():
+    """op1: marks that no piece holds behind a letter are set apart, so a stem is encoded once; ids stay the library's."""
+    import sentencepiece
+
+    path = tokenizer("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    machine, found = sentencepiece_wfst.transducer(path)
+    found.clear()
+    text = "haantion, haantion. haantion haantion.) (haantion, 12².5 2.5, é."
+    keys = machine.words(text)
+    rows = found.rows(keys)
+    assert found.ids(rows).tolist() == sp.encode(text)
+    once = []
+    found.clear()
+    encode, found.encode = found.encode, lambda keys: once.extend(keys) or encode(keys)
+    found.rows(keys)
+    found.encode = encode
+    assert once.count("haantion") == 1 and not {"haantion,", "haantion.", "haantion.)"} & set(once)
+
+
 def brute_repeats(rows, window):
     """Result columns of each row; rows of one id are at the same place, so neither is earlier."""
     first, out = {}, []

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import by_size, texts_of, worker_state
-from wayfold.llm.units import RAW, UnitTable, laid_flat, split_all, sums
+from wayfold.llm.units import MARKS, RAW, UnitTable, laid_flat, split_all, sums
 
 SPACE = "▁"
 BATCH_BYTES = 2_000_000
@@ -37,7 +37,8 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 INFINITY = float("inf")
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-PAIRS_KEPT = 200_000
+#: Pairs of pieces and distinct words that a worker keeps.
+PAIRS_KEPT, WORDS_KEPT = 200_000, 600_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -122,6 +123,14 @@ class Transducer:
             if kind in (UNKNOWN, CONTROL):
                 self.plain[i] = ""
         self.high = set(model.bytes[128:])
+        # Length of the longest piece by its first three characters; others have two at most.
+        self.heads: dict[str, int] = {}
+        for piece in model.arcs:
+            if len(piece) > 2:
+                self.heads[piece[:3]] = max(len(piece), self.heads.get(piece[:3], 0))
+        # Marks that no piece holds behind a letter or a digit: no path runs across, so a word ends before them.
+        behind = {b for piece in model.arcs for a, b in zip(piece, piece[1:]) if a.isalpha() or a in "0123456789"}
+        self.tails = "".join(c for c in MARKS if c not in behind)
 
     def normalise(self, text: str) -> str:
         if self.model.squeeze:
@@ -220,10 +229,10 @@ class Transducer:
 
         A state is a place and the last piece; one from which the end wasn't reached is not entered again.
         """
-        arcs, pairs, longest, n = self.model.arcs, self.pairs, self.model.longest, len(word)
+        arcs, pairs, heads, n = self.model.arcs, self.pairs, self.heads, len(word)
         path: list[str] = []
         dead: set[tuple[int, str]] = set()
-        at, size = 0, min(longest, n)
+        at, size = 0, min(heads.get(word[:3], 2), n)
         while at < n:
             while size:
                 piece = word[at : at + size]
@@ -240,7 +249,7 @@ class Transducer:
             if size:
                 path.append(piece)
                 at += size
-                size = min(longest, n - at)
+                size = min(heads.get(word[at : at + 3], 2), n - at)
             elif path:
                 last = path.pop()
                 dead.add((at, last))
@@ -297,7 +306,7 @@ class Transducer:
 def transducer(path: str) -> tuple[Transducer, UnitTable]:
     def make():
         machine = Transducer(compile_model(path))
-        return machine, UnitTable(lambda keys: laid_flat(machine.encode(keys)))
+        return machine, UnitTable(lambda keys: laid_flat(machine.encode(keys)), WORDS_KEPT, machine.tails, RAW)
 
     return worker_state(("transducer", path), make)
 

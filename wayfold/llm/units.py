@@ -43,11 +43,11 @@ class UnitTable:
     ``encode`` gives (ids, starts, lengths) of a list of keys: the ids of key k are
     ``ids[starts[k] : starts[k] + lengths[k]]``. With ``tails``, a key that ends in these
     characters after a Latin letter or an ASCII digit is taken as its stem and its tail, which
-    never share a token.
+    never share a token; ``lead`` stands before the tail, where that makes another key of it.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple], limit: int = 200_000, tails: str = ""):
-        self.encode, self.limit, self.tails = encode, limit, tails
+    def __init__(self, encode: Callable[[list[str]], tuple], limit: int = 200_000, tails: str = "", lead: str = ""):
+        self.encode, self.limit, self.tails, self.lead = encode, limit, tails, lead
         self.clear()
 
     def clear(self) -> None:
@@ -65,7 +65,7 @@ class UnitTable:
         stem = key.rstrip(self.tails)
         # Other letters can end in a mark once they are normalised or lowered, which then joins the tail.
         cut = stem and len(stem) < len(key) and not NO_LATIN.match(stem[-1]) and (stem[-1].isalpha() or stem[-1] in "0123456789")
-        return (stem, key[len(stem) :]) if cut else (key, "")
+        return (stem, self.lead + key[len(stem) :]) if cut else (key, "")
 
     def rows(self, keys: list[str]) -> np.ndarray:
         """The row of each key; new keys are encoded together."""
