@@ -28,6 +28,8 @@ PLAIN_NAME = r"^[a-z0-9_]+$"
 PLAIN_KEY = r"^[a-z0-9_]+\.[a-z0-9_]+$"
 #: Names with other characters that one automaton holds; more of them are sought in several passes.
 AUTOMATON_NAMES = 50_000
+#: A vocabulary of at most so many words is sent to all tasks, so that the words of the texts need no shuffle.
+BROADCAST_WORDS = 500_000
 #: Relations of more terms are listed under every term instead of every set of terms.
 MOST_TERMS = 6
 #: Texts with more terms of the catalog meet all relations of each term instead of sets of terms.
@@ -121,7 +123,20 @@ def odd_mentions(texts: DataFrame, known: DataFrame, block: int = AUTOMATON_NAME
             "text_id", F.lit("said").alias("kind"), F.explode(_names_in(names)(unquoted_lower("text"))).alias("word")
         )
         whole = found if whole is None else whole.unionByName(found)
-    return whole
+    return whole if whole is None else _not_only_by_key(whole, odd)
+
+
+def _not_only_by_key(mentions: DataFrame, odd: DataFrame) -> DataFrame:
+    """The mentions without those names whose relations the text all mentions by their keys, which count for more."""
+    mentions = cut_lineage(mentions)
+    relations_of = odd.select(F.col("name").alias("word"), "key").filter("word <> key").distinct()
+    keyed = mentions.select("text_id", F.col("word").alias("key"))
+    open_names = mentions.join(relations_of, "word").join(keyed, ["text_id", "key"], "left_anti").select("text_id", "word").distinct()
+    names = relations_of.select("word").distinct()
+    keys = mentions.join(names, "word", "left_anti").unionByName(
+        mentions.join(odd.select(F.col("key").alias("word")).distinct(), "word", "left_semi").join(names, "word", "left_semi")
+    )
+    return keys.unionByName(open_names.select("text_id", F.lit("said").alias("kind"), "word")).select("text_id", "kind", "word").distinct()
 
 
 def _found_words(texts: DataFrame, known: DataFrame) -> DataFrame:
@@ -138,6 +153,9 @@ def _found_words(texts: DataFrame, known: DataFrame) -> DataFrame:
         .unionByName(known.filter("is_main").select(F.lit("elsewhere").alias("kind"), F.col("name").alias("word")))
         .unionByName(known.select(F.lit("term").alias("kind"), F.explode("terms").alias("word"))).distinct()
     )
+    vocabulary = cut_lineage(vocabulary)
+    if vocabulary.count() <= BROADCAST_WORDS:
+        vocabulary = F.broadcast(vocabulary)
     found = said.join(vocabulary, ["kind", "word"], "left_semi")
     odd = odd_mentions(texts, known)
     return cut_lineage(found if odd is None else found.unionByName(odd.select("kind", "word", "text_id")).distinct())
